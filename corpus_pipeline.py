@@ -1,17 +1,25 @@
-"""Corpus preparation: the stages that turn raw documents into a weighted corpus."""
+"""Corpus preparation: the stages that turn raw documents into a weighted corpus.
+
+Each stage takes the documents that its predecessor kept. All but the last
+return the columns of ``documents``; the last adds what training reads: tokens,
+domain posteriors and a rate for each document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm import secrets
 from tracewell.llm.common import materialise
+from tracewell.llm.decontam import leaks
 from tracewell.llm.language_id import UNDETERMINED, identify, learn
 from tracewell.llm.minhash import near_duplicates
+from tracewell.llm.mixing import mix_sources
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a learned language; texts without a letter are rejected."""
+    """Keep documents in a learned language; null texts and texts without a letter are rejected."""
     judged = identify(docs, learn(docs))
     return judged.where(F.col("lang_pred") != UNDETERMINED).select(docs.columns)
 
@@ -22,12 +30,35 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("leaks") == 0).select(docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep every document, with each secret replaced by a mark and ``n_chars`` counted again."""
+    clean = secrets.scan(docs, secrets.learn(docs)).withColumn("text", F.col("redacted"))
+    if "n_chars" in docs.columns:
+        counted = F.when(F.size("secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        clean = clean.withColumn("n_chars", F.coalesce(counted, F.col("n_chars")))
+    return clean.select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add ``tokens``, domain posteriors and the ``rate`` that meets the target weights."""
+    return mix_sources(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 STAGES = [
     ("language ID", language_stage),
     ("MinHash near-dedup", dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secret_stage),
+    ("mixing to target weights", mixing_stage),
 ]
 
-ORACLE_SQL = None  # classifiers and sketches are not expressible in SQL
+ORACLE_SQL = None  # classifiers, sketches and the CRF are not expressible in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,14 @@ from tracewell.llm.decontam import op3_decontamination
 from tracewell.llm.language_id import op7_language_id
 from tracewell.llm.minhash import op2_minhash_dedup
 from tracewell.llm.mixing import op5_mixing
+from tracewell.llm.secrets import op4_secret_scan
 
 
 def queries():
     return {
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_decontamination": op3_decontamination,
+        "op4_secret_scan": op4_secret_scan,
         "op5_mixing": op5_mixing,
         "op7_language_id": op7_language_id,
     }
