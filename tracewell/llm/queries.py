@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from tracewell.llm.decontam import op3_decontamination
+from tracewell.llm.html_text import op6_html_text
 from tracewell.llm.language_id import op7_language_id
+from tracewell.llm.media import op9_media_columns
 from tracewell.llm.minhash import op2_minhash_dedup
 from tracewell.llm.mixing import op5_mixing
 from tracewell.llm.secrets import op4_secret_scan
+from tracewell.llm.url_rules import OP10_SQL, op10_url_rules
 
 
 def queries():
@@ -15,9 +18,12 @@ def queries():
         "op3_decontamination": op3_decontamination,
         "op4_secret_scan": op4_secret_scan,
         "op5_mixing": op5_mixing,
+        "op6_html_text": op6_html_text,
         "op7_language_id": op7_language_id,
+        "op9_media_columns": op9_media_columns,
+        "op10_url_rules": op10_url_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_url_rules": OP10_SQL}
