@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from tracewell.llm.chat_quotes import op1_chat_quotes
 from tracewell.llm.decontam import op3_decontamination
 from tracewell.llm.html_text import op6_html_text
 from tracewell.llm.language_id import op7_language_id
+from tracewell.llm.lm_score import op8_lm_score
 from tracewell.llm.media import op9_media_columns
 from tracewell.llm.minhash import op2_minhash_dedup
 from tracewell.llm.mixing import op5_mixing
@@ -14,12 +16,14 @@ from tracewell.llm.url_rules import OP10_SQL, op10_url_rules
 
 def queries():
     return {
+        "op1_chat_quotes": op1_chat_quotes,
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_secret_scan": op4_secret_scan,
         "op5_mixing": op5_mixing,
         "op6_html_text": op6_html_text,
         "op7_language_id": op7_language_id,
+        "op8_lm_score": op8_lm_score,
         "op9_media_columns": op9_media_columns,
         "op10_url_rules": op10_url_rules,
     }
