@@ -217,7 +217,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Smallest reachable id of every id that ``links`` (a, b) name: (id, component).
+    """Smallest reachable id: (id, component) for every linked id but the smallest ones themselves.
 
     Alternates the large-star and small-star steps of Kiveris et al.: edges are
     moved to the smallest neighbour until each points at its component's
