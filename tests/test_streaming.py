@@ -1,0 +1,39 @@
+"""Streams of the library, run to the end over files written for the tests."""
+
+import json
+
+from tracewell.plans import registered
+from tracewell.relations import Store
+from tracewell.streaming import refresh
+
+
+def prompt(uuid, text):
+    return json.dumps({"type": "user", "uuid": uuid, "timestamp": "2024-03-01T10:00:00Z", "cwd": "/w", "version": "1", "message": {"content": text}}) + "\n"
+
+
+def test_watch_replaces_only_arriving_sessions(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    (root / "a.jsonl").write_text(prompt("p1", "one"))
+    (root / "b.jsonl").write_text(prompt("p1", "two"))
+    refresh.watch(spark, str(root), out, str(tmp_path / "check")).awaitTermination()
+    (root / "c.jsonl").write_text(prompt("p1", "three"))
+    refresh.watch(spark, str(root), out, str(tmp_path / "check")).awaitTermination()
+    got = {r["session_id"]: r["prompt"] for r in spark.read.parquet(f"{out}/turns").collect()}
+    assert got == {"a": "one", "b": "two", "c": "three"}
+    state = spark.createDataFrame(spark.read.parquet(f"{out}/extract_state").select("session_id", "fingerprint").collect())
+    assert refresh.refresh(spark, str(root), out, state) == 0
+    (root / "a.jsonl").write_text(prompt("p1", "one") + prompt("p2", "more"))
+    assert refresh.refresh(spark, str(root), out, state) == 1
+    assert sorted(r["prompt"] for r in spark.read.parquet(f"{out}/turns").collect()) == ["more", "one", "three", "two"]
+
+
+def test_spells_on_a_stream_match_the_batch(spark, small, tmp_path):
+    store = Store(registered.open_store(spark, small).tables)
+    calls = store["live_api_calls"].select("session_id", "source", "started_at", "output_tokens")
+    calls.coalesce(1).write.parquet(str(tmp_path / "calls"))
+    batch = refresh.busy_spells(spark.read.parquet(str(tmp_path / "calls")))
+    stream = refresh.busy_spells(spark.readStream.schema(calls.schema).parquet(str(tmp_path / "calls")), late="60 days")
+    query = stream.writeStream.format("memory").queryName("spells").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(map(tuple, spark.sql("SELECT * FROM spells").collect())) == sorted(map(tuple, batch.collect()))
