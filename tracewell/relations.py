@@ -23,14 +23,17 @@ COUNTED = (*REPLAYABLE, "agent_runs", "compactions")
 class Store:
     """Tables of the trace model by name, and relations derived from them."""
 
-    def __init__(self, tables: Mapping[str, DataFrame]):
+    def __init__(self, tables: Mapping[str, DataFrame], derived: Mapping[str, DataFrame] | None = None):
         self.tables = dict(tables)
+        self.derived = dict(derived or {})
         self.spark: SparkSession = next(iter(self.tables.values())).sparkSession
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in self.tables:
             return self.tables[name]
+        if name in self.derived:
+            return self.derived[name]
         family, _, table = name.partition("_")
         if family == "live" and table in COUNTED:
             return self.live(table)
@@ -75,11 +78,11 @@ class Store:
 
     @cached_property
     def session_rollups(self) -> DataFrame:
-        return self.rollups("live")
+        return self.derived["session_rollups"] if "session_rollups" in self.derived else self.rollups("live")
 
     @cached_property
     def corpus_rollups(self) -> DataFrame:
-        return self.rollups("corpus")
+        return self.derived["corpus_rollups"] if "corpus_rollups" in self.derived else self.rollups("corpus")
 
     def enriched(self, level: str) -> DataFrame:
         """Rows of a level with what enrichment says of them, if anything."""
@@ -96,9 +99,20 @@ class Store:
         return base.join(told, list(keys.values()), "left")
 
     def write(self, path: str) -> None:
-        """Write every table as Parquet below ``path``, with the version of the schema."""
+        """Write every table as Parquet below ``path``, with the version of the schema.
+
+        The ``corpus_*`` relations and both rollups are written too, from the
+        tables just written: every corpus question would else decide again which
+        session owns a row. They go stale with the tables, so write all anew.
+        """
         for name, rows in self.tables.items():
             rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        held = Store({n: self.spark.read.schema(r.schema).parquet(f"{path}/{n}") for n, r in self.tables.items()})
+        for table in COUNTED:
+            held.corpus(table).write.mode("overwrite").parquet(f"{path}/corpus_{table}")
+            held.derived[f"corpus_{table}"] = self.spark.read.schema(held.tables[table].schema).parquet(f"{path}/corpus_{table}")
+        held.rollups("live").write.mode("overwrite").parquet(f"{path}/session_rollups")
+        held.rollups("corpus").write.mode("overwrite").parquet(f"{path}/corpus_rollups")
         self.spark.createDataFrame([(model.SCHEMA_VERSION,)], "schema_version int").write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
@@ -107,7 +121,9 @@ class Store:
         held = [r["schema_version"] for r in spark.read.parquet(f"{path}/meta").collect()]
         if held != [model.SCHEMA_VERSION]:
             raise ValueError(f"the store at {path} has schema version {held}, this library {model.SCHEMA_VERSION}")
-        return cls({n: spark.read.schema(s).parquet(f"{path}/{n}") for n, s in (model.TABLES | model.ENRICHMENTS).items()})
+        tables = {n: spark.read.schema(s).parquet(f"{path}/{n}") for n, s in (model.TABLES | model.ENRICHMENTS).items()}
+        derived = {f"corpus_{t}": spark.read.schema(model.TABLES[t]).parquet(f"{path}/corpus_{t}") for t in COUNTED}
+        return cls(tables, derived | {n: spark.read.parquet(f"{path}/{n}") for n in ("session_rollups", "corpus_rollups")})
 
     def duplicate_keys(self, table: str) -> DataFrame:
         """Keys that ``table`` holds more than once: none in a sound store."""
