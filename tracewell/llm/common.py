@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -26,19 +28,52 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once in an application, so that they need no install."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="tracewell-code-")) / "tracewell-code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, f"{package.name}/{source.relative_to(package)}")
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
 
+class Scratch:
+    """Tables in the shared folder that end a plan's lineage, and go when they are no longer read."""
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    def __init__(self, spark: SparkSession):
+        ship(spark)
+        self.spark = spark
+        self.root = scratch_dir(spark)
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back."""
+        path = f"{self.root}/{len(self.paths)}"
+        df.write.parquet(path)
+        held = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((held, path))
+        return held
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables from which nothing that is still to run reads."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for held, path in self.paths:
+            if any(held is t for t in tables):
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+    return Scratch(df.sparkSession).table(df)
 
 
 def annotate(
@@ -56,6 +91,7 @@ def annotate(
     ``keep`` names the columns that pass through, all by default; one that has
     the name of a new field is replaced by it.
     """
+    ship(df.sparkSession)
     new = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     arrow = [pa.field(f.name, to_arrow_type(f.dataType)) for f in fields]
@@ -84,3 +120,23 @@ def annotate(
 
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
+
+
+def by_hash(share: float, *columns: str) -> Column:
+    """True for about ``share`` of all different values of ``columns``, the same ones every time.
+
+    For drawing a bounded training sample without sorting a whole table.
+    """
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(*columns) < F.lit(int(-(2**63) + share * 2**64))
+
+
+def hash_sample(rows: DataFrame, size: int, *columns: str) -> DataFrame:
+    """``size`` rows at most, the first in a hash order of ``columns``.
+
+    Twice the wanted share is taken where the rows are read, so that only about
+    ``2 * size`` rows are ever sorted, whatever the size of the table.
+    """
+    share = 2 * size / max(rows.count(), 1)
+    return rows.where(by_hash(share, *columns)).orderBy(F.xxhash64(*columns), *columns).limit(size)
