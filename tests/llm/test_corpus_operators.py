@@ -105,7 +105,8 @@ def test_rates_meet_targets(spark):
         F.when(F.col("id") % 3 == 1, 0.9).otherwise(0.05).alias("p_poor"),
         F.when(F.col("id") % 3 == 2, 0.9).otherwise(0.05).alias("p_toxic"),
     )
-    rated, log = mixing.fit_rates(soft, {"clean": 0.5, "poor": 0.3, "toxic": 0.2})
+    moves, log = mixing.fit_rates(soft, {"clean": 0.5, "poor": 0.3, "toxic": 0.2})
+    rated = mixing.with_rates(soft, moves)
     total = soft.agg(F.sum("tokens")).first()[0]
     got = rated.agg(*[(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{d}")) / total).alias(d) for d in mixing.DOMAINS]).first()
     assert (got["clean"], got["poor"], got["toxic"]) == (pytest.approx(0.5, abs=0.01), pytest.approx(0.3, abs=0.01), pytest.approx(0.2, abs=0.01))

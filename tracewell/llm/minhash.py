@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import annotate, materialise, utf8
+from tracewell.llm.common import Scratch, annotate, utf8
 
 SHINGLE = 5
 BANDS, ROWS = 32, 8
@@ -213,7 +213,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     second = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     both = pairs.select("a", "b").join(first, "a").join(second, "b")
-    return materialise(both.mapInArrow(_verify(percent), "a long, b long"))
+    return both.mapInArrow(_verify(percent), "a long, b long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -223,7 +223,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     moved to the smallest neighbour until each points at its component's
     smallest id. A step is an aggregation and a join, so a hub is no hot task.
     """
-    edges = materialise(
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.table(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     state = None
@@ -240,7 +241,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        edges = materialise(small)
+        edges, old = scratch.table(small), edges
+        scratch.drop(old)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if seen == state:
             break
@@ -259,6 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are kept. A repeated id is one document per row of the input; its rows share
     one component. Ids must not be null. Extra columns are ignored.
     """
+    scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     fields = [
         T.StructField("n_shingles", T.LongType()),
@@ -266,36 +269,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         T.StructField("bands", T.ArrayType(T.LongType())),
         T.StructField("sig", T.BinaryType()),
     ]
-    profile = materialise(annotate(source, ["text"], fields, _profiles, keep=["doc_id"]))
+    profile = scratch.table(annotate(source, ["text"], fields, _profiles, keep=["doc_id"]))
 
     filled = profile.where("same is not null")
     first = filled.groupBy("same").agg(F.min("doc_id").alias("representative"))
     people = filled.select("doc_id", "n_shingles", "same").join(first, "same").drop("same")
-    people = materialise(people.unionByName(profile.where("same is null").select("doc_id", "n_shingles", F.col("doc_id").alias("representative"))))
+    people = scratch.table(people.unionByName(profile.where("same is null").select("doc_id", "n_shingles", F.col("doc_id").alias("representative"))))
 
     # One row per distinct text and band; buckets with a single member end here.
     unique = filled.join(first.select("same", F.col("representative").alias("doc_id")).hint("merge"), ["same", "doc_id"])
     unique = unique.groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    unique = materialise(unique.withColumnRenamed("doc_id", "id"))
+    unique = scratch.table(unique.withColumnRenamed("doc_id", "id"))
     codes = unique.select("id", "sig")
     single = unique.select("id", "n", F.explode("bands").alias("key"))
     bucket = single.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    seats = materialise(single.join(bucket.hint("merge"), "key"))
+    seats = scratch.table(single.join(bucket.hint("merge"), "key"))
 
     ids = seats.select("id").distinct()
     texts = source.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
     packed = annotate(texts, ["text"], [T.StructField("set", T.BinaryType())], _packed_sets, keep=["doc_id"])
-    sets = materialise(packed.groupBy("doc_id").agg(F.first("set").alias("set")).withColumnRenamed("doc_id", "id"))
+    sets = scratch.table(packed.groupBy("doc_id").agg(F.first("set").alias("set")).withColumnRenamed("doc_id", "id"))
 
     met = seats.groupBy("id").agg(F.sum("many").alias("met"))
     stars = seats.join(met.hint("merge"), "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), "n")).alias("s"))
     stars = stars.select("key", (-F.col("s.minus")).alias("star"), F.col("s.n").alias("n_star"))
-    groups = materialise(seats.join(stars.hint("merge"), "key").select("star", "id", "n", "n_star").distinct())
+    groups = scratch.table(seats.join(stars.hint("merge"), "key").select("star", "id", "n", "n_star").distinct())
     fits = f"100 * least(n, n_star) >= {int(percent)} * greatest(n, n_star)"
     tried = groups.where("id <> star").where(fits).select(F.greatest("id", "star").alias("a"), F.least("id", "star").alias("b")).distinct()
     coded = tried.join(codes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(codes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    tried = materialise(coded.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(percent), "a long, b long"))
-    links = linked(tried, sets, percent)
+    tried = scratch.table(coded.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(percent), "a long, b long"))
+    links = scratch.table(linked(tried, sets, percent))
     label = components(links)
 
     # Groups of one star whose members are in several components.
@@ -303,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = placed.groupBy("star", "component").agg(F.count("*").alias("many"))
     sizes = sizes.groupBy("star").agg(F.max(F.struct("many", (-F.col("component")).alias("minus"))).alias("m"), F.sum("many").alias("all"), F.count("*").alias("parts"))
     spread = sizes.where("parts > 1").select("star", (-F.col("m.minus")).alias("main"), F.col("all"), (F.col("all") - F.col("m.many")).alias("fewer"))
-    open_ = materialise(placed.select("star", "id", "n", "component").join(spread, "star"))
+    open_ = scratch.table(placed.select("star", "id", "n", "component").join(spread, "star"))
     full = open_.join(codes, "id").join(sets, "id")
     member = F.struct("id", "n", "component", "sig", "set")
 
@@ -313,8 +316,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     minority = packs(full.where("component <> main"), "fewer", "minority").drop("main")
     facing = packs(full, "all", "members").join(minority, "star").select("main", "minority", "members")
-    more = materialise(facing.mapInArrow(_between_packs(percent), "a long, b long"))
-    label = materialise(components(links.union(more)))
+    more = scratch.table(facing.mapInArrow(_between_packs(percent), "a long, b long"))
+    label = scratch.table(components(links.union(more)))
+    scratch.drop(profile, unique, seats, sets, groups, tried, links, open_, more)
 
     out = people.join(label.select(F.col("id").alias("representative"), "component"), "representative", "left")
     return out.select(
@@ -327,3 +331,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+    SELECT doc_id, array_to_string(w, ' ') AS whole, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM words),
+members AS (SELECT doc_id, unnest(s) AS g FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM members a JOIN members b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN sides e ON e.a = r.b),
+lowest AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s) AS n_shingles, CASE WHEN whole = '' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY whole) END AS representative, component_id, doc_id = component_id AS kept
+FROM sets JOIN lowest USING (doc_id)
+"""

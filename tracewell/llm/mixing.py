@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialise
+from tracewell.llm.common import Scratch, hash_sample, materialise
 
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = {"clean": 0.9, "poor": 0.1, "toxic": 0.0}
@@ -58,10 +58,11 @@ def fit_domains(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trai
     """
     known = labels.select("doc_id", domain_of_labels().alias("domain")).where("domain is not null and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("domain").alias("domain"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    known = hash_sample(known, train_rows, "doc_id")
     texts = docs.select("doc_id", "text").join(known, "doc_id")
     number = F.array_position(F.array(*[F.lit(d) for d in DOMAINS]), F.col("domain")).cast("int") - 1
-    seen = materialise(texts.select(number.alias("k"), F.array_distinct(hashed_words(F.col("text"), buckets)).alias("words")))
+    scratch = Scratch(docs.sparkSession)
+    seen = scratch.table(texts.select(number.alias("k"), F.array_distinct(hashed_words(F.col("text"), buckets)).alias("words")))
     sizes = seen.groupBy("k").agg(F.count("*").alias("docs"), F.sum(F.size("words")).alias("total"))
     k = len(DOMAINS)
     per = {r["k"]: (r["docs"], r["total"] or 0) for r in sizes.collect()}
@@ -80,7 +81,9 @@ def fit_domains(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trai
     )
     packed = smoothed.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("b", "w"))), lambda e: e["w"])).alias("weights"))
     priors = F.array(*[F.log(F.lit((per.get(i, (0, 0))[0] + 1) / every)) for i in range(k)])
-    return materialise(packed.withColumn("priors", priors).coalesce(1))
+    model = scratch.table(packed.withColumn("priors", priors).coalesce(1))
+    scratch.drop(seen)
+    return model
 
 
 def with_posteriors(docs: DataFrame, model: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -115,53 +118,65 @@ def with_posteriors(docs: DataFrame, model: DataFrame, buckets: int = BUCKETS) -
     return out.drop("__w", "__score", "__weights", "__priors")
 
 
-def fit_rates(soft: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS, ridge: float = RIDGE) -> tuple[DataFrame, list[dict]]:
-    """Add ``rate`` to rows with ``tokens`` and posteriors; also each step's residuals.
+def fit_rates(soft: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS, ridge: float = RIDGE) -> tuple[list, list[dict]]:
+    """The moves that lead from rate 1 to the fitted rates, for ``with_rates``; also each step's residuals.
 
-    The rate after a few steps is a fold over their residual vectors, three
-    numbers each, so that a step only reads; every ``FOLD`` steps the rates are
-    written and the fold starts anew. Steps carry Nesterov's momentum. Rates of
-    an empty table, or of one without tokens, are 1.
+    ``soft`` has ``tokens`` and posteriors. A move is three residuals and a
+    momentum. The rate after a few moves is a fold over them, so that a step only
+    reads; every ``FOLD`` steps the rates are written and the fold starts anew.
+    An empty table, or one without tokens, has no moves.
     """
     names = [f"p_{d}" for d in DOMAINS]
     goal = [float(targets[d]) for d in DOMAINS]
     total = soft.agg(F.sum("tokens")).first()[0] or 0
+    moves: list[tuple[list[float], float]] = []
+    log: list[dict] = []
     if not total:
-        return soft.withColumn("rate", F.lit(1.0)), []
+        return moves, log
+    scratch = Scratch(soft.sparkSession)
     share = F.col("tokens") / F.lit(float(total))
-    p = [F.col(n) for n in names]
+    state = soft.select("tokens", *names, F.lit(1.0).alias("__x"), F.lit(1.0).alias("__y"))
+    done, t = 0, 1.0
+    for _ in range(steps):
+        at = _folded(moves[done:], ridge)["y"]
+        now = state.select(at.alias("r"), share.alias("w"), *names)
+        now = now.agg(*[F.sum(F.col("r") * F.col("w") * F.col(n)).alias(n) for n in names]).first()
+        residual = [float(now[n] or 0.0) - g for n, g in zip(names, goal, strict=True)]
+        log.append(dict(zip(DOMAINS, residual, strict=True)))
+        following = (1.0 + (1.0 + 4.0 * t * t) ** 0.5) / 2.0
+        moves.append((residual, (t - 1.0) / following))
+        t = following
+        if len(moves) - done == FOLD:
+            both = state.withColumn("__s", _folded(moves[done:], ridge))
+            old, state = state, scratch.table(both.withColumns({"__x": F.col("__s.x"), "__y": F.col("__s.y")}).drop("__s"))
+            scratch.drop(old)
+            done = len(moves)
+    scratch.drop(state)
+    return moves, log
+
+
+def _folded(moves: list[tuple[list[float], float]], ridge: float) -> Column:
+    """Rate and its momentum after ``moves`` from the columns ``__x`` and ``__y``."""
+    first = F.struct(F.col("__x").alias("x"), F.col("__y").alias("y"))
+    if not moves:
+        return first
     # In the scale of w the Hessian is the k x k matrix of sum_d w_d p_dk p_dl plus the ridge;
     # the posteriors of a document sum to 1, so its norm is at most 1.
     step = 1.0 / (1.0 + ridge)
-    state = soft.withColumns({"__x": F.lit(1.0), "__y": F.lit(1.0)})
-    pending: list[tuple[list[float], float]] = []
-    log, t = [], 1.0
+    listed = F.array(*[F.struct(F.array(*[F.lit(x) for x in h]).alias("h"), F.lit(m).alias("m")) for h, m in moves])
 
-    def folded() -> Column:
-        first = F.struct(F.col("__x").alias("x"), F.col("__y").alias("y"))
-        if not pending:
-            return first
-        moves = F.array(*[F.struct(F.array(*[F.lit(x) for x in h]).alias("h"), F.lit(m).alias("m")) for h, m in pending])
+    def move(s, e):
+        pull = reduce(lambda a, b: a + b, [F.element_at(e["h"], i + 1) * F.col(f"p_{d}") for i, d in enumerate(DOMAINS)])
+        x = F.greatest(F.lit(0.0), s["y"] - F.lit(step) * (pull + F.lit(ridge) * (s["y"] - 1.0)))
+        return F.struct(x.alias("x"), (x + e["m"] * (x - s["x"])).alias("y"))
 
-        def move(s, e):
-            pull = reduce(lambda a, b: a + b, [F.element_at(e["h"], i + 1) * p[i] for i in range(len(p))])
-            x = F.greatest(F.lit(0.0), s["y"] - F.lit(step) * (pull + F.lit(ridge) * (s["y"] - 1.0)))
-            return F.struct(x.alias("x"), (x + e["m"] * (x - s["x"])).alias("y"))
+    return F.aggregate(listed, first, move)
 
-        return F.aggregate(moves, first, move)
 
-    for _ in range(steps):
-        now = state.select(folded()["y"].alias("r"), share.alias("w"), *p)
-        now = now.agg(*[F.sum(F.col("r") * F.col("w") * F.col(n)).alias(n) for n in names]).first()
-        residual = [float(now[n] or 0.0) - g for n, g in zip(names, goal, strict=True)]
-        log.append(dict(zip(DOMAINS, residual, strict=True)))
-        following = (1.0 + (1.0 + 4.0 * t * t) ** 0.5) / 2.0
-        pending.append((residual, (t - 1.0) / following))
-        t = following
-        if len(pending) == FOLD:
-            state = materialise(state.withColumn("__s", folded()).withColumns({"__x": F.col("__s.x"), "__y": F.col("__s.y")}).drop("__s"))
-            pending.clear()
-    return state.withColumn("rate", folded()["x"]).drop("__x", "__y"), log
+def with_rates(soft: DataFrame, moves: list, ridge: float = RIDGE) -> DataFrame:
+    """Add ``rate`` to rows with posteriors."""
+    start = soft.withColumns({"__x": F.lit(1.0), "__y": F.lit(1.0)})
+    return start.withColumn("rate", _folded(moves, ridge)["x"]).drop("__x", "__y")
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -174,8 +189,13 @@ def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     replaced.
     """
     model = fit_domains(docs, labels)
-    soft = materialise(with_posteriors(docs.drop("rate"), model))
-    return fit_rates(soft, targets)[0]
+    soft = with_posteriors(docs.drop("rate"), model)
+    # The fit reads a narrow table; the texts are scored again rather than written twice.
+    scratch = Scratch(docs.sparkSession)
+    narrow = scratch.table(soft.select("tokens", *[f"p_{d}" for d in DOMAINS]))
+    moves, _ = fit_rates(narrow, targets)
+    scratch.drop(narrow)
+    return with_rates(soft, moves)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
@@ -183,4 +203,4 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_domains(docs, labels)
     soft = materialise(with_posteriors(docs, model).drop("text"))
-    return fit_rates(soft)[0]
+    return with_rates(soft, fit_rates(soft)[0])

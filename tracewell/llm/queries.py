@@ -8,7 +8,7 @@ from tracewell.llm.html_text import op6_html_text
 from tracewell.llm.language_id import op7_language_id
 from tracewell.llm.lm_score import op8_lm_score
 from tracewell.llm.media import op9_media_columns
-from tracewell.llm.minhash import op2_minhash_dedup
+from tracewell.llm.minhash import OP2_SQL, op2_minhash_dedup
 from tracewell.llm.mixing import op5_mixing
 from tracewell.llm.secrets import op4_secret_scan
 from tracewell.llm.url_rules import OP10_SQL, op10_url_rules
@@ -30,4 +30,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_rules": OP10_SQL}
+    return {"op2_minhash_dedup": OP2_SQL, "op10_url_rules": OP10_SQL}
