@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import annotate
+from tracewell.llm.common import annotate, by_hash
 
 UNDETERMINED = "und"
 BLOCK = 512
@@ -48,9 +48,14 @@ def learn(
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     share = chars_per_language // 20
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    # Of a common language only so many rows go on as the draw needs, by hash, where they are read.
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    drawn = F.lit(False)
+    for lang, n in sizes.items():
+        drawn |= (F.col("lang") == lang) & by_hash(8 * docs_per_language / n, "doc_id")
     rows = (
-        docs.select("doc_id", "lang", "text")
-        .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+        known.where(drawn & F.col("text").rlike(r"\p{L}"))
         .select("doc_id", "lang", F.substring("text", 1, share).alias("text"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= docs_per_language)
