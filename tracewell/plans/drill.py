@@ -555,8 +555,7 @@ def view_turn_header(store, session_id, source, turn_id, head_chars, detail_char
     )
     tool = tools.agg(F.count("*").alias("tool_calls"), F.count_if("is_error").alias("tool_errors"))
     turn = thread(store["live_turns"], session_id, source).where(F.col("id") == turn_id)
-    # Both aggregates are one row, so the joins keep the turn's row.
-    rows = turn.join(F.broadcast(spend), how="cross").join(F.broadcast(tool), how="cross")
+    rows = turn.withColumns({c: one.select(c).scalar() for one in (spend, tool) for c in one.columns})
     return rows.select(
         F.col("index").alias("turn_index"),
         F.col("id").alias("turn_id"),
