@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialise, utf8
+from tracewell.llm.common import hash_sample, materialise, ship, utf8
 from tracewell.llm.minhash import mix
 
 ALPHA, MIN_COUNT = 0.4, 2
 HOT, TOP = 65_535, 256
 SAMPLE_ROWS = 2000
-SLICE_ROWS, SLICE_CHARS = 2048, 8_000_000
+SLICE_ROWS, SLICE_CHARS = 2048, 3_000_000
 TOKENS_PER_PART = 2_000_000
 
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -341,6 +341,22 @@ def _finish(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array(tokens), "log_score": pa.array(score)})
 
 
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The ``size`` rows of the greatest ``c``; ties go to the smaller ``h``.
+
+    Counts are first tallied by their power of two: only rows from the power on
+    that has enough of them are sorted.
+    """
+    tally = {int(r["p"]): r["n"] for r in counts.groupBy(F.floor(F.log2("c")).alias("p")).agg(F.count("*").alias("n")).collect()}
+    enough, least = 0, 0
+    for power in sorted(tally, reverse=True):
+        enough += tally[power]
+        least = power
+        if enough >= size:
+            break
+    return counts.where(F.col("c") >= 2**least).orderBy(F.desc("c"), "h").limit(size)
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_per_part: int = TOKENS_PER_PART) -> DataFrame:
     """``doc_id, n_tokens, log_score, mean_log_score`` for every row of ``docs``.
 
@@ -349,9 +365,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     null ids, are scored each. Extra columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     source = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
 
-    some = source.select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS)
+    some = hash_sample(source, SAMPLE_ROWS, "doc_id").select("text")
     seen = some.mapInArrow(_count(np.empty(0, np.uint64)), WORDS).where("kind = 0").groupBy("h").agg(F.sum("c").alias("c"))
     top = np.array(sorted(r["h"] for r in seen.orderBy(F.desc("c"), "h").limit(TOP).collect()), np.uint64)
 
@@ -359,7 +376,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     counts = materialise(counts)
     unigrams = counts.where("kind = 0").select("h", "c")
     total = unigrams.agg(F.sum("c")).first()[0] or 0
-    ranked = sorted((r["h"], r["c"]) for r in unigrams.orderBy(F.desc("c"), "h").limit(HOT).collect())
+    ranked = sorted((r["h"], r["c"]) for r in most_frequent(unigrams, HOT).collect())
     pairs = np.zeros((TOP, TOP), np.int64)
     for r in counts.where("kind = 1").collect():  # TOP x TOP at most
         pairs[r["h"] // TOP, r["h"] % TOP] = r["c"]
