@@ -113,6 +113,28 @@ def test_rates_meet_targets(spark):
     assert rated.where("rate < 0").count() == 0 and abs(log[-1]["clean"]) < abs(log[0]["clean"])
 
 
+def test_rates_of_rare_domains_meet_targets(spark):
+    soft = spark.range(20_000).select(
+        F.lit(3).alias("tokens"),
+        F.when(F.col("id") % 1000 > 1, 1.0).otherwise(0.0).alias("p_clean"),
+        F.when(F.col("id") % 1000 == 0, 1.0).otherwise(0.0).alias("p_poor"),
+        F.when(F.col("id") % 1000 == 1, 1.0).otherwise(0.0).alias("p_toxic"),
+    )
+    pulls, log = mixing.fit_rates(soft)
+    rates = {d: mixing.with_rates(soft, pulls).where(f"p_{d} = 1").agg(F.avg("rate")).first()[0] for d in mixing.DOMAINS}
+    assert rates["toxic"] < 0.01 and rates["poor"] == pytest.approx(100, rel=0.01) and rates["clean"] == pytest.approx(0.9 / 0.998, rel=0.01)
+    assert not mixing.missed(log)
+
+
+def test_targets_that_no_rates_meet_are_named(spark):
+    soft = spark.range(100).select(F.lit(1).alias("tokens"), F.lit(0.5).alias("p_clean"), F.lit(0.5).alias("p_poor"), F.lit(0.0).alias("p_toxic"))
+    pulls, log = mixing.fit_rates(soft)
+    assert mixing.missed(log) == {"clean": pytest.approx(-0.4, abs=0.01), "poor": pytest.approx(0.4, abs=0.01)}
+    with pytest.warns(UserWarning, match="poor"):
+        out = mixing.with_misses(mixing.with_rates(soft, pulls), log).first()
+    assert "poor +0.4" in out["targets_missed"] and out["rate"] == pytest.approx(1, abs=0.01)
+
+
 def test_classifier_finds_domains(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/labels.parquet")

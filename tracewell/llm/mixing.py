@@ -3,23 +3,31 @@
 A naive Bayes classifier over hashed words, fitted on the labelled table, gives
 each document posterior probabilities of the domains. Nonnegative rates ``r``
 (expected copies of a document) are then fitted so that the expected tokens of
-domain ``k``, the sum of ``r * tokens * p_k``, match the targets: minimise
+domain ``k``, the sum of ``r * w * p_k``, match the targets, where ``w`` is the
+document's share of all tokens: minimise
 
-    sum_k (sum_d r_d a_dk - target_k)^2 + ridge * sum_d w_d (r_d - 1)^2
+    sum_k (sum_d r_d w_d p_dk - target_k)^2 + ridge * sum_d w_d (r_d - 1)^2
 
-over ``r >= 0``, where ``a_dk`` is the document's share of all tokens times its
-posterior and ``w_d`` its share of all tokens. In the scale of ``w`` this is
-projected gradient descent whose step moves a document by the residuals of the
-domains that it belongs to; one step is one aggregation of ``k`` sums, so the
-driver holds ``k`` numbers a step and no document.
+over ``r >= 0``. The minimum has rates ``max(0, 1 + sum_k pull_k p_k)``, so only
+``k`` pulls are unknown. They are found by Newton's method on the dual, a convex
+piecewise quadratic function of the pulls: a step is one aggregation of the
+``k`` sums and the ``k x k`` matrix of ``sum w p_k p_l`` over documents of positive
+rate, and the driver holds no document.
+
+The fit ends when each domain's residual is within its tolerance, ``TOLERANCE``
+times the target (times the domain's share of the tokens where the target is 0).
+The ridge starts below what the smallest domain needs for that and falls while
+that helps; targets that no rates meet are named in the result.
 
 Everything here is DataFrame expressions; nothing leaves the JVM.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +37,8 @@ DOMAINS = ("clean", "poor", "toxic")
 TARGETS = {"clean": 0.9, "poor": 0.1, "toxic": 0.0}
 BUCKETS = 1 << 14
 TRAIN_ROWS = 20_000
-STEPS = 24
-FOLD = 6
-RIDGE = 0.002
+TOLERANCE = 0.002
+STEPS = 200  # aggregations of a fit at most; a fit that they end is reported as missing its targets
 
 
 def domain_of_labels() -> Column:
@@ -118,69 +125,101 @@ def with_posteriors(docs: DataFrame, model: DataFrame, buckets: int = BUCKETS) -
     return out.drop("__w", "__score", "__weights", "__priors")
 
 
-def fit_rates(soft: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS, ridge: float = RIDGE) -> tuple[list, list[dict]]:
-    """The moves that lead from rate 1 to the fitted rates, for ``with_rates``; also each step's residuals.
+def tolerances(shares: list[float], goal: list[float], tolerance: float = TOLERANCE) -> list[float]:
+    """The residual that each domain may keep, as a share of all tokens."""
+    return [tolerance * (g or s) + 1e-12 for s, g in zip(shares, goal, strict=True)]
+
+
+def fit_rates(soft: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[float], list[dict]]:
+    """The domains' pulls for ``with_rates``; also each step's residuals, the last those of the pulls.
 
-    ``soft`` has ``tokens`` and posteriors. A move is three residuals and a
-    momentum. The rate after a few moves is a fold over them, so that a step only
-    reads; every ``FOLD`` steps the rates are written and the fold starts anew.
-    An empty table, or one without tokens, has no moves.
+    ``soft`` has ``tokens`` and posteriors, and is read once a step. An empty
+    table, or one without tokens, has no pulls. ``missed`` tells from the
+    residuals which targets are not met.
     """
     names = [f"p_{d}" for d in DOMAINS]
-    goal = [float(targets[d]) for d in DOMAINS]
+    goal = np.array([float(targets[d]) for d in DOMAINS])
     total = soft.agg(F.sum("tokens")).first()[0] or 0
-    moves: list[tuple[list[float], float]] = []
     log: list[dict] = []
     if not total:
-        return moves, log
-    scratch = Scratch(soft.sparkSession)
-    share = F.col("tokens") / F.lit(float(total))
-    state = soft.select("tokens", *names, F.lit(1.0).alias("__x"), F.lit(1.0).alias("__y"))
-    done, t = 0, 1.0
-    for _ in range(steps):
-        at = _folded(moves[done:], ridge)["y"]
-        now = state.select(at.alias("r"), share.alias("w"), *names)
-        now = now.agg(*[F.sum(F.col("r") * F.col("w") * F.col(n)).alias(n) for n in names]).first()
-        residual = [float(now[n] or 0.0) - g for n, g in zip(names, goal, strict=True)]
-        log.append(dict(zip(DOMAINS, residual, strict=True)))
-        following = (1.0 + (1.0 + 4.0 * t * t) ** 0.5) / 2.0
-        moves.append((residual, (t - 1.0) / following))
-        t = following
-        if len(moves) - done == FOLD:
-            both = state.withColumn("__s", _folded(moves[done:], ridge))
-            old, state = state, scratch.table(both.withColumns({"__x": F.col("__s.x"), "__y": F.col("__s.y")}).drop("__s"))
-            scratch.drop(old)
-            done = len(moves)
-    scratch.drop(state)
-    return moves, log
-
-
-def _folded(moves: list[tuple[list[float], float]], ridge: float) -> Column:
-    """Rate and its momentum after ``moves`` from the columns ``__x`` and ``__y``."""
-    first = F.struct(F.col("__x").alias("x"), F.col("__y").alias("y"))
-    if not moves:
-        return first
-    # In the scale of w the Hessian is the k x k matrix of sum_d w_d p_dk p_dl plus the ridge;
-    # the posteriors of a document sum to 1, so its norm is at most 1.
-    step = 1.0 / (1.0 + ridge)
-    listed = F.array(*[F.struct(F.array(*[F.lit(x) for x in h]).alias("h"), F.lit(m).alias("m")) for h, m in moves])
-
-    def move(s, e):
-        pull = reduce(lambda a, b: a + b, [F.element_at(e["h"], i + 1) * F.col(f"p_{d}") for i, d in enumerate(DOMAINS)])
-        x = F.greatest(F.lit(0.0), s["y"] - F.lit(step) * (pull + F.lit(ridge) * (s["y"] - 1.0)))
-        return F.struct(x.alias("x"), (x + e["m"] * (x - s["x"])).alias("y"))
-
-    return F.aggregate(listed, first, move)
-
-
-def with_rates(soft: DataFrame, moves: list, ridge: float = RIDGE) -> DataFrame:
+        return [], log
+    k = len(DOMAINS)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def look(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half the sum of squared rates, the residuals, and the matrix over documents of positive rate."""
+        rated = soft.select(*names, (F.col("tokens") / F.lit(float(total))).alias("w"), _rate(pull).alias("r"))
+        sums = [F.sum(F.col("w") * F.col("r") * F.col("r")), *[F.sum(F.col("w") * F.col("r") * F.col(n)) for n in names]]
+        sums += [F.sum(F.when(F.col("r") > 0, F.col("w") * F.col(names[i]) * F.col(names[j]))) for i, j in pairs]
+        row = [float(x or 0.0) for x in rated.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()]
+        matrix = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[1 + k :], strict=True):
+            matrix[i, j] = matrix[j, i] = x
+        return row[0] / 2, np.array(row[1 : 1 + k]) - goal, matrix
+
+    pull = np.zeros(k)
+    square, residual, matrix = look(pull)
+    shares = residual + goal
+    allowed = np.array(tolerances(shares.tolist(), goal.tolist(), tolerance))
+    # A domain of share s alone has the pull target / s - 1, and the ridge leaves ridge * pull.
+    alone = np.abs(goal / np.maximum(shares, 1e-9) - 1.0)
+    ridge = max(1e-12, float(np.min(allowed / np.maximum(alone, 1e-3))) / 4)
+    log.append(dict(zip(DOMAINS, residual.tolist(), strict=True)))
+    kept, before = (pull, log[-1]), None
+    while len(log) < steps and (np.abs(residual) > allowed).any():
+        slope = residual + ridge * pull
+        if (np.abs(slope) <= 0.05 * allowed).all():  # this ridge's minimum
+            now = np.abs(residual)
+            if ridge <= 1e-12 or before is not None and not ((now > allowed) & (now < 0.9 * before)).any():
+                break
+            kept, before, ridge = (pull, log[-1]), now, ridge / 10
+            continue
+        move = -np.linalg.solve(matrix + ridge * np.eye(k), slope)
+        value, size = square - goal @ pull + ridge / 2 * pull @ pull, 1.0
+        while True:
+            tried = pull + size * move
+            square, residual, matrix = look(tried)
+            log.append(dict(zip(DOMAINS, residual.tolist(), strict=True)))
+            gain = value - (square - goal @ tried + ridge / 2 * tried @ tried)
+            if gain >= -1e-4 * size * (slope @ move) - 1e-13 * abs(value) or size < 1e-6 or len(log) >= steps:
+                break
+            size /= 2
+        pull = tried
+    if before is not None and (np.abs(residual) > allowed).any() and not (np.abs(residual) < 0.9 * before).any():
+        pull = kept[0]  # a smaller ridge only made the rates wilder
+        log.append(kept[1])
+    return pull.tolist(), log
+
+
+def missed(log: list[dict], targets: dict[str, float] = TARGETS, tolerance: float = TOLERANCE) -> dict[str, float]:
+    """Domains whose target the fit does not meet, with the residual left, as a share of all tokens."""
+    if not log:
+        return {}
+    goal = [float(targets[d]) for d in DOMAINS]
+    allowed = tolerances([log[0][d] + g for d, g in zip(DOMAINS, goal, strict=True)], goal, tolerance)
+    return {d: log[-1][d] for d, most in zip(DOMAINS, allowed, strict=True) if abs(log[-1][d]) > most}
+
+
+def _rate(pulls) -> Column:
+    terms = [F.lit(float(x)) * F.col(f"p_{d}") for x, d in zip(pulls, DOMAINS, strict=False)]
+    return F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, terms, F.lit(1.0)))
+
+
+def with_rates(soft: DataFrame, pulls: list[float]) -> DataFrame:
     """Add ``rate`` to rows with posteriors."""
-    start = soft.withColumns({"__x": F.lit(1.0), "__y": F.lit(1.0)})
-    return start.withColumn("rate", _folded(moves, ridge)["x"]).drop("__x", "__y")
+    return soft.withColumn("rate", _rate(pulls))
+
+
+def with_misses(rated: DataFrame, log: list[dict], targets: dict[str, float] = TARGETS) -> DataFrame:
+    """Add ``targets_missed``: the domains whose target is not met and by what share of the tokens, or an empty text."""
+    left = missed(log, targets)
+    if left:
+        warnings.warn(f"targets not met, tokens beyond them: {left}", stacklevel=2)
+    return rated.withColumn("targets_missed", F.lit(", ".join(f"{d} {x:+.3g}" for d, x in left.items())))
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """All rows of ``docs`` with ``tokens``, ``p_clean``, ``p_poor``, ``p_toxic`` and ``rate``.
+    """All rows of ``docs`` with ``tokens``, ``p_clean``, ``p_poor``, ``p_toxic``, ``rate`` and ``targets_missed``.
 
     ``targets`` are shares of the corpus's token total and sum to 1. Null and
     empty texts have no tokens: their posteriors are the priors, and their rates
@@ -189,13 +228,13 @@ def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     replaced.
     """
     model = fit_domains(docs, labels)
-    soft = with_posteriors(docs.drop("rate"), model)
+    soft = with_posteriors(docs.drop("rate", "targets_missed"), model)
     # The fit reads a narrow table; the texts are scored again rather than written twice.
     scratch = Scratch(docs.sparkSession)
     narrow = scratch.table(soft.select("tokens", *[f"p_{d}" for d in DOMAINS]))
-    moves, _ = fit_rates(narrow, targets)
+    pulls, log = fit_rates(narrow, targets)
     scratch.drop(narrow)
-    return with_rates(soft, moves)
+    return with_misses(with_rates(soft, pulls), log, targets)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
@@ -203,4 +242,5 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_domains(docs, labels)
     soft = materialise(with_posteriors(docs, model).drop("text"))
-    return with_rates(soft, fit_rates(soft)[0])
+    pulls, log = fit_rates(soft)
+    return with_misses(with_rates(soft, pulls), log)
