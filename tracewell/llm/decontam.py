@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import annotate
+from tracewell.llm.common import Scratch, annotate
 
 SHINGLE = 5
 SEGMENT = 48
@@ -56,6 +56,14 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return [w for line in lines[:-1] for w in line], lines[-1]
 
 
+def segments_of(tokens: list[str]) -> list[list[str]]:
+    """Parts of nearly equal length, of at most ``SEGMENT`` words each."""
+    if not tokens:
+        return []
+    size = -(-len(tokens) // -(-len(tokens) // SEGMENT))
+    return [tokens[i : i + size] for i in range(0, len(tokens), size)]
+
+
 @dataclass
 class Item:
     item_id: int
@@ -72,9 +80,13 @@ class _Terms(dict):
 
 
 class Index:
-    """Impact-ordered postings of one block of test items."""
+    """Impact-ordered postings of one block of test items.
+
+    ``stats`` has what BM25 needs of all items where ``rows`` are some of them: the
+    number of segments, their mean length, and (term, segments that hold it).
+    """
 
-    def __init__(self, rows: tuple[tuple[int, str], ...], threshold: float):
+    def __init__(self, rows: tuple[tuple[int, str], ...], threshold: float, stats: tuple[int, float, tuple] | None = None):
         self.items: list[Item] = []
         segments: list[tuple[int, list[str]]] = []
         for item_id, text in rows:
@@ -86,9 +98,7 @@ class Index:
             span = min(SHINGLE, len(tokens))
             for i in range(len(tokens) - span + 1):
                 item.shingles[tuple(tokens[i : i + span])].append(i)
-            parts = -(-len(tokens) // SEGMENT)
-            size = -(-len(tokens) // parts)
-            segments += [(len(self.items), tokens[i : i + size]) for i in range(0, len(tokens), size)]
+            segments += [(len(self.items), part) for part in segments_of(tokens)]
             self.items.append(item)
         self.owner = np.array([k for k, _ in segments], np.int64)
         n = len(segments)
@@ -96,11 +106,14 @@ class Index:
         for s, (_, tokens) in enumerate(segments):
             for t in dict.fromkeys(tokens):
                 postings[t].append((s, tokens.count(t)))
-        mean = sum(len(t) for _, t in segments) / max(n, 1)
+        if stats is None:
+            every, mean, held = n, sum(len(t) for _, t in segments) / max(n, 1), {t: len(p) for t, p in postings.items()}
+        else:
+            every, mean, held = stats[0], stats[1], dict(stats[2])
         self.terms = _Terms((t, i) for i, t in enumerate(postings))
         impact, own = [], np.zeros(n)
-        for plist in postings.values():
-            idf = np.log(1 + (n - len(plist) + 0.5) / (len(plist) + 0.5))
+        for t, plist in postings.items():
+            idf = np.log(1 + (every - held[t] + 0.5) / (held[t] + 0.5))
             weights = [
                 idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(segments[s][1]) / mean)) for s, tf in plist
             ]
@@ -243,8 +256,22 @@ class Index:
 
 
 @lru_cache(maxsize=2)
-def index(rows: tuple[tuple[int, str], ...], threshold: float) -> Index:
-    return Index(rows, threshold)
+def index(rows: tuple[tuple[int, str], ...], threshold: float, stats: tuple[int, float, tuple] | None = None) -> Index:
+    return Index(rows, threshold, stats)
+
+
+def segment_terms(items: DataFrame) -> DataFrame:
+    """``terms``, one entry for each segment that holds a term, and ``lengths`` of the segments of each item."""
+    fields = [T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("lengths", T.ArrayType(T.LongType()))]
+
+    def make():
+        def run(texts):
+            parts = [segments_of([w for half in question_and_answer(x or "") for w in half]) for x in texts]
+            return [[t for part in ps for t in dict.fromkeys(part)] for ps in parts], [[len(part) for part in ps] for ps in parts]
+
+        return run
+
+    return annotate(items, ["text"], fields, make)
 
 
 LEAK = T.ArrayType(
@@ -274,31 +301,40 @@ def leaks(
     reported. An item counts when question and answer overlap reach ``overlap``,
     or when their words together do. Items travel to the executors in blocks of
     at most ``max_items``, with one pass over ``docs`` for each block, so that
-    no index outgrows a worker. A column that is called ``leaks`` is replaced.
+    no index outgrows a worker; the statistics of BM25 cover all items, so that
+    scores do not depend on the blocks. A column that is called ``leaks`` is replaced.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     blocks = max(1, -(-items.count() // max_items))
-    out = None
+    out, scratch = None, Scratch(docs.sparkSession)
+    if blocks > 1:
+        cut = scratch.table(segment_terms(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))))
+        lengths = cut.select(F.explode("lengths").alias("n")).agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
+        held = scratch.table(cut.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")))
     for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = tuple(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.collect()))
-        make = _screener(rows, threshold, overlap)
-        name = "leaks" if k == 0 else "__more"
-        columns = keep if k == 0 else out.columns
-        out = annotate(docs if k == 0 else out, [text] if k == 0 else ["__text"], [T.StructField(name, LEAK)], make, columns if blocks == 1 or k else [*(columns or docs.columns), text])
+        part, stats = items, None
         if blocks > 1:
-            if k == 0:
-                out = out.withColumn("__text", F.col(text))
-            else:
-                out = out.withColumn("leaks", F.concat("leaks", "__more")).drop("__more")
+            part = cut.where(F.col("block") == k)
+            own = held.join(part.select(F.explode("terms").alias("t")).distinct(), "t", "left_semi")
+            stats = (lengths["n"], lengths["mean"] or 0.0, tuple(sorted((r["t"], r["n"]) for r in own.collect())))
+        rows = tuple(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.select("item_id", "text").collect()))
+        make = _screener(rows, threshold, overlap, stats)
+        if blocks == 1:
+            out = annotate(docs, [text], [T.StructField("leaks", LEAK)], make, keep)
+        elif k == 0:
+            out = annotate(docs.withColumn("__text", F.col(text)), ["__text"], [T.StructField("leaks", LEAK)], make, [*(docs.columns if keep is None else keep), "__text"])
+        else:
+            out = annotate(out, ["__text"], [T.StructField("__more", LEAK)], make)
+            out = out.withColumn("leaks", F.concat("leaks", "__more")).drop("__more")
     if blocks > 1:
-        out = out.drop("__text") if keep is None or text in keep else out.drop("__text", text)
+        scratch.drop(cut, held)
+        out = out.drop("__text").withColumn("leaks", F.array_sort("leaks"))
     return out
 
 
-def _screener(rows, threshold, overlap):
+def _screener(rows, threshold, overlap, stats):
     def make():
-        built = index(rows, threshold)
+        built = index(rows, threshold, stats)
         return lambda texts: (built.screen(texts, threshold, overlap),)
 
     return make
