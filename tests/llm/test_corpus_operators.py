@@ -1,13 +1,11 @@
 """Corpus operators that look across rows."""
 
-import collections
 import itertools
-import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import lm_score, minhash, mixing, url_rules
+from tracewell.llm import minhash, mixing, url_rules
 
 DOCS = "doc_id long, text string, kept string"
 
@@ -70,31 +68,6 @@ def test_components_of_chains_and_hubs(spark):
     assert all(out[i] == 100 for i in range(101, 141)) and all(out[k] == 5 for k in range(6, 90)) and not out.keys() & {5, 100}
 
 
-# --- language model
-
-
-def test_scores_match_plain_counts(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    docs = docs.union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "the " * 400), (-4, "the")], docs.schema))
-    out = {r["doc_id"]: r for r in lm_score.lm_scores(docs, tokens_per_part=20_000).collect()}
-    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in docs.collect()}
-    one, two = collections.Counter(), collections.Counter()
-    for w in texts.values():
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
-    n = sum(one.values())
-    for i, w in texts.items():
-        want = math.log(one[w[0]] / n) if w else 0.0
-        for a, b in zip(w, w[1:], strict=False):
-            want += math.log(two[a, b] / one[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / n)
-        assert out[i]["log_score"] == pytest.approx(want) and out[i]["n_tokens"] == len(w)
-    assert out[-1]["mean_log_score"] is None
-
-
-def test_scores_of_nothing(spark):
-    assert lm_score.lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
 # --- mixing
 
 

@@ -133,10 +133,16 @@ def by_hash(share: float, *columns: str) -> Column:
 
 
 def hash_sample(rows: DataFrame, size: int, *columns: str) -> DataFrame:
-    """``size`` rows at most, the first in a hash order of ``columns``.
+    """About ``size`` rows at most: the first in a hash order of ``columns``, of equal hashes one.
 
-    Twice the wanted share is taken where the rows are read, so that only about
-    ``2 * size`` rows are ever sorted, whatever the size of the table.
+    Only hashes of about twice the wanted share are sorted, to find the last one
+    that is taken; the rows themselves are filtered where they are read. Equal
+    values of ``columns`` are one row, so repeated rows cannot crowd the sample.
     """
     share = 2 * size / max(rows.count(), 1)
-    return rows.where(by_hash(share, *columns)).orderBy(F.xxhash64(*columns), *columns).limit(size)
+    hashed = rows.withColumn("__hash", F.xxhash64(*columns))
+    near = hashed.where(by_hash(share, *columns)).select("__hash").distinct().orderBy("__hash").limit(size)
+    last = near.agg(F.max("__hash")).first()[0]
+    if last is None:
+        return rows.limit(0)
+    return hashed.where(F.col("__hash") <= last).dropDuplicates(["__hash"]).drop("__hash")

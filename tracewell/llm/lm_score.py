@@ -1,49 +1,51 @@
 """Stupid-backoff scores of every document under the corpus's own counts.
 
-    S(w | v) = c(v w) / c(v)        if c(v w) >= MIN_COUNT
-             = ALPHA * c(w) / N     otherwise
-
-summed as logarithms over a document's words (the first has no context and
-scores ``c(w) / N``). Counts cover all documents. The order is two: at a third
-order the exploded n-grams alone outgrow the disk that the job may use.
-
-The relational plan, count table joined to exploded n-grams and summed per
-document, works on packed rows: a slice of documents sends to each hash
-partition *one* row with all its bigrams there. A partition holds every
-occurrence of its bigrams, so it counts and joins them at once, and passes on
-the words whose own counts it lacks to the partitions of the unigram table.
-
-Frequent words make no hot partition. The ``HOT`` most frequent words travel as
-a list of a fixed size with their exact counts, in place of lookups. Pairs among
-``TOP`` words that a sample finds frequent are counted with the unigrams, and
-documents score them where they are read; which words those are changes the
-work, not the result.
+    S(w | context) = c(context w) / c(context)              if c(context w) >= min_count
+                   = alpha * S(w | context without its first word)      otherwise
+    S(w)           = c(w) / N
+
+summed as logarithms over a document's words; a word too near the beginning for
+the full context has the shorter one. Counts cover all documents.
+
+The plan is relational. Each document is exploded into rows of its different
+n-grams with their repetitions. These rows, partitioned by the hash of the
+n-gram, are aggregated into the count table there and joined to it where they
+lie: one exchange serves both sides. A row whose n-gram is frequent enough asks
+for the count of its context, any other for the score of its shorter n-gram;
+the next order's count table answers, and a sum for each document ends it.
+
+Frequent n-grams make no hot partition. A bounded sample names up to
+``HOT_GRAMS`` of them; they are counted over all documents, with combining where
+texts are read, and scored there. Which ones the sample names changes the work,
+not the result. Words are coded by their rank among the ``VOCABULARY`` most
+frequent ones (a list of a fixed size, the only other broadcast) or, beyond it,
+by a 48-bit hash.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import hash_sample, materialise, ship, utf8
+from tracewell.llm.common import Scratch, hash_sample, utf8
 from tracewell.llm.minhash import mix
 
-ALPHA, MIN_COUNT = 0.4, 2
-HOT, TOP = 65_535, 256
-SAMPLE_ROWS = 2000
+ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
+BITS = 20
+COLD = 1 << BITS  # codes from here on are hashes
+VOCABULARY = COLD - 1
+HOT_GRAMS, SAMPLE_ROWS = 262_143, 8000
 SLICE_ROWS, SLICE_CHARS = 2048, 3_000_000
-TOKENS_PER_PART = 2_000_000
+ROWS_PER_PART = 2_000_000
 
 _LOW48 = np.uint64((1 << 48) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-COLD = np.uint64(HOT)
-
-WORDS = "kind int, h long, c long"
-ROWS = "part int, kind string, batch long, ids array<long>, blob binary"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -58,7 +60,7 @@ def slices(batches, names):
     """Column lists of at most ``SLICE_ROWS`` rows and about ``SLICE_CHARS`` characters."""
     for batch in batches:
         cols = [batch.column(n).to_pylist() for n in names]
-        at, size, start = 0, 0, 0
+        size, start = 0, 0
         for at, text in enumerate(cols[0]):
             if at > start and (at - start >= SLICE_ROWS or size > SLICE_CHARS):
                 yield [c[start:at] for c in cols]
@@ -85,260 +87,161 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, sorted_keys[at] == keys
 
 
-def _count(top: np.ndarray):
+def starts(doc: np.ndarray, n: int) -> np.ndarray:
+    """Where an n-gram begins: positions whose ``n`` words are of one text."""
+    last = len(doc) - n + 1
+    return np.flatnonzero(doc[:last] == doc[n - 1 :]) if last > 0 else np.empty(0, np.int64)
+
+
+def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
+    return reduce(lambda acc, x: mix(acc * _ODD + x.astype(np.uint64)), columns[1:], mix(columns[0].astype(np.uint64)))
+
+
+def _sampled(n: int):
+    """The n-grams of a sample's texts as word hashes, counted slice by slice."""
+
     def run(batches):
         for (texts,) in slices(batches, ["text"]):
             h, doc = flat(texts)
-            keys, counts = np.unique(h, return_counts=True)
-            rank, known = find(top, h)
-            pair = known[:-1] & known[1:] & (doc[:-1] == doc[1:])
-            code, many = np.unique(rank[:-1][pair] * TOP + rank[1:][pair], return_counts=True)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "kind": pa.array(np.repeat([0, 1], [len(keys), len(code)]).astype(np.int32)),
-                    "h": pa.array(np.concatenate([keys.astype(np.int64), code.astype(np.int64)])),
-                    "c": pa.array(np.concatenate([counts, many]).astype(np.int64)),
-                }
-            )
+            at = starts(doc, n)
+            columns = [h[at + i] for i in range(n)]
+            _, first, many = np.unique(gram_hash(columns), return_index=True, return_counts=True) if len(at) else (0, at, at)
+            arrays = [pa.array(c[first].astype(np.int64)) for c in columns] + [pa.array(many.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*(f"w{i}" for i in range(n)), "c"])
 
     return run
 
 
-# Packed bigrams: for each of four classes (is the first, is the second word hot?) the count of
-# entries, document numbers, repetitions, and words as 16-bit ranks or 48-bit hashes.
+def _counted(named: dict[int, np.ndarray]):
+    """Counts of all words (level 1) and of the named n-grams, combined slice by slice."""
 
+    def run(batches):
+        for (texts,) in slices(batches, ["text"]):
+            h, doc = flat(texts)
+            for level in (1, *named):
+                if level == 1:
+                    keys = h
+                else:
+                    at = starts(doc, level)
+                    keys = gram_hash([h[at + i] for i in range(level)]) if len(at) else np.empty(0, np.uint64)
+                    keys = keys[find(named[level], keys)[1]]
+                keys, many = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "level": pa.array(np.full(len(keys), level, np.int32)),
+                        "h": pa.array(keys.view(np.int64)),
+                        "c": pa.array(many.astype(np.int64)),
+                    }
+                )
 
-def pack(doc, many, a_hot, b_hot, a_rank, b_rank, a_hash, b_hash) -> bytes:
-    parts = []
-    for first in (True, False):
-        for second in (True, False):
-            i = np.flatnonzero((a_hot == first) & (b_hot == second))
-            parts.append(np.uint32(len(i)).tobytes())
-            parts += [doc[i].astype(np.uint16).tobytes(), many[i].astype(np.uint32).tobytes()]
-            parts.append(a_rank[i].astype(np.uint16).tobytes() if first else hash_bytes(a_hash[i]))
-            parts.append(b_rank[i].astype(np.uint16).tobytes() if second else hash_bytes(b_hash[i]))
-    return b"".join(parts)
-
-
-def hash_bytes(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.ascontiguousarray(h, np.uint64).view(np.uint16).reshape(-1, 4)[:, :3]).tobytes()
-
+    return run
 
-def hashes_of(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 4), np.uint16)
-    out[:, :3] = np.frombuffer(raw, np.uint16).reshape(-1, 3)
-    return out.view(np.uint64).ravel()
 
+class Words:
+    """What every task knows: the vocabulary with its counts, and the scores of hot n-grams."""
 
-def unpack(blob: bytes):
-    """For each class: document numbers, repetitions, first and second words (uint64)."""
-    at = 0
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, hot: np.ndarray, hot_score: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.ranks, self.log_counts = hashes[order], order.astype(np.int64), np.log(np.maximum(counts, 1).astype(np.float64))
+        self.log_total = math.log(max(total, 1))
+        self.hot, self.hot_score = hot, hot_score
 
-    def take(n: int) -> bytes:
-        nonlocal at
-        at += n
-        return blob[at - n : at]
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        """Ranks of frequent words; hashes, moved above all ranks, of the others."""
+        if not len(h):
+            return np.empty(0, np.int64)
+        different, inverse = np.unique(h, return_inverse=True)
+        at, known = find(self.hashes, different)
+        code = different.astype(np.int64) + COLD
+        if known.any():
+            code[known] = self.ranks[at[known]]
+        return code[inverse]
 
-    for first in (True, False):
-        for second in (True, False):
-            n = int(np.frombuffer(take(4), np.uint32)[0])
-            doc = np.frombuffer(take(2 * n), np.uint16).astype(np.int64)
-            many = np.frombuffer(take(4 * n), np.uint32).astype(np.int64)
-            a = np.frombuffer(take(2 * n), np.uint16).astype(np.uint64) if first else hashes_of(take(6 * n))
-            b = np.frombuffer(take(2 * n), np.uint16).astype(np.uint64) if second else hashes_of(take(6 * n))
-            yield (first, second), doc, many, a, b
 
+def packed(columns: list[np.ndarray]) -> np.ndarray:
+    """The key of an n-gram of vocabulary words, which holds their ranks."""
+    return reduce(lambda acc, x: acc | x[1] << (BITS * x[0]), enumerate(columns), np.zeros(len(columns[0]), np.int64))
 
-class Tables:
-    """What every task knows: the hot words' counts, the top words' pair counts and the total."""
 
-    def __init__(self, hot: np.ndarray, hot_counts: np.ndarray, top: np.ndarray, pairs: np.ndarray, total: int, parts: int):
-        self.hot, self.top, self.pairs, self.parts = hot, top, pairs, parts
-        self.log_hot = np.log(np.maximum(hot_counts, 1).astype(np.float64))
-        self.back = float(np.log(ALPHA) - np.log(max(total, 1)))
-        self.log_total = float(np.log(max(total, 1)))
+def _exploded(known, order: int):
+    """Rows of each document: its different n-grams, its first words, and one with its total.
 
+    ``level`` is ``order`` for an n-gram. First words have the level of the
+    shorter n-gram that they are scored by; level 0 holds the number of tokens
+    in ``n`` and, in ``value``, the score of all that is known here.
+    """
+    names = ["doc", "key", "n", "level", *(f"w{i}" for i in range(order)), "value"]
+
+    def rows(doc, key, n, level, codes, value):
+        k = len(doc)
+        codes = [*codes, *[None] * (order - len(codes))]
+        empty = pa.nulls(k, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc), key if key is not None else empty, pa.array(n.astype(np.int64)), pa.array(np.full(k, level, np.int64))]
+            + [c if c is not None else empty for c in codes]
+            + [pa.array(value) if value is not None else pa.nulls(k, pa.float64())],
+            names=names,
+        )
 
-def _explode(t: Tables):
     def run(batches):
-        serial = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
-        for texts, ids in slices(batches, ["text", "doc_id"]):
+        w = known()
+        for texts, ids in slices(batches, ["text", "doc"]):
+            ids = np.array(ids, np.int64)
             h, doc = flat(texts)
-            n = len(texts)
-            rank, hot = find(t.hot, h)
-            small, top = find(t.top, h)
-            local = np.zeros(n)
-            lookups = []
-            first = np.ones(len(h), bool)
-            first[1:] = doc[1:] != doc[:-1]
-            lead = np.flatnonzero(first)
-            local += np.bincount(doc[lead], np.where(hot[lead], t.log_hot[rank[lead]] if len(t.hot) else 0.0, 0.0) - t.log_total, n)
-            cold = lead[~hot[lead]]
-            lookups.append((h[cold], doc[cold], np.ones(len(cold), np.int64)))
-            b = np.flatnonzero(~first)
-            a = b - 1
-            both = top[a] & top[b] & hot[a] & hot[b]
-            i, j = a[both], b[both]
-            c = t.pairs[small[i], small[j]]
-            value = np.where(c >= MIN_COUNT, np.log(np.maximum(c, 1)) - t.log_hot[rank[i]], t.back + t.log_hot[rank[j]]) if len(i) else np.empty(0)
-            local += np.bincount(doc[j], value, n)
-            a, b = a[~both], b[~both]
-            key = mix(mix(h[a]) * _ODD + h[b])
-            _, at, many = np.unique(mix(key + doc[b].astype(np.uint64) * _ODD), return_index=True, return_counts=True)
-            a, b, key = a[at], b[at], key[at]
-            part = ((key >> np.uint64(20)) % np.uint64(t.parts)).astype(np.int64)
-            order = np.lexsort((doc[b], part))
-            a, b, many, part = a[order], b[order], many[order], part[order]
-            edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(part)]
-            rows = [(int(serial % t.parts), "D", serial, ids, np.concatenate([local, np.bincount(doc, minlength=n).astype(np.float64)]).tobytes())]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                s = slice(lo, hi)
-                blob = pack(doc[b[s]], many[s], hot[a[s]], hot[b[s]], rank[a[s]], rank[b[s]], h[a[s]], h[b[s]])
-                rows.append((int(part[lo]), "P", serial, None, blob))
-            rows += lookup_rows(t.parts, *(np.concatenate(x) for x in zip(*lookups, strict=True)), np.full(len(cold), serial))
-            yield as_batch(rows)
-            serial += 1
+            code = w.codes(h)
+            local = np.zeros(len(texts))
+            position = np.arange(len(h)) - np.searchsorted(doc, doc)
+            for n in range(1, order):
+                end = np.flatnonzero(position == n - 1)
+                if n == 1:  # the part of the score that any first word has is known, and the count of a frequent one
+                    here = code[end] < COLD
+                    local[doc[end]] -= w.log_total
+                    local[doc[end[here]]] += w.log_counts[code[end[here]]]
+                    end = end[~here]
+                columns = [pa.array(code[end - n + 1 + i]) for i in range(n)]
+                yield rows(ids[doc[end]], None, np.ones(len(end)), n, columns, None)
+            at = starts(doc, order)
+            if len(at):
+                gram = gram_hash([h[at + i] for i in range(order)])
+                place, hot = find(w.hot, gram)
+                local += np.bincount(doc[at[hot]], w.hot_score[place[hot]], len(texts)) if hot.any() else 0.0
+                at, gram = at[~hot], gram[~hot]
+                _, first, many = np.unique(mix(gram + doc[at].astype(np.uint64) * _ODD), return_index=True, return_counts=True)
+                in_order = np.argsort(first, kind="stable")
+                at, many = at[first[in_order]], many[in_order]
+                columns = [code[at + i] for i in range(order)]
+                cold = np.any([c >= COLD for c in columns], axis=0)
+                key = pa.array(np.where(cold, 0, packed([np.minimum(c, COLD - 1) for c in columns])), mask=cold)
+                yield rows(ids[doc[at]], key, many, order, [pa.array(c, mask=~cold) for c in columns], None)
+            yield rows(ids, None, np.bincount(doc, minlength=len(texts)), 0, [], local)
 
     return run
 
 
-def lookup_rows(parts, h, doc, weight, batch):
-    """One row for each partition of the unigram table: (hash, document, weight, batch)."""
-    part = (h % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((doc, batch, part))
-    h, doc, weight, batch, part = h[order], doc[order], weight[order], batch[order], part[order]
-    edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(part)]
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        s = slice(lo, hi)
-        names, code = np.unique(batch[s], return_inverse=True)
-        blob = b"".join(
-            [
-                np.uint32(len(names)).tobytes(),
-                names.astype(np.int64).tobytes(),
-                np.uint32(hi - lo).tobytes(),
-                code.astype(np.uint32).tobytes(),
-                doc[s].astype(np.uint16).tobytes(),
-                weight[s].astype(np.int32).tobytes(),
-                hash_bytes(h[s]),
-            ]
-        )
-        yield int(part[lo]), "L", 0, None, blob
-
-
-def read_lookups(blob: bytes):
-    k = int(np.frombuffer(blob[:4], np.uint32)[0])
-    at = 4 + 8 * k
-    names = np.frombuffer(blob[4:at], np.int64)
-    n = int(np.frombuffer(blob[at : at + 4], np.uint32)[0])
-    at += 4
-    code = np.frombuffer(blob[at : at + 4 * n], np.uint32)
-    doc = np.frombuffer(blob[at + 4 * n : at + 6 * n], np.uint16)
-    weight = np.frombuffer(blob[at + 6 * n : at + 10 * n], np.int32)
-    return hashes_of(blob[at + 10 * n :]), doc.astype(np.int64), weight.astype(np.int64), names[code]
-
-
-def as_batch(rows) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    types = (pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], names=["part", "kind", "batch", "ids", "blob"])
-
-
-def sum_rows(part_of, batch, doc, value):
-    """One row for each batch with the sums of its documents."""
-    key, inverse = np.unique(batch * (1 << 16) + doc, return_inverse=True)
-    total = np.bincount(inverse, value, len(key))
-    owner, doc = key >> 16, key & 0xFFFF
-    edges = np.flatnonzero(np.diff(owner, prepend=-1)).tolist() + [len(key)]
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        blob = doc[lo:hi].astype(np.uint16).tobytes() + total[lo:hi].tobytes()
-        yield part_of, "S", int(owner[lo]), None, blob
-
-
-def read_sums(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 10
-    return np.frombuffer(blob[: 2 * n], np.uint16).astype(np.int64), np.frombuffer(blob[2 * n :], np.float64)
-
-
-def _join_bigrams(t: Tables):
-    """Count the bigrams of a partition, score their occurrences, pass cold words on."""
-
-    def run(table: pa.Table) -> pa.Table:
-        kinds, parts = table.column("kind").to_pylist(), table.column("part").to_pylist()
-        out, packed = [], {}
-        names, ids, blobs = table.column("batch").to_pylist(), table.column("ids").to_pylist(), table.column("blob").to_pylist()
-        for k in sorted(range(len(kinds)), key=lambda k: (kinds[k], names[k], blobs[k])):
-            if kinds[k] != "P":
-                out.append((parts[k], kinds[k], names[k], ids[k], blobs[k]))
-                continue
-            for cls, doc, many, a, b in unpack(blobs[k]):
-                packed.setdefault(cls, []).append((np.full(len(doc), names[k]), doc, many, a, b))
-        sums, lookups = [], []
-        for (first, second), chunks in packed.items():
-            batch, doc, many, a, b = (np.concatenate(x) for x in zip(*chunks, strict=True))
-            if not len(doc):
-                continue
-            key = a << np.uint64(48) | b if first else b << np.uint64(48) | a if second else mix(mix(a) * _ODD + b)
-            _, inverse = np.unique(key, return_inverse=True)
-            c = np.bincount(inverse, many)[inverse]
-            high = c >= MIN_COUNT
-            value = np.where(high, np.log(c), t.back)
-            if first:
-                value = value - np.where(high, t.log_hot[a.astype(np.int64)], 0.0)
-            else:
-                lookups.append((a[high], doc[high], -many[high], batch[high]))
-            if second:
-                value = value + np.where(high, 0.0, t.log_hot[b.astype(np.int64)])
-            else:
-                lookups.append((b[~high], doc[~high], many[~high], batch[~high]))
-            sums.append((batch, doc, value * many))
-        here = parts[0]
-        if sums:
-            out += sum_rows(here, *(np.concatenate(x) for x in zip(*sums, strict=True)))
-        if lookups:
-            out += lookup_rows(t.parts, *(np.concatenate(x) for x in zip(*lookups, strict=True)))
-        return pa.Table.from_batches([as_batch(out)])
-
-    return run
-
+def _combined(known, n: int):
+    """All n-grams of a shorter order, counted slice by slice."""
 
-def _join_words():
-    """Look cold words up in a partition of the unigram table; the rest passes through."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        key = right.column("h").to_numpy().astype(np.uint64)
-        count = right.column("c").to_numpy()
-        order = np.argsort(key)
-        key, log_count = key[order], np.log(np.maximum(count[order], 1).astype(np.float64))
-        kinds, parts = left.column("kind").to_pylist(), left.column("part").to_pylist()
-        names, ids, blobs = left.column("batch").to_pylist(), left.column("ids").to_pylist(), left.column("blob").to_pylist()
-        out, asked = [], []
-        for k in sorted(range(len(kinds)), key=lambda k: (kinds[k], names[k], blobs[k])):
-            if kinds[k] == "L":
-                asked.append(read_lookups(blobs[k]))
-            else:
-                out.append((parts[k], kinds[k], names[k], ids[k], blobs[k]))
-        if asked:
-            h, doc, weight, batch = (np.concatenate(x) for x in zip(*asked, strict=True))
-            at, known = find(key, h)
-            if not known.all():
-                raise ValueError("a word is missing in the unigram table")
-            out += sum_rows(parts[0], batch, doc, weight * log_count[at])
-        return pa.Table.from_batches([as_batch(out)])
+    def run(batches):
+        w = known()
+        for (texts,) in slices(batches, ["text"]):
+            h, doc = flat(texts)
+            code, at = w.codes(h), starts(doc, n)
+            columns = [code[at + i] for i in range(n)]
+            _, first, many = np.unique(gram_hash(columns), return_index=True, return_counts=True) if len(at) else (0, at, at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[first]) for c in columns] + [pa.array(many.astype(np.int64))], names=[*(f"w{i}" for i in range(n)), "n"]
+            )
 
     return run
 
 
-def _finish(table: pa.Table) -> pa.Table:
-    """Sum up a batch of documents, in a fixed order."""
-    kinds, blobs, ids = table.column("kind").to_pylist(), table.column("blob").to_pylist(), table.column("ids").to_pylist()
-    head = kinds.index("D")
-    docs = ids[head]
-    both = np.frombuffer(blobs[head], np.float64)
-    score, tokens = both[: len(docs)].copy(), both[len(docs) :].astype(np.int64)
-    for blob in sorted(b for k, b in zip(kinds, blobs, strict=True) if k == "S"):
-        doc, value = read_sums(blob)
-        score += np.bincount(doc, value, len(docs))
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array(tokens), "log_score": pa.array(score)})
+def gram_key(codes: list[Column]) -> Column:
+    """``packed`` for vocabulary words; a negative hash where another word takes part; a single word's code."""
+    if len(codes) == 1:
+        return codes[0]
+    pack = reduce(lambda acc, x: acc.bitwiseOR(F.shiftleft(x[1], BITS * x[0])), enumerate(codes[1:], 1), codes[0])
+    known = reduce(lambda acc, c: acc & (c < COLD), codes, F.lit(True))
+    return F.when(known, pack).otherwise(F.xxhash64(*codes).bitwiseOR(F.lit(-(2**63))))
 
 
 def most_frequent(counts: DataFrame, size: int) -> DataFrame:
@@ -357,42 +260,186 @@ def most_frequent(counts: DataFrame, size: int) -> DataFrame:
     return counts.where(F.col("c") >= 2**least).orderBy(F.desc("c"), "h").limit(size)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_per_part: int = TOKENS_PER_PART) -> DataFrame:
+def columns_of(table: pa.Table) -> dict[str, np.ndarray]:
+    return {name: table.column(name).to_numpy() for name in table.column_names}
+
+
+def lm_scores(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    order: int = ORDER,
+    min_count: int = MIN_COUNT,
+    alpha: float = ALPHA,
+    vocabulary: int = VOCABULARY,
+    hot_grams: int = HOT_GRAMS,
+    sample_rows: int = SAMPLE_ROWS,
+    rows_per_part: int = ROWS_PER_PART,
+) -> DataFrame:
     """``doc_id, n_tokens, log_score, mean_log_score`` for every row of ``docs``.
 
     Words are split at ASCII white space after lower-casing A-Z. Null and empty
-    texts have no tokens, the score 0 and no mean. Rows of a repeated id, and
-    null ids, are scored each. Extra columns are ignored.
+    texts have no tokens, the score 0 and no mean; an empty table gives none.
+    Rows of a repeated id, and null ids, are scored each: where there are any,
+    rows are numbered in a written copy of the two columns. Very long texts are
+    scored whole. Extra columns, whatever their names, are ignored. ``order`` is
+    2 or 3. An n-gram of fewer than ``min_count`` occurrences backs off.
+
+    At most ``sample_rows`` documents are sampled for names of hot n-grams; one
+    that ``share`` of all documents hold is missed with the probability
+    ``(1 - share) ** sample_rows``, so no partition's key has many more rows
+    than a few thousandths of the documents.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
-    ship(spark)
+    scratch = Scratch(spark)
     source = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-
-    some = hash_sample(source, SAMPLE_ROWS, "doc_id").select("text")
-    seen = some.mapInArrow(_count(np.empty(0, np.uint64)), WORDS).where("kind = 0").groupBy("h").agg(F.sum("c").alias("c"))
-    top = np.array(sorted(r["h"] for r in seen.orderBy(F.desc("c"), "h").limit(TOP).collect()), np.uint64)
-
-    counts = source.select("text").mapInArrow(_count(top), WORDS).groupBy("kind", "h").agg(F.sum("c").alias("c"))
-    counts = materialise(counts)
-    unigrams = counts.where("kind = 0").select("h", "c")
+    repeated = source.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
+    numbered = None
+    if repeated.isEmpty():
+        source = source.select("text", F.col("doc_id").alias("doc"))
+    else:
+        numbered = scratch.table(source.withColumn("doc", F.monotonically_increasing_id()))
+        source = numbered.select("text", "doc")
+
+    # Hot n-grams of the order, their contexts, and those of shorter orders, by word hashes.
+    named: dict[int, np.ndarray] = {}
+    seen: dict[int, list[np.ndarray]] = {}
+    some = scratch.table(hash_sample(source, sample_rows, "doc").select("text"))
+    for n in range(order, 1, -1):
+        keys = [f"w{i}" for i in range(n)]
+        found = some.mapInArrow(_sampled(n), ", ".join(f"{k} long" for k in [*keys, "c"]))
+        found = found.groupBy(*keys).agg(F.sum("c").alias("c")).where("c > 1").orderBy(F.desc("c"), *keys).limit(hot_grams)
+        got = columns_of(found.toArrow())
+        columns = [got[k].astype(np.uint64) for k in keys]
+        if n + 1 in seen:
+            columns = [np.concatenate([c, d]) for c, d in zip(columns, seen[n + 1], strict=False)]
+        hashes, first = np.unique(gram_hash(columns), return_index=True)
+        seen[n], named[n] = [c[first] for c in columns], hashes
+
+    sent_names = spark.sparkContext.broadcast(named)
+    counted = source.select("text").mapInArrow(lambda b: _counted(sent_names.value)(b), "level int, h long, c long")
+    counted = scratch.table(counted.groupBy("level", "h").agg(F.sum("c").alias("c")))
+    unigrams = counted.where("level = 1").select("h", "c")
     total = unigrams.agg(F.sum("c")).first()[0] or 0
-    ranked = sorted((r["h"], r["c"]) for r in most_frequent(unigrams, HOT).collect())
-    pairs = np.zeros((TOP, TOP), np.int64)
-    for r in counts.where("kind = 1").collect():  # TOP x TOP at most
-        pairs[r["h"] // TOP, r["h"] % TOP] = r["c"]
-    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(-(-total // tokens_per_part), min(wide, -(-total // (tokens_per_part // 8))), 1)
-    hot = np.array([h for h, _ in ranked], np.uint64)
-    tables = spark.sparkContext.broadcast(Tables(hot, np.array([c for _, c in ranked], np.int64), top, pairs, total, parts))
-
-    exploded = source.mapInArrow(lambda b: _explode(tables.value)(b), ROWS)
-    joined = exploded.groupBy("part").applyInArrow(lambda x: _join_bigrams(tables.value)(x), ROWS)
-    # Words on the hot list never are looked up; they stay in the table, of which they are a small part.
-    table = unigrams.select(F.pmod(F.col("h"), F.lit(parts)).cast("int").alias("part"), "h", "c")
-    resolved = joined.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(lambda left, right: _join_words()(left, right), ROWS)
-    out = resolved.groupBy("batch").applyInArrow(_finish, "doc_id long, n_tokens long, log_score double")
-    return out.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))
+    listed = columns_of(most_frequent(unigrams, min(vocabulary, VOCABULARY)).toArrow())
+    frequent, counts = listed["h"].astype(np.uint64), listed["c"].astype(np.int64)
+    coder = Words(frequent, counts, total, np.empty(0, np.uint64), np.empty(0))
+
+    # Their counts: the score of those of the full order, a small table for each shorter one.
+    hot_counts: dict[int, tuple[np.ndarray, np.ndarray]] = {1: (frequent[np.argsort(frequent)], counts[np.argsort(frequent)])}
+    answers: dict[int, DataFrame] = {1: _table(spark, np.arange(len(counts)), counts)}
+    for n in range(2, order + 1):
+        got = columns_of(counted.where(F.col("level") == n).select("h", "c").toArrow())
+        by = np.argsort(got["h"].view(np.uint64))
+        hot_counts[n] = got["h"].view(np.uint64)[by], got["c"][by]
+        at, there = find(hot_counts[n][0], named[n])
+        codes = [coder.codes(c) for c in seen[n]]
+        there &= np.all([c < COLD for c in codes], axis=0)
+        if n < order:
+            answers[n] = _table(spark, packed([c[there] for c in codes]), hot_counts[n][1][at[there]])
+    hot, score = np.empty(0, np.uint64), np.empty(0)
+    if len(named[order]):
+        at, there = find(hot_counts[order][0], named[order])
+        context = seen[order][: order - 1]
+        below, known = find(hot_counts[order - 1][0], context[0] if order == 2 else gram_hash(context))
+        there &= known
+        c = np.where(there, hot_counts[order][1][at] if len(hot_counts[order][1]) else 0, 0)
+        there &= c >= min_count
+        hot, score = named[order][there], np.log(c[there]) - np.log(hot_counts[order - 1][1][below[there]])
+    coder.hot, coder.hot_score = hot, score
+    sent = spark.sparkContext.broadcast(coder)
+
+    def known():
+        return sent.value
+
+    codes = [f"w{i}" for i in range(order)]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_part))
+    fields = ["doc", "key", "n", "level", *codes, "value"]
+    exploded = source.mapInArrow(lambda b: _exploded(known, order)(b), ", ".join(f"{f} {'double' if f == 'value' else 'long'}" for f in fields))
+    log_alpha, log_total = math.log(alpha), coder.log_total
+    hashed = F.coalesce("key", F.when(F.col("level") == order, gram_key([F.col(c) for c in codes])).otherwise(F.xxhash64("doc", "level").bitwiseOR(F.lit(-(2**63)))))
+    spread = exploded.withColumn("key", hashed).repartition(parts, "key")
+    # The table takes the greatest of each column that the rows carry, so that one exchange serves both.
+    carried = ["doc", "level", *codes, "value"]
+    table = spread.groupBy("key").agg(F.sum("n").alias("c"), *[F.min(x).alias(f"t_{x}") for x in carried])
+    joined = spread.join(table.hint("shuffle_hash"), "key").select("key", "n", "c", *[F.greatest(x, f"t_{x}").alias(x) for x in carried])
+    ranks = [F.shiftright("key", BITS * i).bitwiseAND(F.lit(COLD - 1)) for i in range(order)]
+    rows = joined.select(
+        "doc",
+        F.when(F.col("level") == 0, F.col("n")).alias("tokens"),
+        F.coalesce("value", F.lit(0.0)).alias("value"),
+        F.col("level").alias("ask"),
+        *[F.when((F.col("level") == order) & F.col(c).isNull(), r).otherwise(F.col(c)).alias(c) for c, r in zip(codes, ranks, strict=True)],
+        F.col("n").alias("weight"),
+        F.lit(False).alias("plain"),
+        "c",
+    )
+    rows = answered(rows, order, min_count, log_alpha, log_total)
+    for n in range(order - 1, 1, -1):
+        asked = rows.withColumn("key", F.when(F.col("ask") == n, gram_key([F.col(c) for c in codes[:n]])))
+        asked = scratch.table(asked.join(F.broadcast(answers[n]), "key", "left"))
+        # (bound here: the loop's next round has another n)
+        below = source.select("text").mapInArrow(lambda b, n=n: _combined(known, n)(b), ", ".join(f"{c} long" for c in [*codes[:n], "n"]))
+        below = below.select(gram_key([F.col(c) for c in codes[:n]]).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("c"))
+        open_ = (F.col("ask") == n) & F.col("c").isNull()
+        told = asked.where(open_).drop("c").join(below, "key").select(asked.columns)
+        rows = answered(asked.where(~open_).unionByName(told).drop("key"), n, min_count, log_alpha, log_total)
+
+    # The last asks are for words: those of the vocabulary are known everywhere, the others joined to the table.
+    words_ = answers[1].select(F.col("key").alias("w0"), F.log(F.col("c").cast("double")).alias("log_c"))
+    rows = rows.withColumn("w0", F.when(F.col("ask") == 1, F.col("w0"))).join(F.broadcast(words_), "w0", "left")
+    rows = rows.select(
+        "doc",
+        "tokens",
+        (F.col("value") + F.coalesce(F.col("weight") * F.col("log_c"), F.lit(0.0))).alias("value"),
+        F.when(F.col("log_c").isNull(), F.col("w0")).alias("w0"),
+        F.when(F.col("w0").isNotNull(), F.col("weight")).alias("weight"),
+    )
+    rows = scratch.table(rows.groupBy("doc", "w0").agg(*[F.sum(c).alias(c) for c in ("tokens", "value", "weight")]))
+    rare = unigrams.select((F.col("h") + F.lit(COLD)).alias("w0"), F.log(F.col("c").cast("double")).alias("log_c"))
+    looked = rows.where("w0 IS NOT NULL").join(rare, "w0").select("doc", "tokens", (F.col("value") + F.col("weight") * F.col("log_c")).alias("value"))
+    out = rows.where("w0 IS NULL").select("doc", "tokens", "value").unionByName(looked)
+    out = out.groupBy("doc").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"), F.round(F.sum("value"), 6).alias("log_score"))
+    if numbered is None:
+        out = out.withColumnRenamed("doc", "doc_id")
+    else:
+        out = out.join(numbered.select("doc", "doc_id"), "doc")
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens"))
+    return out.select("doc_id", "n_tokens", "log_score", mean.alias("mean_log_score"))
+
+
+def _table(spark, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({"key": pa.array(keys.astype(np.int64)), "c": pa.array(counts.astype(np.int64))}))
+
+
+def answered(rows: DataFrame, n: int, min_count: int, log_alpha: float, log_total: float) -> DataFrame:
+    """Take the count ``c`` that answers what rows ask of order ``n``, and turn to what they ask next.
+
+    A plain ask is for the count alone. Any other is a score: with a frequent
+    n-gram, its context's count is asked for, to be subtracted; else the score of
+    the n-gram without its first word.
+    """
+    here, plain = F.col("ask") == n, F.col("plain")
+    often = F.col("c") >= min_count
+    log_c = F.log(F.col("c").cast("double"))
+    value = F.col("weight") * F.when(plain | often, log_c).otherwise(F.lit(log_alpha))
+    if n == 2:
+        value -= F.when(~plain & ~often, F.col("weight") * log_total).otherwise(F.lit(0.0))
+    codes = [c for c in rows.columns if c[0] == "w" and c[1:].isdigit()]
+    moved = [F.when(here & ~often, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in zip(codes, codes[1:], strict=False)]
+    return rows.select(
+        "doc",
+        "tokens",
+        (F.col("value") + F.when(here, value).otherwise(F.lit(0.0))).alias("value"),
+        F.when(here & plain, 0).when(here, n - 1).otherwise(F.col("ask")).alias("ask"),
+        *(moved or codes),
+        F.when(here & often, -F.col("weight")).otherwise(F.col("weight")).alias("weight"),
+        F.when(here, often).otherwise(plain).alias("plain"),
+    )
 
 
 def op8_lm_score(spark, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents`` at order two; nulls, empty texts and repeated rows as in ``lm_scores``."""
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
