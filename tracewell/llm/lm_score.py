@@ -30,17 +30,17 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import Scratch, hash_sample, utf8
 from tracewell.llm.minhash import mix
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
-BITS = 20
+BITS = 18
 COLD = 1 << BITS  # codes from here on are hashes
 VOCABULARY = COLD - 1
-HOT_GRAMS, SAMPLE_ROWS = 262_143, 8000
+HOT_GRAMS, SAMPLE_ROWS = 131_071, 4000
 SLICE_ROWS, SLICE_CHARS = 2048, 3_000_000
 ROWS_PER_PART = 2_000_000
 
@@ -166,18 +166,18 @@ def packed(columns: list[np.ndarray]) -> np.ndarray:
 def _exploded(known, order: int):
     """Rows of each document: its different n-grams, its first words, and one with its total.
 
-    ``level`` is ``order`` for an n-gram. First words have the level of the
-    shorter n-gram that they are scored by; level 0 holds the number of tokens
-    in ``n`` and, in ``value``, the score of all that is known here.
+    A row of first words, which are scored by a shorter n-gram, has the negative
+    order of that in ``n``. The row with a total holds the number of tokens in
+    ``n`` and, in ``value``, the score of all that is known here.
     """
-    names = ["doc", "key", "n", "level", *(f"w{i}" for i in range(order)), "value"]
+    names = ["doc", "key", "n", *(f"w{i}" for i in range(order)), "value"]
 
-    def rows(doc, key, n, level, codes, value):
+    def rows(doc, key, n, codes, value):
         k = len(doc)
         codes = [*codes, *[None] * (order - len(codes))]
         empty = pa.nulls(k, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc), key if key is not None else empty, pa.array(n.astype(np.int64)), pa.array(np.full(k, level, np.int64))]
+            [pa.array(doc), key if key is not None else empty, pa.array(n.astype(np.int64))]
             + [c if c is not None else empty for c in codes]
             + [pa.array(value) if value is not None else pa.nulls(k, pa.float64())],
             names=names,
@@ -199,7 +199,7 @@ def _exploded(known, order: int):
                     local[doc[end[here]]] += w.log_counts[code[end[here]]]
                     end = end[~here]
                 columns = [pa.array(code[end - n + 1 + i]) for i in range(n)]
-                yield rows(ids[doc[end]], None, np.ones(len(end)), n, columns, None)
+                yield rows(ids[doc[end]], None, np.full(len(end), -n), columns, None)
             at = starts(doc, order)
             if len(at):
                 gram = gram_hash([h[at + i] for i in range(order)])
@@ -212,8 +212,8 @@ def _exploded(known, order: int):
                 columns = [code[at + i] for i in range(order)]
                 cold = np.any([c >= COLD for c in columns], axis=0)
                 key = pa.array(np.where(cold, 0, packed([np.minimum(c, COLD - 1) for c in columns])), mask=cold)
-                yield rows(ids[doc[at]], key, many, order, [pa.array(c, mask=~cold) for c in columns], None)
-            yield rows(ids, None, np.bincount(doc, minlength=len(texts)), 0, [], local)
+                yield rows(ids[doc[at]], key, many, [pa.array(c, mask=~cold) for c in columns], None)
+            yield rows(ids, None, np.bincount(doc, minlength=len(texts)), [], local)
 
     return run
 
@@ -323,13 +323,15 @@ def lm_scores(
     counted = scratch.table(counted.groupBy("level", "h").agg(F.sum("c").alias("c")))
     unigrams = counted.where("level = 1").select("h", "c")
     total = unigrams.agg(F.sum("c")).first()[0] or 0
-    listed = columns_of(most_frequent(unigrams, min(vocabulary, VOCABULARY)).toArrow())
+    ranked = most_frequent(unigrams, min(vocabulary, VOCABULARY))
+    ranked = scratch.table(ranked.select("h", "c", (F.row_number().over(Window.orderBy(F.desc("c"), "h")) - 1).cast("long").alias("key")))
+    listed = columns_of(ranked.orderBy("key").toArrow())
     frequent, counts = listed["h"].astype(np.uint64), listed["c"].astype(np.int64)
     coder = Words(frequent, counts, total, np.empty(0, np.uint64), np.empty(0))
 
     # Their counts: the score of those of the full order, a small table for each shorter one.
     hot_counts: dict[int, tuple[np.ndarray, np.ndarray]] = {1: (frequent[np.argsort(frequent)], counts[np.argsort(frequent)])}
-    answers: dict[int, DataFrame] = {1: _table(spark, np.arange(len(counts)), counts)}
+    answers: dict[int, DataFrame] = {1: ranked.select("key", "c")}
     for n in range(2, order + 1):
         got = columns_of(counted.where(F.col("level") == n).select("h", "c").toArrow())
         by = np.argsort(got["h"].view(np.uint64))
@@ -356,23 +358,24 @@ def lm_scores(
 
     codes = [f"w{i}" for i in range(order)]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_part))
-    fields = ["doc", "key", "n", "level", *codes, "value"]
+    fields = ["doc", "key", "n", *codes, "value"]
     exploded = source.mapInArrow(lambda b: _exploded(known, order)(b), ", ".join(f"{f} {'double' if f == 'value' else 'long'}" for f in fields))
     log_alpha, log_total = math.log(alpha), coder.log_total
-    hashed = F.coalesce("key", F.when(F.col("level") == order, gram_key([F.col(c) for c in codes])).otherwise(F.xxhash64("doc", "level").bitwiseOR(F.lit(-(2**63)))))
+    alone = F.xxhash64("doc", "n").bitwiseOR(F.lit(-(2**63)))  # a row that is no n-gram of the order
+    hashed = F.coalesce("key", F.when(F.col(codes[-1]).isNull(), alone).otherwise(gram_key([F.col(c) for c in codes])))
     spread = exploded.withColumn("key", hashed).repartition(parts, "key")
     # The table takes the greatest of each column that the rows carry, so that one exchange serves both.
-    carried = ["doc", "level", *codes, "value"]
+    carried = ["doc", *codes, "value"]
     table = spread.groupBy("key").agg(F.sum("n").alias("c"), *[F.min(x).alias(f"t_{x}") for x in carried])
     joined = spread.join(table.hint("shuffle_hash"), "key").select("key", "n", "c", *[F.greatest(x, f"t_{x}").alias(x) for x in carried])
     ranks = [F.shiftright("key", BITS * i).bitwiseAND(F.lit(COLD - 1)) for i in range(order)]
     rows = joined.select(
         "doc",
-        F.when(F.col("level") == 0, F.col("n")).alias("tokens"),
+        F.when(F.col("value").isNotNull(), F.col("n")).alias("tokens"),
         F.coalesce("value", F.lit(0.0)).alias("value"),
-        F.col("level").alias("ask"),
-        *[F.when((F.col("level") == order) & F.col(c).isNull(), r).otherwise(F.col(c)).alias(c) for c, r in zip(codes, ranks, strict=True)],
-        F.col("n").alias("weight"),
+        F.when(F.col("value").isNotNull(), 0).when(F.col("n") < 0, -F.col("n")).otherwise(order).cast("int").alias("ask"),
+        *[F.coalesce(c, r).alias(c) for c, r in zip(codes, ranks, strict=True)],
+        F.when(F.col("n") < 0, 1).otherwise(F.col("n")).alias("weight"),
         F.lit(False).alias("plain"),
         "c",
     )
