@@ -201,15 +201,93 @@ def test_main_text_without_article_element():
     assert html_text.main_text(page) == "Some words stand here in a row. Ok."
 
 
-@pytest.mark.parametrize("page", [None, "", "<html></html>", "<p", "<script>x", "</div></p>"])
+@pytest.mark.parametrize("page", [None, "", "<html></html>", "<script>x", "</div></p>", "<nav></nav>"])
 def test_pages_without_text(page):
-    assert html_text.main_text(page) == "" or page == "<p"
+    assert html_text.main_text(page) == ""
 
 
-def test_pages_as_rows(spark):
+def test_broken_markup_is_read_as_far_as_it_goes():
+    assert html_text.main_text("<p>One line of words <b>and an end that never") == "One line of words and an end that never"
+    assert html_text.main_text("plain words without any tag") == "plain words without any tag"
+    deep = "<div>" * 3000 + "<p>Words that lie deep</p>"
+    assert html_text.main_text(deep) == "Words that lie deep"
+
+
+PARAGRAPHS = [
+    "The first paragraph of the text tells a story of some length, as paragraphs do.",
+    "Ok.",
+    "Another one goes on for a while, with a link to nothing and more of its words after that.",
+    "And a third one ends it, since every text that has begun must come to an end at last.",
+]
+
+
+def bare_page():
+    """Divisions without telling tags or names: a menu, a text, links, and a line on who made it."""
+    links = "".join(f"<div><a href=/{i}>Page {i}</a></div>" for i in range(7))
+    more = "".join(f"<div><a href=/m{i}>See also number {i}</a> <span>{i}</span></div>" for i in range(6))
+    text = "".join(f"<div>{p}</div>" for p in PARAGRAPHS)
+    return f"<body><div>{links}</div><div><div>A head</div>{text}</div><div>{more}</div><div>Made by somebody in a town by the sea</div></body>"
+
+
+def chosen(page, values=None, **how):
+    lines = html_text.page_lines(page)
+    return [lines[i].text for i in html_text.content_lines(lines, values(lines) if values else None, **how)]
+
+
+def test_ratios_choose_the_region():
+    want = ["A head", *PARAGRAPHS]
+    assert chosen(bare_page()) == chosen(bare_page(), tag_rules=False) == want
+    assert chosen(bare_page(), lambda x: -html_text.line_values(x)) != want
+    many = bare_page().replace("<div>Ok.</div>", "<div>Ok.</div>" * 6)
+    assert chosen(many) == want[:2] + ["Ok."] * 6 + want[3:]
+    raw = html_text.line_values(html_text.page_lines(many), sigma=0)
+    smoothed = html_text.line_values(html_text.page_lines(many))
+    assert sum(raw) < sum(smoothed)  # short paragraphs between long ones are lifted by their neighbours
+
+
+def test_region_in_a_flat_body():
+    flat = "<body>" + "".join(f"<p><a>Link {i}</a></p>" for i in range(5)) + "<h1>A head</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    flat += "".join(f"<p><a>More {i}</a></p>" for i in range(5))
+    assert chosen(flat) == ["A head", *PARAGRAPHS]
+
+
+def test_names_and_tags_correct_the_edges():
+    text = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    page = f"<body><article>{text}<div class='ad big'><p>Buy this thing now, it is cheap and good.</p></div><section id=comments><p>A reader says some words on that.</p></section></article></body>"
+    assert chosen(page) == PARAGRAPHS
+    named = f"<body><div class=ad>{text}</div><p>x</p></body>"  # a name that most of the text stands under is wrong
+    assert set(PARAGRAPHS) <= set(chosen(named))
+    kept = f"<body><article>{text}<div class='story-promo social related'><p>These words belong to it.</p></div></article></body>"
+    assert chosen(kept) == [*PARAGRAPHS, "These words belong to it."]
+
+
+def test_very_long_and_repeated_pages(spark):
+    page = f"<article>{''.join(f'<p>{PARAGRAPHS[i % 4]}</p>' for i in range(20_000))}</article><footer>end</footer>"
+    assert len(html_text.main_text(page)) == sum(len(PARAGRAPHS[i % 4]) + 1 for i in range(20_000)) - 1
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 7), (1, "u", "<p>a</p>", 7), (2, None, None, None)], "page_id long, url string, html string, text int")
     rows = html_text.extract_text(pages).orderBy("page_id").collect()
     assert [(r["text"], r["n_chars"]) for r in rows] == [("a", 1), ("a", 1), ("", 0)]
+    assert html_text.extract_text(pages.where("false")).count() == 0
+
+
+def test_registered_pages_match_their_template(spark, small):
+    """The test tables' pages have their text in ``article``, by block: read them with regular expressions."""
+    import html
+    import re
+
+    blocks = r"</?(?:h1|p|ul|li|div|article)(?:\s[^>]*)?>"
+
+    def plain(page):
+        inner = re.search(r"<article>(.*?)</article>", page or "", re.S)
+        parts = re.split(blocks, inner[1] if inner else "")
+        texts = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in parts]
+        return " ".join(t for t in texts if t)
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    rows = html_text.op6_html_text(spark, small).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        assert r["text"] == plain(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
 
 
 # --- media

@@ -1,18 +1,24 @@
 """Main text of web pages from text-to-tag ratios.
 
 The standard library's parser streams a page's events into lines, one for each
-block of text. Elements that are never part of an article (menus, headers,
-footers, side columns, notices, adverts, forms, scripts, styles, comments) are
-passed over, by element, role or the words of class and id. Each remaining line
-has a text-to-tag ratio; Gaussian smoothing over the lines and a threshold of
-one standard deviation cluster them into content and the rest. A content
-cluster grows to the article that it lies in, or else to the smallest element
-that holds all clusters, so that short paragraphs stay.
+block of text of the whole page, menus and all; only what no browser shows as
+text (scripts, styles, form controls, comments) is passed over. A line's
+text-to-tag ratio counts its characters outside links over its tags. Gaussian
+smoothing of the ratios' logarithms and a threshold between their two means
+cluster the lines: each gets a value between -1 and 1 by its distance from the
+threshold. The content region is the container with the greatest sum of values:
+paragraphs speak for it, menus and link lists against, and a short paragraph
+stays with its neighbours. Where nothing but the page's body holds the clusters,
+the region reaches from the first cluster to the last.
+
+Tags correct the edges: a menu, footer, form or side column is no region while
+another has text, ``article`` and ``main`` count as a little more, and inside the
+region elements go that say by tag, role or name that they are no article text,
+unless they hold most of it.
 """
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,72 +33,73 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset(
-    "nav header footer aside form script style noscript template iframe object svg canvas button select textarea menu dialog head title audio video".split()
-)
+HIDDEN = frozenset("script style noscript template iframe object svg canvas button select textarea head title audio video".split())
+ASIDE = frozenset("nav header footer aside form menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words of class and id names that mark what is no article text.
-MARKS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted "
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs toc pagination pager "
-    "header masthead topbar footer bottombar sidebar side aside rail widget widgets "
-    "notice notices cookie cookies consent gdpr popup modal overlay alert paywall "
-    "comment comments commentlist reply replies respond disqus discussion "
-    "form search login signup subscribe subscription newsletter "
-    "share sharing social related recommended recommendations hidden".split()
+#: Whole names (class or id) of elements beside an article's text.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement sponsored promo comments comment-list commentlist disqus_thread respond "
+    "sidebar cookie-notice cookie-banner newsletter breadcrumb breadcrumbs share-buttons".split()
 )
-#: With one of these a name tells of a neighbour (``has-sidebar``), or an article of its kind (``promo-story``).
-NEGATIONS = frozenset("has with no without".split())
-CONTENT = frozenset("article main content post entry story body".split())
+CONTAINERS = frozenset("article main section div td center body html nav header footer aside form menu dialog ul ol dl table".split())
 CLOSED_BY_BLOCK = frozenset(("p",))
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table select article section div main body blockquote".split())
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
+#: Characters for each tag that are text on any page: where all lines have more, none is below the threshold.
+TEXT_RATIO = 20
+#: Lines that ``article`` and ``main`` count more; standard deviation of the smoothing, in lines.
+BONUS, SIGMA = 2.0, 1.0
+
+SHOWN, BESIDE, UNSEEN = 0, 1, 2
 
-def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag in ("body", "html", "main"):
-        return False
+
+def kind_of(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """Whether an element is text, text beside the article, or nothing that is shown."""
+    if tag in HIDDEN:
+        return UNSEEN
+    kind = BESIDE if tag in ASIDE else SHOWN
     for name, value in attrs:
         value = value or ""
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name == "role" and value.strip().lower() in ROLES:
-            return True
-        if name in ("class", "id"):
-            for one in value.split():
-                words = {w.lower() for w in _WORDS.findall(one)}
-                if words & MARKS and not words & NEGATIONS and not (tag == "article" and words & CONTENT):
-                    return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
+            return UNSEEN
+        if name == "role" and value.strip().lower() in ROLES or name in ("class", "id") and not NAMES.isdisjoint(value.lower().split()):
+            kind = BESIDE
+    return SHOWN if tag in ("body", "html") else kind
+
+
+class Line:
+    __slots__ = ("inside", "linked", "tags", "text")
+
+    def __init__(self, text: str, linked: int, tags: int, inside: tuple[tuple[str, int, int], ...]):
+        self.text, self.linked, self.tags, self.inside = text, linked, tags, inside
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, open elements) for each block of text outside boilerplate."""
+    """Collects a line for each block of text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, number of the element, whether it begins boilerplate
-        self.lines: list[tuple[str, int, tuple[tuple[str, int], ...]]] = []
+        self.stack: list[tuple[str, int, int]] = []  # tag, number of the element, its kind
+        self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
         self.elements = 0
-        self.skipping = 0
+        self.skipping = self.links = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, tuple((t, n) for t, n, _ in self.stack)))
+            self.lines.append(Line(text, self.linked, self.tags, tuple(self.stack)))
             self.tags = 0
+        self.linked = 0
         self.parts.clear()
 
     def pop(self, depth: int) -> None:
         while len(self.stack) > depth:
-            self.skipping -= self.stack.pop()[2]
+            tag, _, kind = self.stack.pop()
+            self.skipping -= kind == UNSEEN
+            self.links -= tag == "a"
 
     def handle_starttag(self, tag, attrs):
         if not self.skipping:
@@ -111,11 +118,12 @@ class Lines(HTMLParser):
                 self.parts.append(" ")
             return
         self.elements += 1
-        drop = is_boilerplate(tag, attrs)
-        if drop:
+        kind = kind_of(tag, attrs)
+        if kind != SHOWN:
             self.flush()
-        self.stack.append((tag, self.elements, drop))
-        self.skipping += drop
+        self.stack.append((tag, self.elements, kind))
+        self.skipping += kind == UNSEEN
+        self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -132,8 +140,8 @@ class Lines(HTMLParser):
             self.flush()
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
-                if self.stack[depth][2]:
-                    self.parts.clear()
+                if self.stack[depth][2] == BESIDE:
+                    self.flush()
                 self.pop(depth)
                 break
             if tag not in BLOCKS and self.stack[depth][0] in BLOCKS:
@@ -142,59 +150,124 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self.skipping:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
 
-def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    if sigma <= 0:
+        return values
     reach = int(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    padded = np.pad(ratios, reach, mode="edge")
-    return np.convolve(padded, kernel / kernel.sum(), mode="valid")
+    return np.convolve(np.pad(values, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
+
+
+def ratios(lines: list[Line]) -> np.ndarray:
+    """Characters outside links for each tag of a line."""
+    return np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
+
 
+def threshold(levels: np.ndarray) -> float:
+    """Halfway between the means of the levels above and below it, found by iteration; ``TEXT_RATIO`` at most."""
+    at = float(levels.mean())
+    for _ in range(32):
+        high, low = levels[levels > at], levels[levels <= at]
+        if not len(high) or not len(low):
+            break
+        moved = float(high.mean() + low.mean()) / 2
+        if abs(moved - at) < 1e-9:
+            break
+        at = moved
+    return min(at, float(np.log1p(TEXT_RATIO)))
 
-def content_lines(lines: list[tuple[str, int, tuple[tuple[str, int], ...]]]) -> list[int]:
-    """Numbers of the lines that belong to the main text."""
+
+def line_values(lines: list[Line], sigma: float = SIGMA) -> np.ndarray:
+    """Between -1 and 1: how far a line's smoothed ratio is from the clusters' border."""
+    levels = smooth(np.log1p(ratios(lines)), sigma)
+    return np.clip(levels - threshold(levels), -1, 1)
+
+
+def content_lines(lines: list[Line], values: np.ndarray | None = None, tag_rules: bool = True) -> list[int]:
+    """Numbers of the lines of the main text; without ``tag_rules`` by ratios and containers alone."""
     if not lines:
         return []
-    ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines])
-    level = smooth(ratios)
-    dense = np.flatnonzero(level >= min(level.std(), level.mean()))
-    articles = set()
-    for i in dense:
-        inside = [n for tag, n in lines[i][2] if tag == "article"] or [n for tag, n in lines[i][2] if tag == "main"]
-        articles.update(inside[:1])
-    if articles:
-        weight = {a: 0 for a in articles}
-        for i in dense:
-            for _, n in lines[i][2]:
-                if n in weight:
-                    weight[n] += len(lines[i][0])
-        most = max(weight.values())
-        articles = {a for a, w in weight.items() if w * 4 >= most}
-        return [i for i, line in enumerate(lines) if any(n in articles for _, n in line[2])]
-    paths = [lines[i][2] for i in dense]
-    shared = 0
-    while all(len(p) > shared and p[shared] == paths[0][shared] for p in paths):
-        shared += 1
-    if shared and paths[0][shared - 1][0] not in ("body", "html"):
-        holder = paths[0][shared - 1]
-        return [i for i, line in enumerate(lines) if holder in line[2]]
-    return list(range(dense[0], dense[-1] + 1))
+    values = line_values(lines) if values is None else values
+    sums: dict[int, float] = {}
+    about: dict[int, tuple[str, int, bool]] = {}
+    first: dict[int, int] = {}
+    for i, line in enumerate(lines):
+        aside = False
+        for depth, (tag, n, kind) in enumerate(line.inside):
+            aside |= kind == BESIDE
+            if tag in CONTAINERS:
+                sums[n] = sums.get(n, 0.0) + float(values[i])
+                about[n] = tag, depth, aside
+                first.setdefault(n, i)
+    if tag_rules:
+        for n, (tag, _, aside) in about.items():
+            if tag in ("article", "main") and not aside:
+                sums[n] += BONUS
+    able = [n for n in sums if not (tag_rules and about[n][2])] or list(sums)
+    region = max(able, key=lambda n: (round(sums[n], 9), about[n][1], -first[n]), default=None)
+    if region is None or about[region][0] in ("body", "html"):
+        dense = np.flatnonzero(values > 0)
+        if not len(dense):
+            dense = np.arange(len(lines))
+        low, high = int(dense[0]), int(dense[-1])
+        while low < high and 2 * lines[low].linked > len(lines[low].text):
+            low += 1
+        while low < high and 2 * lines[high].linked > len(lines[high].text):
+            high -= 1
+        while low and not lines[low - 1].linked:
+            low -= 1
+        while high + 1 < len(lines) and not lines[high + 1].linked:
+            high += 1
+        chosen = list(range(low, high + 1))
+    else:
+        chosen = [i for i, line in enumerate(lines) if any(n == region for _, n, _ in line.inside)]
+    if not tag_rules:
+        return chosen
+    return without_asides(lines, chosen, region)
 
 
-def main_text(html: str | None) -> str:
+def without_asides(lines: list[Line], chosen: list[int], region: int | None) -> list[int]:
+    """Leave out what stands beside the text within a region, but for an element that holds most of it."""
+    size: dict[int, int] = {}
+    holders: dict[int, list[int]] = {}
+    for i in chosen:
+        below = region is None
+        for _, n, kind in lines[i].inside:
+            if below and kind == BESIDE:
+                size[n] = size.get(n, 0) + len(lines[i].text)
+                holders.setdefault(i, []).append(n)
+            below |= n == region
+    total = sum(len(lines[i].text) for i in chosen)
+    semantic = {n for i in chosen for tag, n, _ in lines[i].inside if tag in ASIDE}
+    gone = {n for n, many in size.items() if n in semantic or 2 * many < total}
+    return [i for i in chosen if gone.isdisjoint(holders.get(i, ()))]
+
+
+def page_lines(html: str | None) -> list[Line]:
     parser = Lines()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    return " ".join(parser.lines[i][0] for i in content_lines(parser.lines))
+    return parser.lines
+
+
+def main_text(html: str | None) -> str:
+    lines = page_lines(html)
+    return " ".join(lines[i].text for i in content_lines(lines))
 
 
 def extract_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Add ``text`` and ``n_chars`` (code points) to every row.
 
     A null or empty page, and one without article text, has the empty text.
-    Malformed markup is read as far as it goes. Columns named like the new ones
-    are replaced.
+    Malformed markup is read as far as it goes; a tag that never ends holds no
+    text. Pages of any length are read whole; equal pages have equal texts.
+    Between containers of equal sums the innermost, then the first, is taken.
+    Columns named like the new ones are replaced; an empty table gives none.
     """
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
 
@@ -209,5 +282,6 @@ def extract_text(pages: DataFrame, html: str = "html", keep: list[str] | None =
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:
+    """Main text of all ``pages``; nulls, empty and repeated pages as in ``extract_text``."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return extract_text(pages, keep=["page_id", "url"]).select("page_id", "url", "text", F.col("n_chars"))
