@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -71,6 +72,16 @@ class Scratch:
                 where.getFileSystem(conf).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which else may come
+    only when the disks are full. Call it where a large exchange has served.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     return Scratch(df.sparkSession).table(df)

@@ -33,14 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import Scratch, hash_sample, utf8
+from tracewell.llm.common import Scratch, hash_sample, release, utf8
 from tracewell.llm.minhash import mix
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
-BITS = 18
+BITS = 20
 COLD = 1 << BITS  # codes from here on are hashes
 VOCABULARY = COLD - 1
-HOT_GRAMS, SAMPLE_ROWS = 131_071, 4000
+HOT_GRAMS, SAMPLE_ROWS = 262_143, 8000
 SLICE_ROWS, SLICE_CHARS = 2048, 3_000_000
 ROWS_PER_PART = 2_000_000
 
@@ -321,6 +321,7 @@ def lm_scores(
     sent_names = spark.sparkContext.broadcast(named)
     counted = source.select("text").mapInArrow(lambda b: _counted(sent_names.value)(b), "level int, h long, c long")
     counted = scratch.table(counted.groupBy("level", "h").agg(F.sum("c").alias("c")))
+    release(spark)
     unigrams = counted.where("level = 1").select("h", "c")
     total = unigrams.agg(F.sum("c")).first()[0] or 0
     ranked = most_frequent(unigrams, min(vocabulary, VOCABULARY))
@@ -401,6 +402,8 @@ def lm_scores(
         F.when(F.col("w0").isNotNull(), F.col("weight")).alias("weight"),
     )
     rows = scratch.table(rows.groupBy("doc", "w0").agg(*[F.sum(c).alias(c) for c in ("tokens", "value", "weight")]))
+    del exploded, spread, table, joined
+    release(spark)
     rare = unigrams.select((F.col("h") + F.lit(COLD)).alias("w0"), F.log(F.col("c").cast("double")).alias("log_c"))
     looked = rows.where("w0 IS NOT NULL").join(rare, "w0").select("doc", "tokens", (F.col("value") + F.col("weight") * F.col("log_c")).alias("value"))
     out = rows.where("w0 IS NULL").select("doc", "tokens", "value").unionByName(looked)
