@@ -97,36 +97,113 @@ def test_fixed_patterns(text):
     assert secrets.base_spans(text) == plain_spans(text)
 
 
-def test_crf_learns_what_patterns_find_and_keeps_them():
-    texts = [f"some words password={hashlib.md5(bytes([i])).hexdigest()[:18]} and more" for i in range(60)]
-    texts += [f"call 555-01{i:02d} or see page {i * 7 + 100000} of book" for i in range(60)]
-    crf = secrets.train([c for t in texts for c in secrets.labelled_chains(t) if c[1]])
-    base, spans = secrets.find("the pwd = 1f9a6c3be07d24a8f1 is set", crf)
-    assert base == [] and spans == [("crf", 10, 28)]
-    for t in texts:
-        base, spans = secrets.find(t, crf)
-        assert [s for s in spans if s[0] != "crf"] == base == plain_spans(t)
+def values(seed, alphabet, n):
+    import random
+
+    rng = random.Random(seed)
+    return "".join(rng.choices(alphabet, k=n))
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALNUM = LETTERS + "0123456789"
+
+
+def corpus():
+    """Secrets of several shapes behind the words that the fixed patterns know, and texts without any."""
+    keys = ["password", "secret", "token", "api_key"]
+    out = [f"the file says {keys[i % 4]} = {values(i, ALNUM, 10 + i % 12)} and goes on\nwith other words" for i in range(150)]
+    out += [f"in the notes {keys[i % 4]}: '{values(i, LETTERS, 12 + i % 9)}' was kept" for i in range(150)]
+    out += [f"call 555-01{i % 90 + 10} or see page {i * 7 + 1000} of the book: chapter {i} = end" for i in range(200)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def crf():
+    return secrets.train([(f, t) for text in corpus() for _, f, t in secrets.windows(text)])
+
+
+def test_crf_finds_secrets_that_no_pattern_covers(crf):
+    """Words that no pattern knows, letters without a digit, and values that marks cut into several tokens."""
+    planted = [f"the file says {w} = {v} and goes on" for w in ("pwd", "pass", "credential") for v in (values(5, ALNUM, 16), values(6, LETTERS, 15))]
+    found = sum(any(k == "crf" and text[s:e] == text.split(" = ")[1].split(" ")[0] for k, s, e in secrets.find(text, crf)[1]) for text in planted)
+    assert all(secrets.base_spans(t) == [] for t in planted) and found >= len(planted) - 1
+    clean = [t for t in corpus() if not secrets.base_spans(t)]
+    assert sum(len(secrets.find(t, crf)[1]) for t in clean) == 0
+
+
+def test_values_of_several_tokens_are_one_span():
+    texts = [f"note: password = {values(i, ALNUM, 5)}/{values(i + 900, ALNUM, 6)}+{values(i + 500, ALNUM, 7)} is set" for i in range(120)]
+    crf = secrets.train([(f, t) for text in texts for _, f, t in secrets.windows(text)])
+    text = "note: pwd = aB3dE/fG7hIj+kL9mNoP is set"
+    assert secrets.find(text, crf) == ([], [("crf", 12, 32)])
+
+
+def test_base_spans_stay_and_added_ones_overlap_none(crf):
+    texts = [*corpus(), *SECRET_TEXTS, "-".join(hashlib.md5(bytes([i])).hexdigest() + "aa" for i in range(200)), "pwd = " + "a" * 6000 + "1 end"]
+    for text, (base, spans) in zip(texts, secrets.find_all(texts, crf), strict=True):
+        assert [x for x in spans if x[0] != "crf"] == base == plain_spans(text)
+        for _, s, e in (x for x in spans if x[0] == "crf"):
+            assert not any(s < q and p < e for _, p, q in base)
+    tokens = secrets.Tokens(["pwd = " + "a" * 6000 + "1 end"])
+    assert (6, 6007) in list(zip(tokens.start_in.tolist(), tokens.end_in.tolist(), strict=True))  # a long run is one token, whole
+
+
+def test_tags_are_the_best_path_of_each_line(crf):
+    """Splitting at sure tokens changes nothing: against plain Viterbi over whole lines, with weights of any kind."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    texts = [*corpus()[::17], *SECRET_TEXTS, "a=b\n\n c: d1 e\n", "é\u00a0ü 1"]
+    wild = secrets.Crf(rng.normal(size=(secrets.WEIGHTS, 3)), rng.normal(size=(3, 3)))
+    for model in (crf, wild):
+        tokens = secrets.Tokens(texts)
+        e = model.emissions(tokens.indices).astype(float)
+        want = np.zeros(len(e), int)
+        for line in np.unique(tokens.line):
+            at = np.flatnonzero(tokens.line == line)
+            want[at] = model.decode(e[at].tolist())
+        assert (model.tag(tokens) == want).all() and want.any()
 
 
 def test_viterbi_is_the_best_path():
     import itertools
 
-    crf = secrets.Crf({"a": [0.2, 0.5, -0.3], "b": [0.1, -0.2, 0.9]}, [[0.3, -0.1, 0.0], [-0.2, 0.4, 0.6], [0.1, 0.0, 0.2]])
-    chain = [["a"], ["b"], ["a", "b"], ["b"]]
-    e = crf.emissions(chain)
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        model = secrets.Crf(np.zeros((1, 3)), rng.normal(size=(3, 3)))
+        e = rng.normal(size=(5, 3)).tolist()
+
+        def value(tags, model=model, e=e):
+            path = [0, *tags, 0]
+            return sum(model.table[x][y] for x, y in itertools.pairwise(path)) + sum(e[i][t] for i, t in enumerate(tags))
+
+        assert tuple(model.decode(e)) == max(itertools.product(range(3), repeat=5), key=value)
 
-    def value(tags):
-        path = [0, *tags, 0]
-        if any(x == 0 and y == 2 for x, y in itertools.pairwise(path)):
-            return -1e9
-        return sum(crf.trans[x][y] for x, y in itertools.pairwise(path)) + sum(e[i][t] for i, t in enumerate(tags))
 
-    assert tuple(crf.decode(chain)) == max(itertools.product(range(3), repeat=4), key=value)
+def test_features_of_a_text_do_not_depend_on_its_batch(crf):
+    texts = [*corpus()[::31], "", "x", "\n"]
+    assert [secrets.find(t, crf) for t in texts] == secrets.find_all(texts, crf)
+
+
+def test_registered_scan_matches_plain_patterns(spark, small):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = secrets.op4_secret_scan(spark, small).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        base = plain_spans(docs[r["doc_id"]])
+        text = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for k, _, _ in base) for x in ("assign", "access", "hex"))
+        spans = [x for x in r["spans"].split(",") if x]
+        assert [x for x in spans if not x.startswith("crf")] == [x for x in text.split(",") if x] and len(spans) == len(base) + r["n_crf"]
 
 
 def test_secret_scan_of_odd_rows(spark, odd):
     rows = secrets.scan(odd, secrets.learn(odd)).orderBy("doc_id", "text").collect()
     assert [len(r["secrets"]) for r in rows] == [0] * 6
+    assert secrets.scan(odd.where("false"), secrets.UNTRAINED).count() == 0
     assert {r["doc_id"]: r["redacted"] for r in rows}[1] is None
 
 
