@@ -25,9 +25,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate class."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keep one document of each near-duplicate class: the smallest id, of rows without an id or with the same one the first."""
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        gone = near_duplicates(docs).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    number = next(n for n in ("row", "row_", "row__") if n not in docs.columns)
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()))
+    classes = near_duplicates(rows, id_col=number).select(F.col("doc_id").alias(number), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", number)
+    stays = classes.join(rows.select(number, "doc_id"), number).groupBy("component_id").agg(F.min(order).alias("o")).select(f"o.{number}")
+    return rows.join(stays, number, "left_semi").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,41 @@ def test_near_duplicates_match_all_pairs(spark, small):
     assert out == brute_components(rows)
 
 
+def test_repeated_and_missing_ids(spark):
+    """An id that stands in rows of different texts has all their links, in any order of rows."""
+    a, b = ([f"{x}{k}" for k in range(120)] for x in "ab")
+    rows = [(10, edited(a, 1)), (10, edited(b, 1)), (20, edited(a, 2)), (30, edited(b, 2)), (40, "other words"), (40, "other words"), (None, edited(a, 2)), (None, "alone here"), (None, "alone here"), (None, None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, 1, "x") for i, t in order], "doc_id long, text string, row int, same string")
+        out = sorted(((r["doc_id"] or -1), r["n_shingles"], r["component_id"] or -1, r["kept"]) for r in minhash.near_duplicates(docs).collect())
+        n = {w: len({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}) for w, t in (("a", rows[0][1]), ("b", rows[1][1]), ("c", rows[2][1]), ("d", rows[3][1]))}
+        want = [(10, n["a"], 10, True), (10, n["b"], 10, True), (20, n["c"], 10, False), (30, n["d"], 10, False), (40, 1, 40, True), (40, 1, 40, True)]
+        want += [(-1, n["c"], 10, False), (-1, 1, -1, True), (-1, 1, -1, True), (-1, 0, -1, True)]
+        assert out == sorted(want)
+
+
+def test_dedup_stage_keeps_one_row_of_each_class(spark, small):
+    import corpus_pipeline
+
+    a = [f"a{k}" for k in range(120)]
+    rows = [(10, edited(a, 1)), (20, edited(a, 2)), (40, "other words"), (40, "other words"), (None, edited(a, 2)), (None, "alone here"), (None, "alone here"), (50, None), (51, "")]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, row int")
+    out = corpus_pipeline.dedup_stage(spark, docs, small)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"] or -1), r["text"] or "") for r in out.collect()) == sorted([(10, edited(a, 1)), (40, "other words"), (-1, "alone here"), (50, ""), (51, "")])
+
+
+def test_heavy_keys_are_dealt_over_tasks(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"))
+    table = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    counts = rows.groupBy("k").agg(F.count("*").alias("many"))
+    heavy = minhash.heavy_keys(counts, "k", "many", 5000)
+    assert [r[0] for r in heavy.collect()] == [0]
+    for how in ("inner", "left", "left_semi"):
+        got = minhash.spread_join(rows, table, "k", heavy, "id", how)
+        assert sorted(map(tuple, got.select("id", "k").collect())) == sorted(map(tuple, rows.join(table, "k", how).select("id", "k").collect()))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -18,6 +18,10 @@ Rows never meet by the square of a group:
   in one component are finished; else members outside its main component are
   packed in blocks that meet the packed members of all buckets of that star.
 
+A key that holds more than a thousandth of a join's rows (there can be no more
+than a thousand of those) is dealt over ``SALTS`` tasks, and its row on the other
+side repeated for each.
+
 Pairs are compared on one byte for each coordinate first. At the similarity of
 0.85 a pair misses all bands with probability 4e-5, and that comparison, six
 standard deviations below, practically never.
@@ -40,7 +44,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 8
 BINS = BANDS * ROWS
 PERCENT = 85
-PACK = 64
+PACK, FACING = 64, 8
+SALTS, HEAVY_SHARE = 64, 1000
 #: Six standard deviations of a sketch's estimate at the similarity of 0.85.
 SLACK = 6 * (0.85 * 0.15 / BINS) ** 0.5
 
@@ -208,11 +213,27 @@ def _between_packs(percent: int):
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-    first = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    second = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.select("a", "b").join(first, "a").join(second, "b")
+def heavy_keys(counts: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Keys of more than a thousandth of ``total`` rows: fewer than ``HEAVY_SHARE`` rows, whatever the input."""
+    return counts.where(F.col(size) * HEAVY_SHARE > total).select(F.col(key).alias("__heavy"))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table`` (one row a key) on ``key``, heavy keys dealt over tasks by a hash of ``by``."""
+    many = F.broadcast(heavy)
+    dealt = rows.join(many, F.col(key) == F.col("__heavy"), "left")
+    dealt = dealt.withColumn("__salt", F.when(F.col("__heavy").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))).drop("__heavy")
+    salts = F.when(F.col("__heavy").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    copies = table.join(many, F.col(key) == F.col("__heavy"), "left").withColumn("__salt", F.explode(salts)).drop("__heavy")
+    return dealt.join(copies.hint("merge"), [key, "__salt"], how).drop("__salt")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (id, star) whose full sets are similar enough, as (a, b)."""
+    first = sets.select("id", F.col("set").alias("set_a"))
+    second = sets.select(F.col("id").alias("star"), F.col("set").alias("set_b"))
+    both = spread_join(pairs.select("id", "star").join(first, "id"), second, "star", heavy, "id")
+    both = both.select(F.col("id").alias("a"), F.col("star").alias("b"), "set_a", "set_b")
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
@@ -221,29 +242,33 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al.: edges are
     moved to the smallest neighbour until each points at its component's
-    smallest id. A step is an aggregation and a join, so a hub is no hot task.
+    smallest id. A step is an aggregation and a join; hubs are dealt over tasks.
     """
     scratch = Scratch(links.sparkSession)
     edges = scratch.table(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    state = None
+    state, total = None, edges.count()
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many"))
+        hubs = heavy_keys(least, "u", "many", total)
+        least = least.select("u", F.least("u", "m").alias("m"))
+        large = spread_join(both.where("v > u"), least, "u", hubs, "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.table(large.where("u <> v").distinct())
+        small_least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many"))
+        hubs = heavy_keys(small_least, "u", "many", total)
         small = (
-            large.join(small_least, "u")
+            spread_join(large, small_least.drop("many"), "u", hubs, "v")
             .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
             .select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
             .where("u <> v")
             .distinct()
         )
         edges, old = scratch.table(small), edges
-        scratch.drop(old)
+        scratch.drop(old, large)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+        total = seen[0]
         if seen == state:
             break
         state = seen
@@ -256,13 +281,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, n_shingles, representative, component_id, kept`` for every row.
 
     Links hold where ``100 * |A & B| >= percent * |A | B|``. A component's id is
-    its smallest document id, and that document is kept. Null and empty texts
-    and texts of white space only have an empty set: they link with nothing and
-    are kept. A repeated id is one document per row of the input; its rows share
-    one component. Ids must not be null. Extra columns are ignored.
+    its smallest document id, and that document is kept; ``representative`` is
+    the smallest id of the same words. Null and empty texts and texts of white
+    space only have an empty set: they link with nothing and are kept. Rows that
+    repeat an id are one document, whatever their texts: all of its texts' links
+    are its own, and its rows share one component. Rows without an id are linked
+    like others, but are kept only where no id is in their component (which then
+    has no ``component_id``). Texts are read whole; extra columns are ignored; an
+    empty table gives none.
     """
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    odd = not source.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty()
+    if not odd:
+        return _classes(scratch, source, None, percent)
+    # Rows are told apart by a number; those of one id are linked, and at the end numbers become ids again.
+    rows = scratch.table(source.withColumn("row", F.monotonically_increasing_id()))
+    first = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("b"), F.count("*").alias("many"))
+    total = rows.count()
+    ids = rows.select("doc_id", F.col("row").alias("a"))
+    same_id = spread_join(ids, first.drop("many"), "doc_id", heavy_keys(first, "doc_id", "many", total), "a").select("a", "b").where("a <> b")
+    out = _classes(scratch, rows.select(F.col("row").alias("doc_id"), "text"), scratch.table(same_id), percent)
+    out = scratch.table(out.withColumnRenamed("doc_id", "row").drop("kept").join(rows.select("row", "doc_id"), "row"))
+    for column in ("representative", "component_id"):
+        least = out.groupBy(column).agg(F.min("doc_id").alias("least"), F.count("*").alias("many"))
+        heavy = heavy_keys(least, column, "many", total)
+        out = spread_join(out, least.drop("many"), column, heavy, "row").drop(column).withColumnRenamed("least", column)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("doc_id", "n_shingles", "representative", "component_id", kept.alias("kept"))
+
+
+def _classes(scratch: Scratch, source: DataFrame, also: DataFrame | None, percent: int) -> DataFrame:
+    """``near_duplicates`` where no id is null or repeated; ``also`` (a, b) are links between ids besides."""
     fields = [
         T.StructField("n_shingles", T.LongType()),
         T.StructField("same", T.BinaryType()),
@@ -272,33 +322,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profile = scratch.table(annotate(source, ["text"], fields, _profiles, keep=["doc_id"]))
 
     filled = profile.where("same is not null")
-    first = filled.groupBy("same").agg(F.min("doc_id").alias("representative"))
-    people = filled.select("doc_id", "n_shingles", "same").join(first, "same").drop("same")
+    first = scratch.table(filled.groupBy("same").agg(F.min("doc_id").alias("representative"), F.count("*").alias("copies")))
+    total = filled.count()
+    copied = heavy_keys(first, "same", "copies", total)
+    people = spread_join(filled.select("doc_id", "n_shingles", "same"), first.select("same", "representative"), "same", copied, "doc_id").drop("same")
     people = scratch.table(people.unionByName(profile.where("same is null").select("doc_id", "n_shingles", F.col("doc_id").alias("representative"))))
 
     # One row per distinct text and band; buckets with a single member end here.
-    unique = filled.join(first.select("same", F.col("representative").alias("doc_id")).hint("merge"), ["same", "doc_id"])
-    unique = unique.groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    unique = scratch.table(unique.withColumnRenamed("doc_id", "id"))
+    unique = profile.join(first.select(F.col("representative").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    unique = scratch.table(unique.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig"))
+    n_texts = unique.count()
     codes = unique.select("id", "sig")
     single = unique.select("id", "n", F.explode("bands").alias("key"))
-    bucket = single.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    seats = scratch.table(single.join(bucket.hint("merge"), "key"))
+    bucket = scratch.table(single.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
+    crowded = heavy_keys(bucket, "key", "many", n_texts)
+    seats = scratch.table(spread_join(single, bucket, "key", crowded, "id"))
 
     ids = seats.select("id").distinct()
     texts = source.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
     packed = annotate(texts, ["text"], [T.StructField("set", T.BinaryType())], _packed_sets, keep=["doc_id"])
-    sets = scratch.table(packed.groupBy("doc_id").agg(F.first("set").alias("set")).withColumnRenamed("doc_id", "id"))
+    sets = scratch.table(packed.withColumnRenamed("doc_id", "id"))
 
     met = seats.groupBy("id").agg(F.sum("many").alias("met"))
     stars = seats.join(met.hint("merge"), "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), "n")).alias("s"))
     stars = stars.select("key", (-F.col("s.minus")).alias("star"), F.col("s.n").alias("n_star"))
-    groups = scratch.table(seats.join(stars.hint("merge"), "key").select("star", "id", "n", "n_star").distinct())
+    groups = scratch.table(spread_join(seats, stars, "key", crowded, "id").select("star", "id", "n", "n_star").distinct())
+    met_by = groups.groupBy("star").agg(F.count("*").alias("many"))
+    hubs = heavy_keys(met_by, "star", "many", n_texts)
     fits = f"100 * least(n, n_star) >= {int(percent)} * greatest(n, n_star)"
-    tried = groups.where("id <> star").where(fits).select(F.greatest("id", "star").alias("a"), F.least("id", "star").alias("b")).distinct()
-    coded = tried.join(codes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(codes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    tried = scratch.table(coded.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(percent), "a long, b long"))
-    links = scratch.table(linked(tried, sets, percent))
+    tried = groups.where("id <> star").where(fits).select("id", "star").join(codes.select("id", F.col("sig").alias("sig_a")), "id")
+    tried = spread_join(tried, codes.select(F.col("id").alias("star"), F.col("sig").alias("sig_b")), "star", hubs, "id")
+    tried = tried.select(F.col("id").alias("a"), F.col("star").alias("b"), "sig_a", "sig_b").mapInArrow(_alike(percent), "a long, b long")
+    tried = scratch.table(tried.select(F.col("a").alias("id"), F.col("b").alias("star")))
+    links = linked(tried, sets, hubs, percent)
+    if also is not None:
+        node = people.select("doc_id", "representative")
+        ends = also.join(node.withColumnsRenamed({"doc_id": "a", "representative": "x"}), "a").join(node.withColumnsRenamed({"doc_id": "b", "representative": "y"}), "b")
+        links = links.unionByName(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    links = scratch.table(links)
     label = components(links)
 
     # Groups of one star whose members are in several components.
@@ -306,21 +367,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = placed.groupBy("star", "component").agg(F.count("*").alias("many"))
     sizes = sizes.groupBy("star").agg(F.max(F.struct("many", (-F.col("component")).alias("minus"))).alias("m"), F.sum("many").alias("all"), F.count("*").alias("parts"))
     spread = sizes.where("parts > 1").select("star", (-F.col("m.minus")).alias("main"), F.col("all"), (F.col("all") - F.col("m.many")).alias("fewer"))
-    open_ = scratch.table(placed.select("star", "id", "n", "component").join(spread, "star"))
+    open_ = scratch.table(spread_join(placed.select("star", "id", "n", "component"), spread, "star", hubs, "id"))
     full = open_.join(codes, "id").join(sets, "id")
     member = F.struct("id", "n", "component", "sig", "set")
 
-    def packs(rows: DataFrame, size: str, name: str) -> DataFrame:
+    def packs(rows: DataFrame, size: str, name: str, *more: str) -> DataFrame:
         slot = F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / PACK))
-        return rows.groupBy("star", slot.alias("slot")).agg(F.first("main").alias("main"), F.collect_list(member).alias(name)).drop("slot")
-
-    minority = packs(full.where("component <> main"), "fewer", "minority").drop("main")
-    facing = packs(full, "all", "members").join(minority, "star").select("main", "minority", "members")
+        return rows.groupBy("star", slot.alias("slot")).agg(*[F.first(c).alias(c) for c in more], F.collect_list(member).alias(name))
+
+    # The members' packs of a star are dealt over parts, each of which its minority's packs go to.
+    minority = packs(full.where("component <> main"), "fewer", "minority", "all")
+    parts = F.sequence(F.lit(0), F.ceil(F.ceil(F.col("all") / PACK) / FACING).cast("int") - 1)
+    minority = minority.select("star", "minority", F.explode(parts).alias("part"))
+    members = packs(full, "all", "members", "main", "all")
+    members = members.withColumn("part", F.pmod("slot", F.ceil(F.ceil(F.col("all") / PACK) / FACING)).cast("int"))
+    facing = members.join(minority, ["star", "part"]).select("main", "minority", "members")
     more = scratch.table(facing.mapInArrow(_between_packs(percent), "a long, b long"))
     label = scratch.table(components(links.union(more)))
-    scratch.drop(profile, unique, seats, sets, groups, tried, links, open_, more)
+    scratch.drop(profile, unique, bucket, seats, sets, groups, tried, links, open_, more)
 
-    out = people.join(label.select(F.col("id").alias("representative"), "component"), "representative", "left")
+    out = spread_join(people, label.select(F.col("id").alias("representative"), "component"), "representative", _copied(people, total), "doc_id", "left")
     return out.select(
         "doc_id",
         "n_shingles",
@@ -329,7 +395,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def _copied(people: DataFrame, total: int) -> DataFrame:
+    counts = people.groupBy("representative").agg(F.count("*").alias("copies"))
+    return heavy_keys(counts, "representative", "copies", total)
+
+
 def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all ``documents``; nulls, empty and repeated rows as in ``near_duplicates``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
