@@ -39,6 +39,56 @@ def test_automaton_parses_like_substring_search(text):
     assert rate[0] == pytest.approx(longest_phrases(text, training) / len(text))
 
 
+def test_registered_languages_match_plain_parsing(spark, small):
+    """The query's rows against substring search in the same training texts, block by block."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_id.learn(docs)
+    plain = language_id.Parser(model)
+    seen = {r["doc_id"]: r for r in language_id.op7_language_id(spark, small).collect()}
+    assert len(seen) == docs.count()
+    training = [(lang, "".join(map(chr, plain.encode(text) + 1)), bits) for (lang, text), bits in zip(model, plain.bits, strict=True)]
+    checked = 0
+    for r in docs.collect():
+        out = seen[r["doc_id"]]
+        assert out["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        text = "".join(map(chr, plain.encode(r["text"] or "") + 1))
+        if not any(ord(c) > language_id.FIRST for c in text):
+            assert (out["lang_pred"], out["score"]) == ("und", 0)
+        elif len(text) < 1500:
+            blocks = [text[i : i + language_id.BLOCK] for i in range(0, len(text), language_id.BLOCK)]
+            cost = [sum(longest_phrases(b, t) for b in blocks) / len(text) * bits for _, t, bits in training]
+            assert out["lang_pred"] == training[cost.index(min(cost))][0] and 0 <= out["score"] <= 1
+            checked += 1
+    assert checked > 50
+
+
+def test_training_pieces_come_from_whole_texts_and_are_bounded(spark):
+    long = " ".join(f"wort{i}" for i in range(4000))
+    rows = [(i, "de", long) for i in (1, 3, 6)] + [(i, f"l{i}", "x y") for i in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = dict(language_id.learn(docs, chars_per_language=5000, languages=5))
+    assert len(model) == 5 and len(model["de"]) <= 5000 + 20
+    assert {int(x) // 1000 for x in __import__("re").findall(r"wort(\d{4})", model["de"])} == {1, 2, 3}
+    assert language_id.learn(docs.where("false")) == ()
+
+
+def test_many_letters_share_symbols():
+    """A script of thousands of letters keeps the table bounded, and its language is still told."""
+    import random
+
+    rng = random.Random(4)
+    han = "".join(chr(0x4E00 + int(rng.paretovariate(0.6)) % 5000) for _ in range(30_000))
+    model = (("en", "the and of to is that this with " * 900), ("zh", han))
+    parser = language_id.Parser(model)
+    assert all(t.nbytes <= 4 * language_id.TABLE + 4096 for t in parser.tables)
+    assert parser.judge([han[5000:5600], "that is the end", "a", ""])[0] == ["zh", "en", "en", "und"]
+
+
+def test_ties_go_to_the_first_language():
+    lang, score, _ = language_id.Parser((("aa", "xyz xyz"), ("bb", "xyz xyz"))).judge(["xyz", "qqq"])
+    assert lang == ["aa", "aa"] and score == [0.5, 0.5]
+
+
 def test_language_of_whole_texts():
     model = (("de", "der die das und ist nicht ein eine " * 20), ("en", "the and of to is that this with " * 20))
     lang, score, _ = language_id.Parser(model).judge(["this is the end", "das ist ein", "1234", "", None, ("that is the " * 500) + "und"])

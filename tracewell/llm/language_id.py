@@ -15,6 +15,7 @@ fraction of a phrase.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -22,10 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import annotate, by_hash
+from tracewell.llm.common import annotate
 
 UNDETERMINED = "und"
 BLOCK = 512
+PIECE, LANGUAGES = 250, 200
+#: Entries of a language's transition table at most; letters too rare for it share the symbol of their code points' block.
+TABLE, SHARED = 1 << 24, 64
+#: How sharply the score falls off as another language's cost nears the winner's.
+SHARPNESS = 25
 PAD, GAP, FIRST = 0, 1, 2  # symbols: filler, any run of non-letters, first letter
 
 
@@ -38,33 +44,32 @@ def learn(
     docs: DataFrame,
     docs_per_language: int = 60,
     chars_per_language: int = 30_000,
+    languages: int = LANGUAGES,
 ) -> tuple[tuple[str, str], ...]:
     """Training text for each value of ``lang``: a bounded, repeatable sample.
 
-    At most ``docs_per_language`` labelled documents are drawn for a language, in
-    the order of a hash of their id, outside the held-out fifth, and at most
-    ``chars_per_language`` characters are kept in all, shared evenly between the
-    documents so that one long text does not crowd out the rest.
+    Of the ``languages`` most frequent values, at most ``docs_per_language``
+    labelled documents outside the held-out fifth are drawn for each, in the
+    order of a hash of their id. They are cut into pieces of ``PIECE``
+    characters from beginning to end, and pieces from anywhere in them are drawn
+    by hash, ``chars_per_language`` characters at most.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    share = chars_per_language // 20
-    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    # Of a common language only so many rows go on as the draw needs, by hash, where they are read.
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    drawn = F.lit(False)
-    for lang, n in sizes.items():
-        drawn |= (F.col("lang") == lang) & by_hash(8 * docs_per_language / n, "doc_id")
-    rows = (
-        known.where(drawn & F.col("text").rlike(r"\p{L}"))
-        .select("doc_id", "lang", F.substring("text", 1, share).alias("text"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= docs_per_language)
-        .collect()
-    )
-    texts: dict[str, list[str]] = {}
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # Of each language only so many ids leave a task as the draw needs, whatever it holds.
+    drawn = known.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_language)
+    drawn = drawn.join(F.broadcast(common), "lang", "left_semi").select("lang", "doc_id").distinct()
+    texts = known.join(F.broadcast(drawn), ["lang", "doc_id"], "left_semi")
+    starts = F.sequence(F.lit(1), F.length("text"), F.lit(PIECE))
+    pieces = texts.select("lang", "doc_id", "text", F.explode(starts).alias("at"))
+    pieces = pieces.select("lang", "doc_id", "at", F.substr("text", F.col("at"), F.lit(PIECE)).alias("piece")).distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "piece")
+    rows = pieces.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= -(-chars_per_language // PIECE)).collect()
+    parts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
-        texts.setdefault(r["lang"], []).append(r["text"])
-    return tuple((lang, "\n".join(parts)[:chars_per_language]) for lang, parts in sorted(texts.items()))
+        parts.setdefault(r["lang"], []).append(r["piece"])
+    return tuple((lang, "\n".join(p)) for lang, p in sorted(parts.items()))
 
 
 def automaton(symbols: list[int], width: int) -> np.ndarray:
@@ -115,24 +120,33 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
 
 
 class Parser:
-    """Automata of all languages over one alphabet, the letters of their texts."""
+    """Automata of all languages: one code for a letter of any text, and for each language the symbols it tells apart."""
 
     def __init__(self, model: tuple[tuple[str, str], ...]):
-        letters = sorted({c for _, text in model for c in text.lower() if c.isalpha()})
+        counts = [Counter(c for c in text.lower() if c.isalpha()) for _, text in model]
+        letters = sorted(set().union(*counts))
         self.codes = np.full(0x110000, GAP, np.uint16)
         self.unknown = FIRST + len(letters)
-        for lo in range(0, 0x110000, 0x1000):  # letters that no training text has still are letters
-            for cp in range(lo, min(lo + 0x1000, 0x30000)) if lo < 0x30000 else ():
-                if chr(cp).isalpha():
-                    self.codes[cp] = self.unknown
+        for cp in range(0x30000):  # letters that no training text has still are letters
+            if chr(cp).isalpha():
+                self.codes[cp] = self.unknown
         for i, c in enumerate(letters):
             self.codes[ord(c)] = FIRST + i
-        self.width = self.unknown + 1
         self.languages = [lang for lang, _ in model]
-        self.tables, self.bits = [], []
-        for _, text in model:
+        self.tables, self.bits, self.symbols = [], [], []
+        for (_, text), own in zip(model, counts, strict=True):
             symbols = self.encode(text)
-            self.tables.append(automaton(symbols.tolist(), self.width))
+            room = max(SHARED, TABLE // (2 * len(symbols) + 2) - FIRST - SHARED - 1)
+            kept = sorted(own, key=lambda c: (-own[c], c))[:room]
+            # Codes to this language's symbols: its letters, shared symbols of its rare ones, one for all others.
+            to = np.full(self.unknown + 1, FIRST + len(kept) + SHARED, np.uint16)
+            to[[PAD, GAP]] = PAD, GAP
+            for c in own:
+                to[self.codes[ord(c)]] = FIRST + len(kept) + (ord(c) >> 8) % SHARED
+            for i, c in enumerate(kept):
+                to[self.codes[ord(c)]] = FIRST + i
+            self.symbols.append(to)
+            self.tables.append(automaton(to[symbols].tolist(), FIRST + len(kept) + SHARED + 1))
             self.bits.append(math.log2(len(symbols) + 2))
 
     def encode(self, text: str) -> np.ndarray:
@@ -175,7 +189,7 @@ class Parser:
         for j, table in enumerate(self.tables):
             state = np.zeros(first[-1], table.dtype)
             begun = np.zeros(first[-1], np.int32)
-            for symbols in steps:
+            for symbols in self.symbols[j][steps]:
                 got = table[state + symbols]
                 begun += got & 1
                 state = got >> 1
@@ -183,7 +197,7 @@ class Parser:
             cost[j] = phrases / lengths * self.bits[j]
         best = cost.argmin(axis=0)
         low = cost[best, np.arange(len(todo))]
-        shares = np.exp(-25 * (cost / low - 1)).sum(axis=0)
+        shares = np.exp(-SHARPNESS * (cost / low - 1)).sum(axis=0)
         for k, (i, _) in enumerate(todo):
             lang[i] = self.languages[best[k]]
             score[i] = float(1 / shares[k])
@@ -205,7 +219,8 @@ def identify(
 
     Null and empty texts and texts without a letter get ``und``, 0 and 1. With an
     empty model every text does. Rows of equal text get equal values; ties
-    between languages go to the one that sorts first. Other columns pass
+    between languages go to the one that sorts first. Texts of any length are
+    parsed whole; an empty table gives none. Other columns pass
     through; columns that have a new column's name are replaced.
     """
     fields = [
@@ -217,6 +232,7 @@ def identify(
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
+    """Language of all ``documents``; nulls, empty and repeated texts as in ``identify``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs, learn(docs), keep=["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "phrase_rate")
