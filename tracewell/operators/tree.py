@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.lineage import cut
 from tracewell.plans.digests import thread
 from tracewell.plans.drill import spawned
 
@@ -60,7 +61,7 @@ def heights(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         heights_ = step.select("session_id", "run_id", "parent_id", F.col("new").alias("height"))
         if not moved:
             return heights_
-        heights_ = heights_.checkpoint() if heights_.sparkSession.sparkContext.getCheckpointDir() else heights_
+        heights_ = cut(heights_)
     raise ValueError(f"spawn links form a cycle, or go deeper than {max_depth}")
 
 

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.lineage import cut
 from tracewell.plans.manifest import corpus, integer, text
 from tracewell.plans.spend import money, spend_by, tools_by, with_run_work
 
-#: Longest list that a stratum may offer; quotas that need more raise.
-TOP = 10_000
-
-
 def draw_key(key, seed: str):
     """Order of a seeded draw: the same in any engine that has MD5."""
     return F.md5(F.concat(key, F.lit(seed)))
@@ -107,58 +104,36 @@ def select_sessions(
 ) -> DataFrame:
     """Sessions to read, stratum after stratum without replacement.
 
-    Strata offer sessions in order: costliest, most failures, most compactions,
-    the latest of each frequent skill, and a seeded draw that fills what is left
-    of the budget. An offer is taken unless its session is, its stratum's quota
-    is used up, or the budget is. A stratum offers no more than its quota and the
-    budget together, so the offers are as many as the quotas allow, whatever the
-    corpus holds; they are folded in one array.
+    Strata choose in turn from what the ones before left: the costliest, those
+    with most failures, with most compactions, the latest of each frequent skill
+    (skills by name), and a seeded draw that fills what is left of the budget of
+    all quotas and one session for each skill. Each turn is a top list and an
+    anti join. Skills choose in rounds, as ``one_each`` says.
     """
     failures = tools_by(store["corpus_tool_calls"], "session_id").select("session_id", "tool_errors")
     pool = scope.in_window.join(store.corpus_rollups, "session_id").join(failures, "session_id", "left").fillna(0, ["tool_errors"])
     pool = pool.where((F.col("turns") > 0) | (F.col("agent_runs") > 0)).where(F.col("api_calls") >= min_api_calls)
+    chosen = None
+    for phase, (stratum, measure, quota) in enumerate((("cost", "cost_usd", cost_quota), ("tool-errors", "tool_errors", error_quota), ("compactions", "compactions", compaction_quota))):
+        left = pool if chosen is None else pool.join(chosen, "session_id", "left_anti")
+        best = left.where(F.col(measure) > 0).orderBy(F.desc(measure), "session_id").limit(quota)
+        best = best.select(F.lit(phase).alias("phase"), F.lit(stratum).alias("stratum"), "session_id", (-F.col(measure)).cast("double").alias("place"), F.lit("").alias("draw"))
+        chosen = cut(best if chosen is None else chosen.unionByName(best))
+
     uses = store["corpus_api_calls"].where("attribution_skill IS NOT NULL").select(F.col("attribution_skill").alias("skill"), "session_id").distinct()
     uses = uses.join(pool.select("session_id", "started_at"), "session_id")
-    uses = uses.withColumn("of_skill", F.count("*").over(Window.partitionBy("skill"))).where(F.col("of_skill") >= skill_threshold)
-    if max(cost_quota, error_quota, compaction_quota, discovery_quota) > TOP // 8:
-        raise ValueError(f"quotas above {TOP // 8} are not supported")
-    fixed = cost_quota + error_quota + compaction_quota + discovery_quota
-    budget = uses.agg((F.count_distinct("skill") + fixed).alias("total"))
-
-    def offer(phase: int, rows: DataFrame, stratum, quota, *order, by=()) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) if by else F.row_number().over(Window.orderBy(*order))
-        skill = F.col("skill") if by else F.lit("")
-        return rows.select(F.lit(phase).alias("phase"), skill.alias("skill"), rank.alias("rank"), stratum.alias("stratum"), "session_id", quota.alias("quota"))
-
-    def top(phase: int, stratum: str, quota: int, measure: str) -> DataFrame:
-        # A bounded top list first: the ranking window then has no more rows than that.
-        rows = pool.where(F.col(measure) > 0).orderBy(F.desc(measure), "session_id")
-        return offer(phase, rows.limit(TOP), F.lit(stratum), F.lit(quota), F.desc(measure), "session_id")
-
-    seeded = draw_key(F.col("session_id"), seed)
-    discovery = pool.where(F.col("api_calls") >= min_discovery_api_calls).select("session_id", seeded.alias("key")).orderBy("key", "session_id").limit(TOP)
-    offers = (
-        top(1, "cost", cost_quota, "cost_usd")
-        .unionByName(top(2, "tool-errors", error_quota, "tool_errors"))
-        .unionByName(top(3, "compactions", compaction_quota, "compactions"))
-        .unionByName(offer(4, uses, F.concat(F.lit("skill:"), F.col("skill")), F.lit(1), F.desc_nulls_last("started_at"), "session_id", by=("skill",)))
-        .unionByName(offer(5, discovery, F.lit("discovery"), F.lit(None).cast("int"), "key", "session_id"))
-    )
-    offers = offers.withColumn("total", budget.scalar())
-    offers = offers.withColumn("quota", F.coalesce("quota", F.col("total"))).where(F.col("rank") <= F.col("quota") + F.col("total"))
-    row = F.struct("phase", "skill", "rank", "stratum", "session_id", "quota", "total")
-    start = F.array().cast("array<struct<stratum:string,session_id:string>>")
-
-    def take(chosen, o):
-        fresh = ~F.exists(chosen, lambda c: c["session_id"] == o["session_id"])
-        room = F.size(F.filter(chosen, lambda c: c["stratum"] == o["stratum"])) < o["quota"]
-        left = F.size(chosen) < o["total"]
-        return F.when(fresh & room & left, F.concat(chosen, F.array(F.struct(o["stratum"].alias("stratum"), o["session_id"].alias("session_id"))))).otherwise(chosen)
-
-    folded = offers.agg(F.array_sort(F.collect_list(row)).alias("offers")).select(F.aggregate("offers", start, take).alias("chosen"))
-    picked = folded.select(F.posexplode("chosen").alias("n", "c")).select("n", "c.stratum", "c.session_id")
-    out = picked.join(pool, "session_id").orderBy("n")
-    return out.select(
+    frequent = uses.groupBy("skill").count().where(F.col("count") >= skill_threshold).select("skill")
+    offers = uses.join(frequent, "skill").join(chosen, "session_id", "left_anti")
+    latest = Window.partitionBy("skill").orderBy(F.desc_nulls_last("started_at"), "session_id")
+    picks = one_each(offers.select("skill", "session_id", F.row_number().over(latest).alias("rank")))
+    taken = picks.select(F.lit(3).alias("phase"), F.concat(F.lit("skill:"), "skill").alias("stratum"), "session_id", F.lit(0.0).alias("place"), F.col("skill").alias("draw"))
+    chosen = cut(chosen.unionByName(taken))
+
+    room = cost_quota + error_quota + compaction_quota + discovery_quota + frequent.count() - chosen.count()
+    rest = pool.where(F.col("api_calls") >= min_discovery_api_calls).join(chosen, "session_id", "left_anti")
+    rest = rest.select("session_id", draw_key(F.col("session_id"), seed).alias("draw")).orderBy("draw", "session_id").limit(max(room, 0))
+    chosen = chosen.unionByName(rest.select(F.lit(4).alias("phase"), F.lit("discovery").alias("stratum"), "session_id", F.lit(0.0).alias("place"), "draw"))
+    return chosen.join(pool, "session_id").orderBy("phase", "place", "draw", "session_id").select(
         "stratum",
         "session_id",
         "started_at",
@@ -170,3 +145,22 @@ def select_sessions(
         money("cost_usd").alias("cost_usd"),
         "unpriced_api_calls",
     )
+
+
+def one_each(offers: DataFrame) -> DataFrame:
+    """``skill, session_id``: what skills get that choose one after the other, by name, the best of what is left.
+
+    ``offers`` has each skill's sessions with a ``rank`` from 1 on. In rounds,
+    every skill bids for its best session that it was not refused yet, and of
+    several bids the first skill's stands. When none is refused, each has what it
+    would get in turn: a later skill can never hold what an earlier one wants.
+    """
+    refused = None
+    while True:
+        open_ = offers if refused is None else offers.join(refused, ["skill", "session_id"], "left_anti")
+        bids = open_.groupBy("skill").agg(F.min_by("session_id", "rank").alias("session_id"))
+        first = bids.groupBy("session_id").agg(F.min("skill").alias("first"))
+        lost = bids.join(first, "session_id").where("skill <> first").select("skill", "session_id")
+        refused, before = cut(lost if refused is None else refused.unionByName(lost)), refused
+        if refused.count() == (0 if before is None else before.count()):
+            return bids

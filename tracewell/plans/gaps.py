@@ -95,14 +95,13 @@ def context_reloads(store, scope, min_rebuilt_tokens, min_rebuilt_pct, idle_seco
     )
     again = calls.where(F.col("index") > F.col("first_index")).where(rebuilt_context("cache_creation_tokens", "cache_read_tokens", min_rebuilt_tokens, min_rebuilt_pct))
     again = again.withColumn("idle", seconds_between("before", "started_at") >= idle_seconds)
-    compacted = store["corpus_compactions"].select("session_id", "source", F.col("timestamp").alias("compacted_at"))
+    # Both in one line by time: the last compaction up to a second after a rebuild tells whether any lies in its stretch.
     second = F.expr("INTERVAL '1' SECOND")
-    joined = again.join(compacted, list(THREAD), "left")
-    near = (F.col("compacted_at") > F.col("before") + second) & (F.col("compacted_at") <= F.col("started_at") + second)
-    joined = joined.groupBy(*THREAD, "id").agg(
-        F.coalesce(F.bool_or(near), F.lit(False)).alias("compacting"),
-        *[F.first(c).alias(c) for c in ("idle", "cache_creation_tokens", "cost_usd")],
-    )
+    marks = store["corpus_compactions"].select(*THREAD, F.col("timestamp").alias("at"), F.lit(0).alias("kind"), F.col("timestamp").alias("compacted_at"))
+    line = again.withColumns({"at": F.col("started_at") + second, "kind": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    past = Window.partitionBy(*THREAD).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = line.withColumn("latest", F.last("compacted_at", ignorenulls=True).over(past)).where("kind = 1")
+    joined = line.withColumn("compacting", F.coalesce(F.col("latest") > F.col("before") + second, F.lit(False)))
     totals = calls.groupBy(*THREAD).agg(F.sum("cost_usd").alias("thread_cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced_api_calls"))
     threads = joined.groupBy(*THREAD).agg(
         F.count("*").alias("reloads"),
