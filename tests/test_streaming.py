@@ -1,14 +1,35 @@
-"""Streams of the library, run to the end over files written for the tests."""
+"""Replacing sessions in a store, and streams of the library run to the end over files written for the tests."""
 
 import json
 
-from tracewell.plans import registered
+import pytest
+
+from tracewell.plans import QUESTIONS, ask, registered
 from tracewell.relations import Store
+from tracewell.sources import transcripts
 from tracewell.streaming import refresh
 
 
-def prompt(uuid, text):
-    return json.dumps({"type": "user", "uuid": uuid, "timestamp": "2024-03-01T10:00:00Z", "cwd": "/w", "version": "1", "message": {"content": text}}) + "\n"
+def record(kind, uuid, second, **more):
+    return json.dumps({"type": kind, "uuid": uuid, "timestamp": f"2024-03-01T10:00:{second:02d}Z", "cwd": "/w", "version": "1"} | more) + "\n"
+
+
+def prompt(uuid, text, second=0):
+    return record("user", uuid, second, message={"content": text})
+
+
+def mark(uuid):
+    return record("system", uuid, 30, subtype="compact_boundary", compactMetadata={"trigger": "auto", "preTokens": 9, "postTokens": 3, "durationMs": 5})
+
+
+def call(uuid, message, tool=None):
+    blocks = [{"type": "text", "text": "said"}] + ([{"type": "tool_use", "id": tool, "name": "Read", "input": {"file_path": "/x"}}] if tool else [])
+    usage = {"input_tokens": 1, "output_tokens": 2, "cache_read_input_tokens": 3, "cache_creation_input_tokens": 4}
+    return record("assistant", uuid, 10, message={"id": message, "model": "claude-opus-5", "stop_reason": "end_turn", "content": blocks, "usage": usage})
+
+
+def prompts(spark, path):
+    return sorted(r["prompt"] for r in Store.read(spark, path)["turns"].collect())
 
 
 def test_watch_replaces_only_arriving_sessions(spark, tmp_path):
@@ -19,13 +40,60 @@ def test_watch_replaces_only_arriving_sessions(spark, tmp_path):
     refresh.watch(spark, str(root), out, str(tmp_path / "check")).awaitTermination()
     (root / "c.jsonl").write_text(prompt("p1", "three"))
     refresh.watch(spark, str(root), out, str(tmp_path / "check")).awaitTermination()
-    got = {r["session_id"]: r["prompt"] for r in spark.read.parquet(f"{out}/turns").collect()}
-    assert got == {"a": "one", "b": "two", "c": "three"}
-    state = spark.createDataFrame(spark.read.parquet(f"{out}/extract_state").select("session_id", "fingerprint").collect())
-    assert refresh.refresh(spark, str(root), out, state) == 0
+    assert prompts(spark, out) == ["one", "three", "two"]
+    assert refresh.refresh(spark, str(root), out) == 0
     (root / "a.jsonl").write_text(prompt("p1", "one") + prompt("p2", "more"))
-    assert refresh.refresh(spark, str(root), out, state) == 1
-    assert sorted(r["prompt"] for r in spark.read.parquet(f"{out}/turns").collect()) == ["more", "one", "three", "two"]
+    assert refresh.refresh(spark, str(root), out) == 1
+    assert prompts(spark, out) == ["more", "one", "three", "two"]
+
+
+def test_a_replaced_session_loses_what_it_lost(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    (root / "a.jsonl").write_text(prompt("p1", "one") + call("c1", "m1", "t1") + mark("k1") + prompt("p2", "two", 40))
+    (root / "b.jsonl").write_text(prompt("p3", "other") + mark("k2"))
+    assert refresh.refresh(spark, str(root), out) == 2
+    assert {r["id"] for r in Store.read(spark, out)["compactions"].collect()} == {"k1", "k2"}
+    (root / "a.jsonl").write_text(prompt("p1", "one"))
+    (root / "b.jsonl").unlink()
+    assert refresh.refresh(spark, str(root), out) == 1
+    store = Store.read(spark, out)
+    assert [r["id"] for r in store["compactions"].collect()] == ["k2"]  # a session whose file is gone keeps its rows
+    assert store["api_calls"].count() == store["tool_calls"].count() == 0 and prompts(spark, out) == ["one", "other"]
+    assert [r["api_calls"] for r in store.session_rollups.where("session_id = 'a'").collect()] == [0]
+    assert all(store.duplicate_keys(t).isEmpty() for t in ("turns", "sessions", "extract_state"))
+
+
+def test_a_broken_load_is_not_seen(spark, tmp_path, monkeypatch):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    (root / "a.jsonl").write_text(prompt("p1", "one"))
+    refresh.refresh(spark, str(root), out)
+    tables = transcripts.extract(spark, str(root))
+    tables["raw_records"] = tables["raw_records"].selectExpr("*", "raise_error('disk full') AS no")
+    with pytest.raises(Exception, match="disk full"):
+        Store.replace_sessions(spark, out, tables, tables["extract_state"])
+    assert prompts(spark, out) == ["one"] and Store.read(spark, out).duplicate_keys("turns").isEmpty()
+
+
+def test_questions_over_a_refreshed_store_equal_those_over_a_fresh_one(spark, small, tmp_path):
+    """Write the store, spoil some sessions, replace them: every question answers as before, from whole relations."""
+    whole = registered.open_store(spark, small)
+    whole.write(str(tmp_path / "fresh"))
+    spoiled = Store({n: t if n in ("sessions", "extract_state") else t.where("false") if "session_id" not in t.columns else t.where("session_id NOT LIKE 's1%'") for n, t in whole.tables.items()})
+    kept = {n: whole.tables[n] for n in whole.tables if n.endswith("enrichments")}
+    Store(spoiled.tables | kept).write(str(tmp_path / "mended"))
+    ids = whole["sessions"].where("id LIKE 's1%'").selectExpr("id AS session_id")
+    again = {n: t.where("id LIKE 's1%'" if n == "sessions" else "session_id LIKE 's1%'") for n, t in whole.tables.items()}
+    Store.replace_sessions(spark, str(tmp_path / "mended"), again, ids)
+    fresh, mended = Store.read(spark, str(tmp_path / "fresh")), Store.read(spark, str(tmp_path / "mended"))
+    assert fresh.derived and not mended.derived
+    for name in ("session_counts", "tool_failures", "context_reloads", "sessions", "select_runs", "view_sessions", "session_digest", "view_run_header"):
+        asked = registered.bindings(name, fresh)
+        assert sorted(map(repr, ask(mended, name, **asked).collect())) == sorted(map(repr, ask(fresh, name, **asked).collect())), name
+    for table in ("turns", "api_calls", "raw_records", "offload_files"):
+        assert fresh[table].exceptAll(mended[table]).isEmpty() and mended[table].exceptAll(fresh[table]).isEmpty()
+    assert len(QUESTIONS) >= 50
 
 
 def test_spells_on_a_stream_match_the_batch(spark, small, tmp_path):

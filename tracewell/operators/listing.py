@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import clipped
 from tracewell.plans.manifest import ask
 
+#: The columns that a list may be sorted by.
 SORTS = "started_at title project_dir turns api_calls tool_calls compactions tool_errors cost_usd wall_ms agent_runs".split()
 
 

@@ -78,6 +78,7 @@ def path_failures(store, scope, min_occurrences, tail_segments) -> DataFrame:
     return out.where(F.col("errors") >= min_occurrences).orderBy("period", F.desc("errors"), "directory")
 
 
+#: Labels that results must name.
 DISPOSITIONS = ("listed the directory", "listed elsewhere", "no listing")
 _LISTING = r"(^|[;&|][\t\n\f\r ]*)(ls|find|tree|rg --files)\b"
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell import model
+from tracewell.functions.lineage import cut
 
 # Kinds that may occur: fixed values of the input format.
 READ_TYPES = "assistant user system custom-title ai-title agent-name pr-link fork-context-ref".split()
@@ -31,7 +32,7 @@ BLOCKS = "text thinking tool_use server_tool_use advisor_tool_result fallback im
 RESULT_BLOCKS = "text image tool_reference".split()
 TURN_TAGS = "command-name command-message teammate-message".split()
 MACHINE_TAGS = "task-notification local-command-stdout bash-stdout bash-input".split()
-#: US dollars per million input and output tokens.
+#: US dollars per million input and output tokens.
 PRICES = {
     "<synthetic>": (0.0, 0.0),
     "claude-fable-5": (10.0, 50.0),
@@ -397,14 +398,15 @@ def sessions(records: DataFrame, found: DataFrame) -> DataFrame:
 def extract(spark: SparkSession, root: str, only: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of the trace model from the transcripts below ``root``.
 
-    ``only`` limits the work to its ``session_id`` values.
+    ``only`` limits the work to its ``session_id`` values. Lines are parsed and
+    put into their turns once, and checkpointed for the tables made of them.
     """
     found = files(spark, root)
     if only is not None:
         found = found.join(only.select("session_id").distinct(), "session_id", "left_semi")
-    read = lines(found)
+    read = cut(lines(found))
     told = metas(found)
-    records = with_turns(prompts(with_replays(kept(read.where("role <> 'journal'")), told)))
+    records = cut(with_turns(prompts(with_replays(kept(read.where("role <> 'journal'")), told))))
     marks = records.where("subtype = 'compact_boundary'").select(
         "session_id",
         "source",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tracewell import model
+from tracewell.functions.lineage import cut
+from tracewell.relations import Store, exists
 from tracewell.sources import transcripts
 
 _FILES = T.StructType(
@@ -20,29 +21,20 @@ _FILES = T.StructType(
 )
 
 
-def replace_sessions(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> None:
-    """Overwrite the partitions of the sessions that ``tables`` hold, leaving all others.
+def refresh(spark: SparkSession, root: str, path: str) -> int:
+    """Extract the sessions below ``root`` that the store at ``path`` lacks or holds otherwise, and put them in place of what it has.
 
-    Tables are partitioned by session. ``extract_state`` is written last: a
-    session whose write broke off keeps its old fingerprint and is read again.
+    Sessions whose files are gone keep their rows. Returns how many were extracted.
     """
-    names = [n for n in model.TABLES if n != "extract_state"] + ["extract_state"]
-    for name in names:
-        rows = tables[name]
-        if name == "sessions":
-            rows = rows.withColumn("session_id", F.col("id"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{path}/{name}")
-
-
-def refresh(spark: SparkSession, root: str, path: str, state: DataFrame | None = None) -> int:
-    """Extract the sessions that changed since ``state``; returns how many did."""
-    todo = None
-    if state is not None:
-        todo = spark.createDataFrame(transcripts.changed(spark, root, state).select("session_id").collect(), "session_id string")
-        if todo.isEmpty():
-            return 0
-    replace_sessions(spark, path, transcripts.extract(spark, root, todo))
-    return todo.count() if todo is not None else transcripts.files(spark, root).select("session_id").distinct().count()
+    if exists(spark, f"{path}/meta"):
+        todo = transcripts.changed(spark, root, Store.read(spark, path)["extract_state"])
+    else:
+        todo = transcripts.fingerprints(transcripts.files(spark, root))
+    todo = cut(todo.select("session_id"))
+    n = todo.count()
+    if n:
+        Store.replace_sessions(spark, path, transcripts.extract(spark, root, todo), todo)
+    return n
 
 
 def watch(spark: SparkSession, root: str, path: str, checkpoint: str) -> StreamingQuery:
@@ -54,10 +46,10 @@ def watch(spark: SparkSession, root: str, path: str, checkpoint: str) -> Streami
     )
 
     def apply(batch: DataFrame, _: int) -> None:
-        ids = batch.select(session.alias("session_id")).where("session_id <> ''").distinct().collect()
-        if ids:
+        todo = cut(batch.select(session.alias("session_id")).where("session_id <> ''").distinct())
+        if not todo.isEmpty():
             here = batch.sparkSession
-            replace_sessions(here, path, transcripts.extract(here, root, here.createDataFrame(ids, "session_id string")))
+            Store.replace_sessions(here, path, transcripts.extract(here, root, todo), todo)
 
     return arrived.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
