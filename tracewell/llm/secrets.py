@@ -40,7 +40,8 @@ OUT, BEGIN, INSIDE = 0, 1, 2
 HINTS = tuple("password passwd pwd pass passphrase secret token key apikey api auth authorization bearer credential credentials private access".split())
 
 #: Bounds of the training sample: documents, windows of a chain for each kind of window, tokens of a window.
-SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW = 4000, 3000, 48
+SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW = 4000, 3008, 48
+DEALS = 16  # windows are ranked in so many parts
 EPOCHS, BATCH = 12, 128
 WEIGHTS = 1 << 16
 SLICE_CHARS = 1_000_000
@@ -358,8 +359,9 @@ def learn(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_rows:
         return lambda texts: ([[{"k": k, "f": f.ravel().tolist(), "t": t.tolist()} for k, f, t in windows(x)] for x in texts],)
 
     found = annotate(some, ["text"], [T.StructField("w", T.ArrayType(row))], make, keep=[]).select(F.explode("w").alias("w")).select("w.*")
-    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("f", "t")))
-    rows = found.withColumn("rank", rank).where(F.col("rank") <= sample_windows).select("f", "t").toArrow().to_pylist()
+    drawn = found.withColumn("hash", F.xxhash64("f", "t")).withColumn("deal", F.pmod("hash", F.lit(DEALS)))
+    rank = F.row_number().over(Window.partitionBy("k", "deal").orderBy("hash"))
+    rows = drawn.withColumn("rank", rank).where(F.col("rank") <= -(-sample_windows // DEALS)).select("f", "t").toArrow().to_pylist()
     chains = [(np.array(r["f"], np.int32).reshape(-1, len(r["t"])), np.array(r["t"])) for r in rows if r["t"]]
     chains.sort(key=lambda c: (c[0].shape[1], c[0].tobytes()))
     return train(chains)
