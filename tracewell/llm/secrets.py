@@ -44,7 +44,7 @@ SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW = 4000, 3008, 48
 DEALS = 16  # windows are ranked in so many parts
 EPOCHS, BATCH = 12, 128
 WEIGHTS = 1 << 16
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 200_000
 
 # Classes of characters.
 SPACE, LOWER, UPPER, DIGIT, OTHER, MARK = range(6)
