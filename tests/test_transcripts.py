@@ -2,9 +2,11 @@
 
 import json
 
+import duckdb
 import pytest
 
 from tracewell import model
+from tracewell.plans import ingest_registered
 from tracewell.sources import transcripts
 
 
@@ -100,6 +102,19 @@ def test_tables_of_a_session(spark, tree):
     assert len(rows["raw_records"]) == 18
 
 
+@pytest.mark.parametrize("name", sorted(ingest_registered.queries()))
+def test_sample_transcripts_match_their_events(spark, small, name):
+    """Tables read from JSON against what DuckDB derives from the events behind it."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{small}/events.parquet'")
+    found = con.execute(ingest_registered.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    plain = lambda row: repr([v.replace(tzinfo=None) if hasattr(v, "tzinfo") else v for v in row])
+    got = ingest_registered.queries()[name](spark, small)
+    assert sorted(map(plain, got.select(*names).collect())) == sorted(map(plain, found.fetchall())) and sorted(names) == sorted(got.columns)
+
+
 def test_last_copy_of_a_record_counts(spark, tree):
     root = tree("s2.jsonl", [user("p1", 0, "a"), user("p1", 9, "a"), user("p2", 10, "b")])
     got = [(r["id"], r["started_at"].second) for r in transcripts.extract(spark, root)["turns"].orderBy("index").collect()]

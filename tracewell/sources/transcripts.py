@@ -78,7 +78,11 @@ def checked(value: Column, allowed: list[str], what: str) -> Column:
 
 def files(spark: SparkSession, root: str) -> DataFrame:
     """Every file below a project folder with its session and role."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return classified(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
+
+
+def classified(raw: DataFrame) -> DataFrame:
+    """The session and role of each file, by its path; files of no role are left out, one in a wrong place raises."""
     place = F.regexp_extract("path", r"([^/]+(?:/(?:subagents|tool-results|workflows)(?:/.*)?)?/[^/]+|[^/]+)\z", 1)
     raw = raw.select("path", "content", "length", "modificationTime", place.alias("place"))
     session = F.coalesce(
@@ -404,6 +408,12 @@ def extract(spark: SparkSession, root: str, only: DataFrame | None = None) -> di
     found = files(spark, root)
     if only is not None:
         found = found.join(only.select("session_id").distinct(), "session_id", "left_semi")
+    return extracted(found)
+
+
+def extracted(found: DataFrame) -> dict[str, DataFrame]:
+    """All tables of the trace model from classified files."""
+    spark = found.sparkSession
     read = cut(lines(found))
     told = metas(found)
     records = cut(with_turns(prompts(with_replays(kept(read.where("role <> 'journal'")), told))))
