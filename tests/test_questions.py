@@ -199,3 +199,85 @@ def test_enrichment_bookkeeping(spark, store):
 def test_no_question_names_its_source():
     assert not any(re.search(r"SELECT \*.*LIMIT 0", b) for b in oracle.BODIES.values())
     assert with_store("SELECT 1") == "SELECT 1"
+
+
+def test_preorder_caps_and_meters(spark):
+    nodes = spark.createDataFrame(
+        [("s", "a", None, 1), ("s", "b", None, 2), ("s", "a1", "a", 1), ("s", "a2", "a", 10), ("s", "a1x", "a1", 1), ("t", "a", None, 1)],
+        "session_id string, item_id string, parent_id string, place int",
+    )
+    walked = {(r["session_id"], r["item_id"]): (r["previous"], r["next"]) for r in tree.walk(tree.reading_order(nodes)).collect()}
+    assert walked == {("s", "a"): (None, "a1"), ("s", "a1"): ("a", "a1x"), ("s", "a1x"): ("a1", "a2"), ("s", "a2"): ("a1x", "b"), ("s", "b"): ("a2", None), ("t", "a"): (None, None)}
+    rows = nodes.selectExpr("*", "item_id = 'a2' AS open")
+    assert {r["item_id"] for r in tree.capped(rows.where("parent_id = 'a'"), 1, "open", "place").collect()} == {"a1", "a2"}
+    meter = spark.createDataFrame([(10.0, 10.0), (1.0, 10.0), (0.0001, 10.0), (0.0, 10.0), (1.0, 0.0)], "c double, t double")
+    assert [r[0] for r in meter.select(tree.share_meter(meter["c"], meter["t"])).collect()] == [10, 8, 1, 0, 0]
+
+
+def test_hoisted_runs_and_levels(spark):
+    rows = spark.createDataFrame([("turn", "t1", 1), ("turn", "t2", 2)], "kind string, item_id string, place int")
+    runs = spark.createDataFrame([("r1", "2024-01-02", "t1"), ("r0", "2024-01-01", "t1"), ("r9", None, "gone"), ("r5", "2024-01-03", None)], "id string, started_at string, edge string")
+    runs = runs.withColumn("started_at", runs["started_at"].cast("timestamp"))
+    assert [(r["item_id"], r["place"]) for r in tree.hoisted(rows, runs, "edge").collect()] == [("t1", 1), ("r0", 2), ("r1", 3), ("t2", 4), ("r5", 5), ("r9", 6)]
+    assert set(tree.CHILDREN) >= {(k, p) for k in ("thread", "turn") for p in ("full", "noapi")}
+
+
+def test_command_results_that_cannot_be_read_raise(spark, store):
+    odd = store["live_turns"].where("source = 'main' AND command_name IS NOT NULL").limit(1).selectExpr(
+        "session_id", "source", "1 AS line_no", "'u' AS uuid", "started_at AS timestamp", "'user' AS type",
+        "concat('{\"parentUuid\": \"', id, '\", \"other\": \"<local-command-stdout>x</local-command-stdout>\"}') AS raw",
+    )
+    broken = Store({**store.tables, "raw_records": odd.select(*[f.name for f in model.TABLES["raw_records"]])})
+    with pytest.raises(Exception, match="cannot be read"):
+        enrichment.command_results(broken).collect()
+
+
+def test_plans_limits_and_blocked_ancestors(spark):
+    edges = spark.createDataFrame([("s", "a", None), ("s", "b", "a"), ("s", "c", "b"), ("s", "d", "a")], "session_id string, run_id string, parent_id string")
+    keys = lambda frame: sorted(r["run_id"] for r in frame.collect())
+    one = lambda *ids: spark.createDataFrame([("s", i) for i in ids], "session_id string, run_id string")
+    assert keys(enrichment.planned(one("c"), edges)) == ["a", "b", "c"] and keys(enrichment.planned(one("c"), edges, 2)) == ["a", "b"]
+    assert keys(enrichment.sendable(one("a", "b", "d"), one("c"), edges)) == ["d"]
+
+
+def test_items_of_all_levels(store):
+    runs = enrichment.run_items(store)
+    assert runs.count() == store["live_agent_runs"].count() and runs.where("body IS NULL OR input_hash IS NULL").count() == 0
+    sessions = enrichment.session_items(store)
+    assert sessions.count() == store.session_rollups.where("(turns > 0 OR agent_runs > 0) AND api_calls > 0").count()
+    assert enrichment.turn_items(store).where("body LIKE '%out %'").count() > 0  # what commands printed is part of their turns
+
+
+def test_secret_shapes_are_refused(spark):
+    fine = {"category": model.CATEGORIES[0], "outcome": model.OUTCOMES[0]}
+    rows = [("did", "sk-" + "a" * 16), ("github_pat_" + "b" * 22, None), ("did", "AIza" + "c" * 35), ("did", "sk-short"), (" ", None)]
+    answers = spark.createDataFrame([(d, f, *fine.values()) for d, f in rows], "description string, friction string, category string, outcome string")
+    assert [r["reason"] for r in enrichment.invalid(answers).collect()] == ["secret", "secret", "secret", "no description"]
+
+
+def test_texts_of_spans_are_withheld_by_default(store):
+    assert spans.span_texts(store).isEmpty()
+    assert max(len(r["value"]) for r in spans.span_texts(store, 7).collect()) == 7
+
+
+def test_ledger(spark):
+    state = spark.createDataFrame([("a", "f1"), ("b", "f2")], "session_id string, fingerprint string")
+    ledger = spark.createDataFrame([("a", "x", "f0", "1", 3), ("a", "y", "f1", "1", 3)], "session_id string, backend string, fingerprint string, mapper_version string, spans_sent long")
+    ledger = ledger.selectExpr("*", "current_timestamp() AS delivered_at")
+    assert sorted(r["session_id"] for r in spans.undelivered(state, ledger, "x").collect()) == ["a", "b"]
+    sent = spark.createDataFrame([("a", 2), ("a", 5)], "session_id string, spans long")
+    from pyspark.sql import functions as F
+
+    after = spans.delivered(ledger, state, sent, "x", F.current_timestamp())
+    assert {(r["session_id"], r["backend"], r["fingerprint"], r["spans_sent"]) for r in after.collect()} == {("a", "x", "f1", 7), ("a", "y", "f1", 3)}
+    assert [r["session_id"] for r in spans.undelivered(state, after, "x").collect()] == ["b"]
+
+
+def test_project_paths(tmp_path):
+    from tracewell.sources.projects import encode_project, resolve_project
+
+    (tmp_path / "Work" / "App").mkdir(parents=True)
+    (tmp_path / "link").symlink_to(tmp_path / "Work")
+    assert resolve_project(f"{tmp_path}/work/APP/") == resolve_project(tmp_path / "link" / "App") == (tmp_path / "Work" / "App").resolve()
+    assert resolve_project(tmp_path / "Work" / ".." / "none" / "x") == (tmp_path / "none" / "x").resolve()
+    assert encode_project(tmp_path / "Work") == str((tmp_path / "Work").resolve()).replace("/", "-")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell import model
+from tracewell.operators import tree
 
 STAMP = ("input_hash", "prompt_version", "taxonomy_version", "model")
 #: Prices of an estimate: characters of a token, and tokens that every item costs besides.
@@ -45,11 +46,87 @@ def turn_items(store, call_chars: int = 400, result_chars: int = 200) -> DataFra
     said = calls.where("turn_id IS NOT NULL").groupBy("session_id", "source", "turn_id").agg(F.array_sort(F.collect_list(F.struct("index", "line"))).alias("calls"))
     turns = store["live_turns"].select("session_id", "source", F.col("id").alias("turn_id"), "prompt")
     body = F.array_join(F.transform("calls", lambda c: c["line"]), "\n")
-    rows = turns.join(said, ["session_id", "source", "turn_id"], "left")
-    rows = rows.withColumn("body", F.concat_ws("\n", "prompt", body)).drop("calls", "prompt")
+    rows = turns.join(said, ["session_id", "source", "turn_id"], "left").join(command_results(store), ["session_id", "source", "turn_id"], "left")
+    rows = rows.withColumn("body", F.concat_ws("\n", "prompt", "printed", body)).drop("calls", "prompt", "printed")
     return rows.withColumn("input_hash", F.sha2("body", 256))
 
 
+_PRINTED = r"(?s)<local-command-stdout>(.*?)</local-command-stdout>"
+
+
+def command_results(store) -> DataFrame:
+    """``session_id, source, turn_id, printed``: what each command turn of a main thread printed, in the order of lines.
+
+    The text stands in a record that answers the turn, in its message or in the
+    record itself. A record that names the tag and has it in neither raises.
+    """
+    told = store["raw_records"].where(F.col("raw").contains("<local-command-stdout>"))
+    carrier = F.coalesce(F.get_json_object("raw", "$.message.content"), F.get_json_object("raw", "$.content"))
+    told = told.select("session_id", "source", "line_no", F.get_json_object("raw", "$.parentUuid").alias("turn_id"), carrier.alias("carrier"))
+    turns = store["live_turns"].where("source = 'main' AND command_name IS NOT NULL").select("session_id", "source", F.col("id").alias("turn_id"))
+    told = told.join(turns, ["session_id", "source", "turn_id"])
+    strange = F.raise_error(F.concat(F.lit("a command result of session "), "session_id", F.lit(" cannot be read, line "), F.col("line_no").cast("string"))).cast("string")
+    text = F.when(F.coalesce(F.col("carrier").rlike(_PRINTED), F.lit(False)), F.regexp_extract("carrier", _PRINTED, 1)).otherwise(strange)
+    parts = told.groupBy("session_id", "source", "turn_id").agg(F.array_sort(F.collect_list(F.struct("line_no", text.alias("text")))).alias("parts"))
+    return parts.select("session_id", "source", "turn_id", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("printed"))
+
+
+def run_sections(store) -> DataFrame:
+    """``session_id, run_id, section, turn_id, calls``: a run's parts in order, each with the ids of its calls.
+
+    Section 0 is work on a conversation that another transcript opened: the
+    run's calls that belong to no turn of its own. The others are its turns.
+    """
+    turns = store["live_turns"].where("source <> 'main'").select("session_id", "source", F.col("id").alias("turn_id"), (F.col("index") + 1).alias("place"))
+    calls = store["live_api_calls"].where("source <> 'main'").select("session_id", "source", "turn_id", "index", "id")
+    both = calls.join(turns, ["session_id", "source", "turn_id"], "left").withColumn("turn_id", F.when(F.col("place").isNotNull(), F.col("turn_id")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("index", "id"))), lambda c: c["id"])
+    held = both.groupBy("session_id", "source", F.coalesce("place", F.lit(0)).alias("place"), "turn_id").agg(ordered.alias("calls"))
+    empty = turns.join(held.where("turn_id IS NOT NULL").select("session_id", "source", "turn_id"), ["session_id", "source", "turn_id"], "left_anti")
+    rows = held.unionByName(empty.withColumn("calls", F.array().cast("array<string>")))
+    return rows.select("session_id", F.col("source").alias("run_id"), F.col("place").cast("long").alias("section"), "turn_id", "calls")
+
+
+def run_items(store, call_chars: int = 400) -> DataFrame:
+    """``session_id, run_id, body, input_hash``: each run's sections as one text, a turn's prompt before its calls."""
+    text = store["live_api_calls"].select("session_id", F.col("source").alias("run_id"), F.col("id").alias("call"), elide(F.col("text"), call_chars).alias("said"))
+    parts = run_sections(store).select("session_id", "run_id", "section", "turn_id", F.posexplode_outer("calls").alias("at", "call"))
+    parts = parts.join(text, ["session_id", "run_id", "call"], "left")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda c: c["said"])
+    parts = parts.groupBy("session_id", "run_id", "section", "turn_id").agg(F.array_join(said, "\n").alias("said"))
+    prompts = store["live_turns"].select("session_id", F.col("source").alias("run_id"), F.col("id").alias("turn_id"), "prompt")
+    parts = parts.join(prompts, ["session_id", "run_id", "turn_id"], "left").withColumn("part", F.concat_ws("\n", F.coalesce("prompt", F.lit("(continued)")), "said"))
+    whole = parts.groupBy("session_id", "run_id").agg(F.array_sort(F.collect_list(F.struct("section", "part"))).alias("parts"))
+    runs = store["live_agent_runs"].select("session_id", F.col("id").alias("run_id"), "agent_type")
+    body = F.concat_ws("\n", "agent_type", F.array_join(F.transform("parts", lambda p: p["part"]), "\n"))
+    return runs.join(whole, ["session_id", "run_id"], "left").select("session_id", "run_id", body.alias("body")).withColumn("input_hash", F.sha2("body", 256))
+
+
+def session_items(store) -> DataFrame:
+    """``session_id, body, input_hash``: each describable session's title, totals and what its turns and runs were described as."""
+    rolled = store.session_rollups.where("(turns > 0 OR agent_runs > 0) AND api_calls > 0")
+    turns = store.enriched("turn").where("source = 'main'").select("session_id", F.lit(0).alias("kind"), F.col("index").alias("place"), "id", "description")
+    runs = store.enriched("agent_run").select("session_id", F.lit(1).alias("kind"), F.lit(0).alias("place"), "id", "description")
+    told = turns.unionByName(runs).where("description IS NOT NULL").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("kind", "place", "id", "description"))).alias("parts"))
+    facts = F.concat_ws(" ", F.coalesce("title", F.lit("")), *[F.col(c).cast("string") for c in ("wall_ms", "active_ms", "input_tokens", "output_tokens")])
+    body = F.concat_ws("\n", facts, F.array_join(F.transform("parts", lambda p: p["description"]), "\n"))
+    return rolled.join(told, "session_id", "left").select("session_id", body.alias("body")).withColumn("input_hash", F.sha2("body", 256))
+
+
+def planned(stale_runs: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """``session_id, run_id``: stale runs and all above them, whose texts hold their descriptions; the first ``limit`` by key."""
+    above = tree.ancestry(edges).join(stale_runs.select("session_id", "run_id"), ["session_id", "run_id"], "left_semi")
+    out = stale_runs.select("session_id", "run_id").unionByName(above.select("session_id", F.col("ancestor").alias("run_id"))).distinct()
+    return out if limit is None else out.orderBy("session_id", "run_id").limit(limit)
+
+
+def sendable(stale_runs: DataFrame, failed: DataFrame, edges: DataFrame) -> DataFrame:
+    """Stale runs but for those above a failed one: described now, they would keep the hole that it left."""
+    above = tree.ancestry(edges).join(failed.select("session_id", "run_id"), ["session_id", "run_id"], "left_semi")
+    blocked = above.select("session_id", F.col("ancestor").alias("run_id")).distinct()
+    return stale_runs.join(blocked, ["session_id", "run_id"], "left_anti")
+
+
 def stale(items: DataFrame, held: DataFrame, keys: list[str], prompt_version: str, tagger: str, taxonomy_version: str = model.TAXONOMY_VERSION) -> DataFrame:
     """Items whose held description has another stamp, or that have none."""
     wanted = items.withColumns({"prompt_version": F.lit(prompt_version), "taxonomy_version": F.lit(taxonomy_version), "model": F.lit(tagger)})

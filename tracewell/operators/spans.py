@@ -111,3 +111,42 @@ def undelivered(state: DataFrame, ledger: DataFrame, backend: str) -> DataFrame:
     """Sessions whose present content the ledger does not hold for a backend."""
     sent = ledger.where((F.col("backend") == backend) & (F.col("mapper_version") == MAPPER_VERSION))
     return state.join(sent.select("session_id", "fingerprint"), ["session_id", "fingerprint"], "left_anti").select("session_id", "fingerprint")
+
+
+#: Fields of a span that hold text of a transcript, which is private: relation, the span's kind, columns.
+_TEXTS = (
+    ("sessions", "session", ("title", "agent_name")),
+    ("live_turns", "turn", ("prompt", "command_args")),
+    ("live_api_calls", "api_call", ("text", "thinking")),
+    ("live_tool_calls", "tool_call", ("input", "result")),
+    ("live_agent_runs", "agent_run", ("description",)),
+)
+
+
+def span_texts(store, max_chars: int | None = None) -> DataFrame:
+    """``session_id, span_id, name, value``: the texts that go with spans, cut to ``max_chars``; without a bound, none."""
+    out = None
+    for relation, kind, columns in _TEXTS:
+        rows = store[relation]
+        session = F.col("id" if kind == "session" else "session_id")
+        source = F.lit("") if kind in ("session", "agent_run") else F.col("source")
+        named = F.array(*[F.struct(F.lit(f"{kind}.{c}").alias("name"), F.substring(c, 1, max_chars or 0).alias("value")) for c in columns])
+        part = rows.select(session.alias("session_id"), span_id(session, kind, source, F.col("id")).alias("span_id"), F.inline(named)).where("value IS NOT NULL")
+        out = part if out is None else out.unionByName(part)
+    return out if max_chars is not None else out.where("false")
+
+
+def refused(store) -> DataFrame:
+    """``session_id, reason``: sessions that cannot be sent, for they have no time anywhere or no place."""
+    spans = session_spans(store).groupBy("session_id").agg(F.min("started_at").alias("first"))
+    rows = store["sessions"].select(F.col("id").alias("session_id"), "project_dir").join(spans, "session_id", "left")
+    reason = F.when(F.col("first").isNull(), "timeless").when(F.col("project_dir").isNull(), "placeless")
+    return rows.select("session_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def delivered(ledger: DataFrame, state: DataFrame, sent: DataFrame, backend: str, at) -> DataFrame:
+    """The ledger with a row for each session of ``sent`` (``session_id, spans``) in place of what it held for the backend."""
+    new = sent.groupBy("session_id").agg(F.sum("spans").alias("spans_sent")).join(state.select("session_id", "fingerprint"), "session_id")
+    new = new.withColumns({"backend": F.lit(backend), "mapper_version": F.lit(MAPPER_VERSION), "delivered_at": at})
+    old = ledger.join(new.select("session_id", "backend"), ["session_id", "backend"], "left_anti")
+    return old.unionByName(new.select(*old.columns))

@@ -34,6 +34,84 @@ def placed_runs(store, session_id: str) -> DataFrame:
     return rows.select(F.col("id").alias("run_id"), place.alias("place"), "spawn_source", "spawn_turn_id", "spawn_call_id")
 
 
+def hoisted(rows: DataFrame, runs: DataFrame, edge: str) -> DataFrame:
+    """A level's rows (``kind, item_id, place``) with each run behind the row that ``edge`` names.
+
+    Runs whose row is not on the level come last. Runs of one row stand by start
+    and id; places are counted anew.
+    """
+    at = rows.select(F.col("item_id").alias(edge), F.col("place").alias("row_place"))
+    below = runs.select(F.lit("run").alias("kind"), F.col("id").alias("item_id"), "started_at", edge).join(at, edge, "left")
+    below = below.select("kind", "item_id", F.coalesce("row_place", F.lit(2**62)).alias("major"), F.lit(1).alias("minor"), "started_at")
+    own = rows.select("kind", "item_id", F.col("place").cast("long").alias("major"), F.lit(0).alias("minor"), F.lit(None).cast("timestamp").alias("started_at"))
+    order = Window.partitionBy(F.lit(1)).orderBy("major", "minor", F.asc_nulls_last("started_at"), "item_id")
+    return own.unionByName(below).select("kind", "item_id", F.row_number().over(order).cast("long").alias("place")).orderBy("place")
+
+
+def _of_thread(store, session_id: str, source: str) -> DataFrame:
+    """Runs that a call of the thread spawned."""
+    return spawned(store, session_id).where(F.col("spawn_source") == source)
+
+
+def thread_level(store, session_id: str, source: str) -> DataFrame:
+    """Turns, compactions and runs of a thread; a run stands behind the turn that spawned it."""
+    return hoisted(thread_outline(store, session_id, source).select("kind", "item_id", "place"), _of_thread(store, session_id, source), "spawn_turn_id")
+
+
+def _calls_of(store, session_id: str, source: str, turn_id: str | None) -> DataFrame:
+    turns = thread(store["live_turns"], session_id, source).select(F.col("id").alias("live_turn"))
+    calls = thread(store["live_api_calls"], session_id, source)
+    return calls.join(turns, calls["turn_id"] == turns["live_turn"], "left").where(F.col("live_turn").eqNullSafe(F.lit(turn_id)))
+
+
+def calls_level(store, session_id: str, source: str, turn_id: str | None) -> DataFrame:
+    """Calls of a turn, or of the bucket without one; a run stands behind the call that spawned it."""
+    calls = _calls_of(store, session_id, source, turn_id).select(F.lit("call").alias("kind"), F.col("id").alias("item_id"), F.col("index").alias("place"))
+    runs = _of_thread(store, session_id, source).where(F.col("spawn_turn_id").eqNullSafe(F.lit(turn_id)))
+    return hoisted(calls, runs, "spawn_call_id")
+
+
+def tools_level(store, session_id: str, source: str, turn_id: str | None) -> DataFrame:
+    """Tool calls of a turn without their calls; a run stands behind the tool call that spawned it."""
+    calls = _calls_of(store, session_id, source, turn_id).select(F.col("id").alias("api_call_id"))
+    tools = thread(store["live_tool_calls"], session_id, source).join(calls, "api_call_id", "left_semi")
+    tools = tools.select(F.lit("tool").alias("kind"), F.col("id").alias("item_id"), F.col("index").alias("place"))
+    runs = _of_thread(store, session_id, source).where(F.col("spawn_turn_id").eqNullSafe(F.lit(turn_id)))
+    return hoisted(tools, runs, "tool_use_id")
+
+
+def runs_level(store, session_id: str, source: str) -> DataFrame:
+    """Only the runs below a thread, by start."""
+    rows = _of_thread(store, session_id, source).select(F.lit("run").alias("kind"), F.col("id").alias("item_id"), "started_at")
+    order = Window.partitionBy(F.lit(1)).orderBy(F.asc_nulls_last("started_at"), "item_id")
+    return rows.select("kind", "item_id", F.row_number().over(order).cast("long").alias("place"))
+
+
+#: What stands below a node, by its kind and by how much the reader shows: everything, no model calls, or agents only.
+CHILDREN = {
+    ("thread", "full"): thread_level,
+    ("thread", "noapi"): thread_level,
+    ("thread", "agents"): runs_level,
+    ("turn", "full"): calls_level,
+    ("turn", "noapi"): tools_level,
+}
+
+
+def reading_order(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Add ``path`` to nodes (``session_id, item_id, parent_id, place``): a key that sorts a session's nodes in preorder."""
+    step = F.lpad(F.col("place").cast("string"), 12, "0")
+    level = edges.where("parent_id IS NULL").select("session_id", "item_id", step.alias("path"))
+    out = level
+    for _ in range(max_depth):
+        children = edges.select("session_id", "item_id", F.col("parent_id").alias("above"), step.alias("step"))
+        above = level.select("session_id", F.col("item_id").alias("above"), "path")
+        level = cut(children.join(above, ["session_id", "above"]).select("session_id", "item_id", F.concat_ws("/", "path", "step").alias("path")))
+        if level.isEmpty():
+            return edges.join(out, ["session_id", "item_id"])
+        out = out.unionByName(level)
+    raise ValueError(f"nodes form a cycle, or go deeper than {max_depth}")
+
+
 def parents(store, session_id: str | None = None) -> DataFrame:
     """(session, run, parent): the run recorded as parent, or the thread of the spawning call; null at the top."""
     runs, tools = store["live_agent_runs"], store["live_tool_calls"]
@@ -107,4 +185,4 @@ def share_meter(cost, total, steps: int = 10, decades: int = 4):
     """How full a meter of ``steps`` is for a share of spend, by decades of its logarithm; 0 for no spend."""
     share = F.nullif(cost / F.nullif(total, F.lit(0.0)), F.lit(0.0))
     level = F.ceil(F.lit(steps) * (F.lit(1) + F.log10(share) / F.lit(decades)))
-    return F.coalesce(F.least(F.greatest(level, F.lit(1)), F.lit(steps)), F.lit(0))
+    return F.when(share.isNull(), 0).otherwise(F.least(F.greatest(level, F.lit(1)), F.lit(steps)))

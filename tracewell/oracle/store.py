@@ -68,15 +68,18 @@ _CTES: dict[str, str] = {
             tm AS started_at, CASE WHEN event_id % 41 <> 0 THEN tm + INTERVAL 1500 MILLISECOND END AS ended_at, event_id % 23 = 0 AS replayed FROM ev WHERE tool""",
     "runs": """SELECT sid, min(user_id) AS u, min(tm) FILTER (source <> 'main') AS lo, max(tm) FILTER (source <> 'main') AS hi,
             max(event_id) FILTER (source = 'main' AND tool AND event_id % 6 = 4) AS spawn FROM ev GROUP BY sid HAVING count(*) FILTER (source <> 'main') > 0""",
-    "agent_runs": """SELECT sid AS session_id, 'run-' || sid AS id, NULL::VARCHAR AS parent_agent_id, CASE WHEN u % 7 <> 0 THEN 'u' || spawn END AS tool_use_id,
-            'type' || (u % 3) AS agent_type, 'Run for ' || sid AS description, 'model-a' AS model, 1 AS spawn_depth, u % 5 = 0 AS is_fork, lo AS started_at, hi AS ended_at FROM runs""",
+    "agent_runs": """SELECT sid AS session_id, r.name || '-' || sid AS id, r.above || '-' || sid AS parent_agent_id, CASE WHEN r.depth = 1 AND u % 7 <> 0 THEN 'u' || spawn END AS tool_use_id,
+            'type' || ((u + r.depth - 1) % 3) AS agent_type, CASE r.depth WHEN 1 THEN 'Run' ELSE 'Part' END || ' for ' || sid AS description, 'model-a' AS model, r.depth AS spawn_depth,
+            r.depth = 1 AND u % 5 = 0 AS is_fork, lo AS started_at, hi AS ended_at
+        FROM runs, (VALUES (1, 'run', NULL), (2, 'sub', 'run'), (3, 'deep', 'sub')) r(depth, name, above) WHERE r.depth = 1 OR r.depth = 2 AND u % 3 = 1 OR u % 6 = 1""",
     "compactions": """SELECT sid AS session_id, source, 'k' || event_id AS id, tm AS timestamp, CASE WHEN event_id % 2 = 0 THEN 'auto' ELSE 'manual' END AS trigger,
             CAST(floor(value * 100) AS BIGINT) + 1000 AS pre_tokens, CAST(floor(value) AS BIGINT) AS post_tokens, event_id % 5000 AS duration_ms
             FROM ev WHERE event_type = 'signup' AND event_id % 3 <> 1""",
     "pr_links": """SELECT sid AS session_id, CAST(event_id AS INTEGER) AS line_no, 'https://example.org/pull/' || (event_id % 5) AS pr_url FROM ev WHERE NOT copied AND event_id % 17 = 0""",
     "offload_files": """SELECT 's' || (doc_id % 10) || '-0' AS session_id, 'doc-' || doc_id AS name, text AS content, false AS lossy_decode, CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents""",
     "raw_records": """SELECT sid AS session_id, source, CAST(line AS INTEGER) AS line_no, CASE WHEN event_type = 'view' THEN 't' || event_id ELSE 'x' || event_id END AS uuid,
-            tm AS timestamp, event_type AS type, '{"type": "' || event_type || '", "ids": "m' || event_id || ' u' || event_id || ' ", "props": ' || props || '}' AS raw FROM ev""",
+            tm AS timestamp, event_type AS type, '{"type": "' || event_type || '", "ids": "m' || event_id || ' u' || event_id || ' ", "props": ' || props
+            || CASE WHEN event_id % 7 = 0 AND event_type <> 'view' AND turn IS NOT NULL THEN ', "parentUuid": "' || turn || '", "content": "<local-command-stdout>out ' || event_id || '</local-command-stdout>"' ELSE '' END || '}' AS raw FROM ev""",
     "extract_state": """SELECT sid AS session_id, md5(sid) AS fingerprint, '1' AS extractor_version FROM heads""",
     "turn_enrichments": f"""SELECT sid AS session_id, source, 't' || event_id AS turn_id, {_tags("event_id", "('t' || event_id)", "tm")}
             FROM ev WHERE kind = 'turn' AND event_id % 29 <> 0 AND event_id % 3 <> 1""",

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import enrichment, listing, spans, tree
-from tracewell.oracle.questions import SESSION
+from tracewell.oracle.questions import SESSION, USED_TURN
 from tracewell.oracle.store import with_store
-from tracewell.plans.registered import flat, open_store
+from tracewell.plans.registered import flat, open_store, used_turn
 from tracewell.streaming.refresh import busy_spells
 
 _LIST = """SELECT session_id, started_at, turns, round(cost_usd, 4) AS cost_usd, coalesce(n, 0) AS tool_errors FROM session_rollups
@@ -81,6 +81,20 @@ _SPELLS = """, g AS (SELECT session_id, source, started_at, output_tokens, CASE
     SELECT session_id, source, min(started_at) AS first_at, max(started_at) + INTERVAL 5 MINUTE AS silent_at, count(*) AS calls, sum(output_tokens)::BIGINT AS output_tokens FROM s GROUP BY session_id, source, spell"""
 
 
+def _runs_to_describe(store):
+    """Runs that hold no description of prompt p1, and all above them."""
+    held = store["agent_run_enrichments"].where("prompt_version = 'p1'").select("session_id", F.col("agent_run_id").alias("run_id"))
+    missing = store["live_agent_runs"].select("session_id", F.col("id").alias("run_id")).join(held, ["session_id", "run_id"], "left_anti")
+    missing = missing.where("run_id NOT LIKE 'run-%'")
+    return enrichment.planned(missing, tree.parents(store))
+
+
+def _walked(store):
+    """Runs in reading order, each with its neighbours."""
+    runs = tree.parents(store).select("session_id", F.col("run_id").alias("item_id"), "parent_id", F.lit(1).alias("place"))
+    return tree.walk(tree.reading_order(runs)).select("session_id", "item_id", "previous", "next")
+
+
 def queries():
     return {
         "live_relations": _on_store(_counted("live")),
@@ -98,12 +112,54 @@ def queries():
         "spawn_heights": _on_store(lambda s: tree.heights(tree.parents(s)).groupBy("height").agg(F.count("*").alias("runs"))),
         "enrichment_stale": _on_store(_stale),
         "enrichment_sweep": _on_store(_swept),
-        "session_spans": _on_store(lambda s: _span_rows(s).where("kind <> 'session'")),
+        "command_results": _on_store(enrichment.command_results),
+        "run_sections": _on_store(enrichment.run_sections),
+        "enrichment_plan": _on_store(_runs_to_describe),
+        "thread_level": _on_store(lambda s: tree.thread_level(s, SESSION, "main")),
+        "turn_calls_level": _on_store(lambda s: tree.calls_level(s, SESSION, "main", None)),
+        "turn_tools_level": _on_store(lambda s: tree.tools_level(s, SESSION, "main", used_turn(s))),
+        "run_walk": _on_store(_walked),
+        "span_texts": _on_store(lambda s: spans.span_texts(s, 20)),
+        "span_refusals": _on_store(spans.refused),
+        "session_spans": _on_store(_span_rows),
         "span_census": _on_store(lambda s: spans.census(spans.session_spans(s)).groupBy("kind").agg(F.sum("spans").alias("spans"))),
         "busy_spells": _on_store(lambda s: busy_spells(s["live_api_calls"])),
     }
 
 
+_ALL_SPANS = f"""FROM (WITH below AS ({_SPANS}) FROM below UNION ALL BY NAME
+    SELECT s.id AS session_id, 'session' AS kind, left(sha256(s.id || '/session//' || s.id), 16) AS span_id, coalesce(s.started_at, b.first) AS started_at,
+        greatest(coalesce(s.ended_at, s.started_at, b.first), b.reach, coalesce(s.started_at, b.first) + INTERVAL 1 MILLISECOND) AS ended_at, left(sha256(s.id), 32) AS trace_id
+    FROM sessions s LEFT JOIN (SELECT session_id, min(started_at) AS first, max(ended_at) AS reach FROM below GROUP BY 1) b ON b.session_id = s.id)"""
+
+_CLIMB = """, climb AS (SELECT session_id, id AS low, id, parent_agent_id AS above, 0 AS steps FROM live_agent_runs
+    UNION ALL SELECT c.session_id, c.low, r.id, r.parent_agent_id, steps + 1 FROM climb c JOIN live_agent_runs r ON r.session_id = c.session_id AND r.id = c.above)"""
+
+
+def _with_climb(sql: str) -> str:
+    """SQL over ``climb``: every run with itself and all runs above it."""
+    head = with_store("SELECT 1 FROM live_agent_runs, agent_run_enrichments")
+    return head[: head.index("SELECT 1 FROM live")].rstrip() + "\n" + _CLIMB + "\n" + sql
+
+
+def _level(rows: str, edge: str, turn: str) -> str:
+    """A level's rows, and runs of the main thread behind the row that spawned them."""
+    return with_store(
+        f"""SELECT kind, item_id, row_number() OVER (ORDER BY major NULLS LAST, minor, started_at NULLS LAST, item_id) AS place FROM (
+        SELECT kind, item_id, place AS major, 0 AS minor, NULL::TIMESTAMP AS started_at FROM ({rows})
+        UNION ALL SELECT 'run', r.id, l.place, 1, r.started_at FROM live_agent_runs r JOIN live_tool_calls k ON k.session_id = r.session_id AND k.id = r.tool_use_id AND k.source = 'main'
+            JOIN live_api_calls c ON c.session_id = r.session_id AND c.source = 'main' AND c.id = k.api_call_id
+            LEFT JOIN live_turns t ON t.session_id = r.session_id AND t.source = 'main' AND t.id = c.turn_id LEFT JOIN ({rows}) l ON l.item_id = {edge}
+        WHERE r.session_id = '{SESSION}' AND {turn})"""
+    )
+
+
+_OUTLINE = f"""SELECT kind, item_id, row_number() OVER (ORDER BY started_at, kind DESC, turn_index, item_id) AS place FROM (
+    SELECT 'turn' AS kind, id AS item_id, started_at, "index"::BIGINT AS turn_index FROM live_turns WHERE session_id = '{SESSION}' AND source = 'main'
+    UNION ALL SELECT 'compaction', id, timestamp, NULL FROM live_compactions WHERE session_id = '{SESSION}' AND source = 'main')"""
+_LOOSE = f"""FROM live_api_calls c WHERE c.session_id = '{SESSION}' AND c.source = 'main' AND NOT EXISTS (FROM live_turns t WHERE t.session_id = c.session_id AND t.source = 'main' AND t.id = c.turn_id)"""
+
+
 def oracle_sql():
     spells = with_store("SELECT 1 FROM live_api_calls")
     return {
@@ -132,7 +188,47 @@ def oracle_sql():
             f"""SELECT session_id, id AS tool_call_id, row_number() OVER w AS step, lag(id) OVER w AS previous, lead(id) OVER w AS next FROM live_tool_calls
             WHERE session_id = '{SESSION}' AND is_error WINDOW w AS (ORDER BY started_at, source, "index", id)"""
         ),
-        "spawn_heights": with_store("SELECT 0 AS height, count(*) AS runs FROM live_agent_runs"),
+        "spawn_heights": _with_climb("SELECT height, count(*) AS runs FROM (SELECT session_id, id, max(steps) AS height FROM climb GROUP BY ALL) GROUP BY height"),
+        "run_walk": _with_climb(
+            """SELECT session_id, low AS item_id, lag(low) OVER w AS previous, lead(low) OVER w AS next FROM (SELECT session_id, low, max(steps) AS depth FROM climb GROUP BY ALL)
+            WINDOW w AS (PARTITION BY session_id ORDER BY depth, low)"""
+        ),
+        "enrichment_plan": _with_climb(
+            """SELECT DISTINCT session_id, id AS run_id FROM climb c WHERE low NOT LIKE 'run-%' AND NOT EXISTS (FROM agent_run_enrichments e
+            WHERE e.session_id = c.session_id AND e.agent_run_id = c.low AND e.prompt_version = 'p1')"""
+        ),
+        "command_results": with_store(
+            r"""SELECT t.session_id, t.source, t.id AS turn_id, string_agg(regexp_extract(r.raw, '<local-command-stdout>(.*?)</local-command-stdout>', 1), chr(10) ORDER BY r.line_no) AS printed
+            FROM live_turns t JOIN raw_records r ON r.session_id = t.session_id AND r.source = t.source AND contains(r.raw, '"parentUuid": "' || t.id || '"')
+            WHERE t.source = 'main' AND t.command_name IS NOT NULL GROUP BY ALL"""
+        ),
+        "run_sections": with_store(
+            """SELECT session_id, run_id, section, turn_id, CAST(to_json(coalesce(list(call_id ORDER BY n) FILTER (call_id IS NOT NULL), [])) AS VARCHAR) AS calls FROM (
+                SELECT c.session_id, c.source AS run_id, coalesce(t."index" + 1, 0)::BIGINT AS section, t.id AS turn_id, c.id AS call_id, c."index" AS n
+                FROM live_api_calls c LEFT JOIN live_turns t ON t.session_id = c.session_id AND t.source = c.source AND t.id = c.turn_id WHERE c.source <> 'main'
+                UNION ALL SELECT session_id, source, ("index" + 1)::BIGINT, id, NULL, NULL FROM live_turns WHERE source <> 'main') GROUP BY ALL"""
+        ),
+        "thread_level": _level(_OUTLINE, "t.id", "true"),
+        "turn_calls_level": _level(f"SELECT 'call' AS kind, c.id AS item_id, c.\"index\"::BIGINT AS place {_LOOSE}", "c.id", "t.id IS NULL"),
+        "turn_tools_level": _level(
+            f"SELECT 'tool' AS kind, k.id AS item_id, k.\"index\"::BIGINT AS place FROM live_tool_calls k WHERE k.session_id = '{SESSION}' AND k.source = 'main' AND k.api_call_id IN (SELECT id FROM live_api_calls WHERE session_id = '{SESSION}' AND source = 'main' AND turn_id = {USED_TURN})",
+            "k.id",
+            f"t.id = {USED_TURN}",
+        ),
+        "span_texts": with_store(
+            " UNION ALL ".join(
+                f"""SELECT {session} AS session_id, left(sha256({session} || '/{kind}/' || {source} || '/' || id), 16) AS span_id, '{kind}.{column}' AS name, left({column}, 20) AS value FROM {relation} WHERE {column} IS NOT NULL"""
+                for relation, kind, session, source, columns in (
+                    ("sessions", "session", "id", "''", ("title", "agent_name")),
+                    ("live_turns", "turn", "session_id", "source", ("prompt", "command_args")),
+                    ("live_api_calls", "api_call", "session_id", "source", ("text", "thinking")),
+                    ("live_tool_calls", "tool_call", "session_id", "source", ("input", "result")),
+                    ("live_agent_runs", "agent_run", "session_id", "''", ("description",)),
+                )
+                for column in columns
+            )
+        ),
+        "span_refusals": with_store("SELECT id AS session_id, 'placeless' AS reason FROM sessions WHERE project_dir IS NULL"),
         "enrichment_stale": with_store(
             """SELECT session_id, id AS turn_id FROM live_turns t WHERE source = 'main' AND NOT EXISTS (FROM turn_enrichments e WHERE e.session_id = t.session_id AND e.source = t.source AND e.turn_id = t.id
             AND e.input_hash = md5(t.id) AND e.prompt_version = 'p1' AND e.taxonomy_version = '2' AND e.model = 'tagger-a')"""
@@ -140,7 +236,7 @@ def oracle_sql():
         "enrichment_sweep": with_store(
             """SELECT category, count(*) AS gone FROM turn_enrichments e WHERE NOT EXISTS (FROM corpus_turns t WHERE t.session_id = e.session_id AND t.source = e.source AND t.id = e.turn_id) GROUP BY 1"""
         ),
-        "session_spans": with_store(_SPANS),
+        "session_spans": with_store(_ALL_SPANS),
         "span_census": with_store(f"SELECT kind, count(*) AS spans FROM ({_SPANS}) GROUP BY 1 UNION ALL SELECT 'session', count(*) FROM sessions"),
         "busy_spells": spells[: spells.index("SELECT 1 FROM")].rstrip() + "\n" + _SPELLS,
     }

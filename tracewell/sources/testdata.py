@@ -152,19 +152,22 @@ def project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.expr("max(at) FILTER (WHERE source <> 'main')").alias("hi"),
         F.expr("max(event_id) FILTER (WHERE source = 'main' AND event_type IN ('purchase', 'error') AND event_id % 6 = 4)").alias("spawn"),
     )
+    # Runs of a session: one for its side thread, and in some a run below it and one below that.
+    nested = F.expr("""filter(array(named_struct('depth', 1, 'name', 'run', 'above', CAST(NULL AS STRING)), IF(u % 3 = 1, named_struct('depth', 2, 'name', 'sub', 'above', 'run'), NULL),
+        IF(u % 6 = 1, named_struct('depth', 3, 'name', 'deep', 'above', 'sub'), NULL)), r -> r IS NOT NULL)""")
     out["agent_runs"] = table(
         "agent_runs",
-        runs.where("lo IS NOT NULL"),
+        runs.where("lo IS NOT NULL").select("*", F.inline(nested)),
         session_id="sid",
-        id="concat('run-', sid)",
-        parent_agent_id="NULL",
-        tool_use_id="CASE WHEN u % 7 <> 0 THEN concat('u', spawn) END",
-        agent_type="concat('type', u % 3)",
-        description="concat('Run for ', sid)",
+        id="concat(name, '-', sid)",
+        parent_agent_id="concat(above, '-', sid)",
+        tool_use_id="CASE WHEN depth = 1 AND u % 7 <> 0 THEN concat('u', spawn) END",
+        agent_type="concat('type', (u + depth - 1) % 3)",
+        description="concat(CASE depth WHEN 1 THEN 'Run' ELSE 'Part' END, ' for ', sid)",
         model="'model-a'",
         workflow_id="NULL",
-        spawn_depth="1",
-        is_fork="u % 5 = 0",
+        spawn_depth="depth",
+        is_fork="depth = 1 AND u % 5 = 0",
         fork_context_uuid="NULL",
         started_at="lo",
         ended_at="hi",
@@ -210,7 +213,8 @@ def project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         uuid="CASE WHEN event_type = 'view' THEN concat('t', event_id) ELSE concat('x', event_id) END",
         timestamp="at",
         type="event_type",
-        raw="concat('{\"type\": \"', event_type, '\", \"ids\": \"m', event_id, ' u', event_id, ' \", \"props\": ', props, '}')",
+        raw="""concat('{"type": "', event_type, '", "ids": "m', event_id, ' u', event_id, ' ", "props": ', props,
+            CASE WHEN event_id % 7 = 0 AND event_type <> 'view' AND turn IS NOT NULL THEN concat(', "parentUuid": "', turn, '", "content": "<local-command-stdout>out ', event_id, '</local-command-stdout>"') ELSE '' END, '}')""",
     )
     out["extract_state"] = table(
         "extract_state",
