@@ -358,7 +358,7 @@ def learn(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_rows:
     def make():
         return lambda texts: ([[{"k": k, "f": f.ravel().tolist(), "t": t.tolist()} for k, f, t in windows(x)] for x in texts],)
 
-    found = annotate(some, ["text"], [T.StructField("w", T.ArrayType(row))], make, keep=[]).select(F.explode("w").alias("w")).select("w.*")
+    found = annotate(some, ["text"], [T.StructField("w", T.ArrayType(row))], make, keep=[], slice_rows=64).select(F.explode("w").alias("w")).select("w.*")
     drawn = found.withColumn("hash", F.xxhash64("f", "t")).withColumn("deal", F.pmod("hash", F.lit(DEALS)))
     rank = F.row_number().over(Window.partitionBy("k", "deal").orderBy("hash"))
     rows = drawn.withColumn("rank", rank).where(F.col("rank") <= -(-sample_windows // DEALS)).select("f", "t").toArrow().to_pylist()
