@@ -62,8 +62,8 @@ def learn(
     drawn = drawn.join(F.broadcast(common), "lang", "left_semi").select("lang", "doc_id").distinct()
     texts = known.join(F.broadcast(drawn), ["lang", "doc_id"], "left_semi")
     starts = F.sequence(F.lit(1), F.length("text"), F.lit(PIECE))
-    pieces = texts.select("lang", "doc_id", "text", F.explode(starts).alias("at"))
-    pieces = pieces.select("lang", "doc_id", "at", F.substr("text", F.col("at"), F.lit(PIECE)).alias("piece")).distinct()
+    cut = F.transform(starts, lambda at: F.struct(at.alias("at"), F.substr("text", at, F.lit(PIECE)).alias("piece")))
+    pieces = texts.select("lang", "doc_id", F.explode(cut).alias("p")).select("lang", "doc_id", "p.at", "p.piece").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "piece")
     rows = pieces.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= -(-chars_per_language // PIECE)).collect()
     parts: dict[str, list[str]] = {}
@@ -105,7 +105,7 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    root = np.ones(width, np.int64)
+    root = np.ones(width, np.int32 if len(goto) * width < 2**30 else np.int64)
     for s, to in goto[0].items():
         root[s] = to * width * 2 + 1
     table = np.tile(root, (len(goto), 1))
@@ -114,8 +114,6 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
             table[state, s] = to * width * 2
     table[0] = root
     table[:, PAD] = np.arange(len(goto)) * width * 2
-    if table.max() < 2**31:
-        table = table.astype(np.int32)
     return table.ravel()
 
 
@@ -139,14 +137,15 @@ class Parser:
             room = max(SHARED, TABLE // (2 * len(symbols) + 2) - FIRST - SHARED - 1)
             kept = sorted(own, key=lambda c: (-own[c], c))[:room]
             # Codes to this language's symbols: its letters, shared symbols of its rare ones, one for all others.
-            to = np.full(self.unknown + 1, FIRST + len(kept) + SHARED, np.uint16)
+            shared = SHARED if len(kept) < len(own) else 0
+            to = np.full(self.unknown + 1, FIRST + len(kept) + shared, np.uint16)
             to[[PAD, GAP]] = PAD, GAP
-            for c in own:
+            for c in own if shared else ():
                 to[self.codes[ord(c)]] = FIRST + len(kept) + (ord(c) >> 8) % SHARED
             for i, c in enumerate(kept):
                 to[self.codes[ord(c)]] = FIRST + i
             self.symbols.append(to)
-            self.tables.append(automaton(to[symbols].tolist(), FIRST + len(kept) + SHARED + 1))
+            self.tables.append(automaton(to[symbols].tolist(), FIRST + len(kept) + shared + 1))
             self.bits.append(math.log2(len(symbols) + 2))
 
     def encode(self, text: str) -> np.ndarray:
