@@ -26,10 +26,12 @@ def unpriced(column: str = "cost_usd"):
 
 
 def page(rows: DataFrame, cursor: str, after: int, size: int, matched: str) -> DataFrame:
-    """``size`` rows beyond ``after`` in the cursor's order, each with the count of all beyond."""
+    """``size`` rows beyond ``after`` in the cursor's order, each with the count of all beyond.
+
+    The count is a scalar of its own, which reads no wide column.
+    """
     beyond = rows.where(F.col(cursor) > after)
-    counted = beyond.withColumn(matched, F.count("*").over(Window.partitionBy(F.lit(1))))
-    return counted.orderBy(cursor).limit(size)
+    return beyond.orderBy(cursor).limit(size).withColumn(matched, beyond.agg(F.count("*")).scalar())
 
 
 def calls_with_turns(store, session_id, source) -> DataFrame:
