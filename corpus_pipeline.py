@@ -18,10 +18,17 @@ from tracewell.llm.minhash import near_duplicates
 from tracewell.llm.mixing import mix_sources
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of these names, which an operator would replace, out of the way; and the way back."""
+    back = {f"__own_{n}": n for n in names if n in docs.columns}
+    return docs.withColumnsRenamed({n: held for held, n in back.items()}), back
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a learned language; null texts and texts without a letter are rejected."""
-    judged = identify(docs, learn(docs))
-    return judged.where(F.col("lang_pred") != UNDETERMINED).select(docs.columns)
+    own, back = aside(docs, "lang_pred", "score", "phrase_rate")
+    judged = identify(own, learn(docs)).where(F.col("lang_pred") != UNDETERMINED)
+    return judged.select(own.columns).withColumnsRenamed(back)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,17 +46,19 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("leaks") == 0).select(docs.columns)
+    own, back = aside(docs, "leaks")
+    found = leaks(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("leaks") == 0)
+    return found.select(own.columns).withColumnsRenamed(back)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep every document, with each secret replaced by a mark and ``n_chars`` counted again."""
-    clean = secrets.scan(docs, secrets.learn(docs)).withColumn("text", F.col("redacted"))
+    own, back = aside(docs, "secrets", "redacted")
+    clean = secrets.scan(own, secrets.learn(docs)).withColumn("text", F.col("redacted"))
     if "n_chars" in docs.columns:
         counted = F.when(F.size("secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
         clean = clean.withColumn("n_chars", F.coalesce(counted, F.col("n_chars")))
-    return clean.select(docs.columns)
+    return clean.select(own.columns).withColumnsRenamed(back)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

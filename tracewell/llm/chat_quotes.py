@@ -8,7 +8,7 @@ without quotes. A trimmed passage that nothing equals is looked up by its lines
 and sentences, and one cut elsewhere or wrapped anew by its runs of ``SHINGLE``
 words. A message replies to the message of its outermost quotes (the latest that
 fits; of those that share runs of words only, one that shares the most); without
-a match it answers nobody and opens a thread. Conversations then read
+a match there it answers nobody, whatever its inner quotes hold, and opens a thread. Conversations then read
 thread by thread, so that each message follows what it answers, without quotes.
 """
 
@@ -170,10 +170,13 @@ def link_quotations(chats: DataFrame) -> DataFrame:
     # Runs of words are common by chance: those of a level vote for one message.
     votes = latest.groupBy("conv_id", "node", "level", "how", "source").agg(F.count_distinct("key").alias("n"))
     votes = votes.withColumn("n", F.when(F.col("how") == RUN, F.col("n")).otherwise(1))
+    # Whom a message answers is told by its outermost quotes alone, linked or not.
+    outermost = asked.groupBy("conv_id", "node").agg(F.min("level").alias("level"))
+    votes = votes.join(outermost, ["conv_id", "node", "level"])
     best = votes.groupBy("conv_id", "node").agg(F.max(F.struct((-F.col("level")).alias("l"), (-F.col("how")).alias("h"), "n", "source"))["source"].alias("parent"))
     counted = latest.groupBy("conv_id", "node").agg(F.count_distinct("passage").alias("n_linked"))
-    linked = materialise(best.join(counted, ["conv_id", "node"]))
-    placed = roots(linked)
+    linked = materialise(counted.join(best, ["conv_id", "node"], "left"))
+    placed = roots(linked.where("parent IS NOT NULL"))
 
     whole = parsed.withColumn("node", F.struct("turn", "slot")).join(linked, ["conv_id", "node"], "left").join(placed, ["conv_id", "node"], "left")
     whole = whole.select(
@@ -255,5 +258,6 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def op1_chat_quotes(spark, sf_dir: str) -> DataFrame:
+    """All ``conversations`` linked, rows without conversation or turn unplaced; odd rows as in ``link_quotations``."""
     chats = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return link_quotations(chats).unionByName(unplaced(chats))

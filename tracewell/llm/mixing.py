@@ -238,6 +238,7 @@ def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
+    """Rates of all ``documents``; nulls, empty and repeated rows as in ``mix_sources``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_domains(docs, labels)

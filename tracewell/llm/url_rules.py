@@ -118,6 +118,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
 
 def op10_url_rules(spark, sf_dir: str) -> DataFrame:
+    """Verdicts on all ``pages``; nulls, empty and repeated rows as in ``judge_urls``."""
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
