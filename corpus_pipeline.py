@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import secrets
-from tracewell.llm.common import materialise
+from tracewell.llm.common import Scratch, materialise
 from tracewell.llm.decontam import leaks
 from tracewell.llm.language_id import UNDETERMINED, identify, learn
 from tracewell.llm.minhash import near_duplicates
@@ -78,7 +78,11 @@ ORACLE_SQL = None  # classifiers, sketches and the CRF are not expressible in SQ
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; a stage's table goes when the next one's is written."""
+    scratch = Scratch(spark)
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        docs = scratch.table(stage(spark, docs, sf_dir))
+        scratch.drop(*held)
+        held = [docs]
     return docs

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import annotate, materialise
+from tracewell.llm.common import Scratch, annotate, materialise
 
 _MARK = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)(.*)", re.S)
 #: A line that only announces a quotation, in the forms of common mail programs.
@@ -126,12 +126,14 @@ def roots(edges: DataFrame, limit: int = 64) -> DataFrame:
     Nodes are turns with slots, parents have smaller turns, so a path of any length is done after
     as many rounds as its length has bits.
     """
-    now = materialise(edges.select("conv_id", "node", F.col("parent").alias("at"), F.lit(1).cast("long").alias("depth")))
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.table(edges.select("conv_id", "node", F.col("parent").alias("at"), F.lit(1).cast("long").alias("depth")))
     for _ in range(limit):
         hop = now.select("conv_id", F.col("node").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
         step = now.join(hop, ["conv_id", "at"], "left")
         step = step.select("conv_id", "node", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved"))
-        now = materialise(step)
+        now, old = scratch.table(step), now
+        scratch.drop(old)
         if now.where("moved").isEmpty():
             return now.select("conv_id", "node", F.col("at").alias("root"), "depth")
     raise RuntimeError("reply links do not end")
