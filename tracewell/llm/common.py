@@ -19,11 +19,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path below the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder stands in for it.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder stands in for it on one machine, as in tests; on a cluster
+    that would be a folder of each machine's own, and raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
