@@ -66,7 +66,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trai
     known = labels.select("doc_id", domain_of_labels().alias("domain")).where("domain is not null and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("domain").alias("domain"))
     known = hash_sample(known, train_rows, "doc_id")
-    texts = docs.select("doc_id", "text").join(known, "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # train_rows rows at most
     number = F.array_position(F.array(*[F.lit(d) for d in DOMAINS]), F.col("domain")).cast("int") - 1
     scratch = Scratch(docs.sparkSession)
     seen = scratch.table(texts.select(number.alias("k"), F.array_distinct(hashed_words(F.col("text"), buckets)).alias("words")))
