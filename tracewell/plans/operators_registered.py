@@ -113,6 +113,8 @@ def queries():
         "enrichment_stale": _on_store(_stale),
         "enrichment_sweep": _on_store(_swept),
         "command_results": _on_store(enrichment.command_results),
+        "turn_items": _on_store(lambda s: enrichment.turn_items(s).select("session_id", "source", "turn_id", "input_hash")),
+        "run_items": _on_store(lambda s: enrichment.run_items(s).select("session_id", "run_id", "input_hash")),
         "run_sections": _on_store(enrichment.run_sections),
         "enrichment_plan": _on_store(_runs_to_describe),
         "thread_level": _on_store(lambda s: tree.thread_level(s, SESSION, "main")),
@@ -154,6 +156,12 @@ def _level(rows: str, edge: str, turn: str) -> str:
     )
 
 
+_PRINTED = r"""SELECT t.session_id, t.source, t.id AS turn_id, string_agg(regexp_extract(r.raw, '<local-command-stdout>(.*?)</local-command-stdout>', 1), chr(10) ORDER BY r.line_no) AS printed
+    FROM live_turns t JOIN raw_records r ON r.session_id = t.session_id AND r.source = t.source AND contains(r.raw, '"parentUuid": "' || t.id || '"')
+    WHERE t.source = 'main' AND t.command_name IS NOT NULL GROUP BY ALL"""
+_RUN_CALLS = """SELECT c.session_id, c.source AS run_id, coalesce(t."index" + 1, 0)::BIGINT AS section, t.id AS turn_id, t.prompt, c.id AS call_id, c."index" AS n, c.text
+        FROM live_api_calls c LEFT JOIN live_turns t ON t.session_id = c.session_id AND t.source = c.source AND t.id = c.turn_id WHERE c.source <> 'main'
+    UNION ALL SELECT session_id, source, ("index" + 1)::BIGINT, id, prompt, NULL, NULL, NULL FROM live_turns WHERE source <> 'main'"""
 _OUTLINE = f"""SELECT kind, item_id, row_number() OVER (ORDER BY started_at, kind DESC, turn_index, item_id) AS place FROM (
     SELECT 'turn' AS kind, id AS item_id, started_at, "index"::BIGINT AS turn_index FROM live_turns WHERE session_id = '{SESSION}' AND source = 'main'
     UNION ALL SELECT 'compaction', id, timestamp, NULL FROM live_compactions WHERE session_id = '{SESSION}' AND source = 'main')"""
@@ -197,16 +205,23 @@ def oracle_sql():
             """SELECT DISTINCT session_id, id AS run_id FROM climb c WHERE low NOT LIKE 'run-%' AND NOT EXISTS (FROM agent_run_enrichments e
             WHERE e.session_id = c.session_id AND e.agent_run_id = c.low AND e.prompt_version = 'p1')"""
         ),
-        "command_results": with_store(
-            r"""SELECT t.session_id, t.source, t.id AS turn_id, string_agg(regexp_extract(r.raw, '<local-command-stdout>(.*?)</local-command-stdout>', 1), chr(10) ORDER BY r.line_no) AS printed
-            FROM live_turns t JOIN raw_records r ON r.session_id = t.session_id AND r.source = t.source AND contains(r.raw, '"parentUuid": "' || t.id || '"')
-            WHERE t.source = 'main' AND t.command_name IS NOT NULL GROUP BY ALL"""
+        "command_results": with_store(_PRINTED),
+        "turn_items": with_store(
+            rf"""SELECT session_id, source, turn_id, sha256(concat_ws(chr(10), prompt, printed, string_agg(line, chr(10) ORDER BY n))) AS input_hash FROM (
+                SELECT t.session_id, t.source, t.id AS turn_id, t.prompt, p.printed, c."index" AS n,
+                    c.text || coalesce((SELECT string_agg(chr(10) || '  ' || k.name || ': ' || coalesce(k.result, ''), '' ORDER BY k."index") FROM live_tool_calls k
+                        WHERE k.session_id = c.session_id AND k.source = c.source AND k.api_call_id = c.id), '') AS line
+                FROM live_turns t LEFT JOIN live_api_calls c ON c.session_id = t.session_id AND c.source = t.source AND c.turn_id = t.id
+                LEFT JOIN ({_PRINTED}) p ON p.session_id = t.session_id AND p.source = t.source AND p.turn_id = t.id) GROUP BY session_id, source, turn_id, prompt, printed"""
+        ),
+        "run_items": with_store(
+            f"""SELECT a.session_id, a.id AS run_id, sha256(concat_ws(chr(10), a.agent_type, string_agg(part, chr(10) ORDER BY section))) AS input_hash FROM live_agent_runs a LEFT JOIN (
+                SELECT session_id, run_id, section, coalesce(prompt, '(continued)') || chr(10) || coalesce(string_agg(text, chr(10) ORDER BY n), '') AS part FROM ({_RUN_CALLS}) GROUP BY session_id, run_id, section, prompt) x
+                ON x.session_id = a.session_id AND x.run_id = a.id GROUP BY a.session_id, a.id, a.agent_type"""
         ),
         "run_sections": with_store(
-            """SELECT session_id, run_id, section, turn_id, CAST(to_json(coalesce(list(call_id ORDER BY n) FILTER (call_id IS NOT NULL), [])) AS VARCHAR) AS calls FROM (
-                SELECT c.session_id, c.source AS run_id, coalesce(t."index" + 1, 0)::BIGINT AS section, t.id AS turn_id, c.id AS call_id, c."index" AS n
-                FROM live_api_calls c LEFT JOIN live_turns t ON t.session_id = c.session_id AND t.source = c.source AND t.id = c.turn_id WHERE c.source <> 'main'
-                UNION ALL SELECT session_id, source, ("index" + 1)::BIGINT, id, NULL, NULL FROM live_turns WHERE source <> 'main') GROUP BY ALL"""
+            f"""SELECT session_id, run_id, section, turn_id, CAST(to_json(coalesce(list(call_id ORDER BY n) FILTER (call_id IS NOT NULL), [])) AS VARCHAR) AS calls
+            FROM ({_RUN_CALLS}) GROUP BY session_id, run_id, section, turn_id"""
         ),
         "thread_level": _level(_OUTLINE, "t.id", "true"),
         "turn_calls_level": _level(f"SELECT 'call' AS kind, c.id AS item_id, c.\"index\"::BIGINT AS place {_LOOSE}", "c.id", "t.id IS NULL"),
