@@ -281,3 +281,14 @@ def test_project_paths(tmp_path):
     assert resolve_project(f"{tmp_path}/work/APP/") == resolve_project(tmp_path / "link" / "App") == (tmp_path / "Work" / "App").resolve()
     assert resolve_project(tmp_path / "Work" / ".." / "none" / "x") == (tmp_path / "none" / "x").resolve()
     assert encode_project(tmp_path / "Work") == str((tmp_path / "Work").resolve()).replace("/", "-")
+
+
+def test_cuts_and_tag_staleness(spark):
+    from pyspark.sql import functions as F
+
+    from tracewell.functions import text
+
+    rows = spark.createDataFrame([("abcdef", "p1", "2"), ("abcde", "p0", "2"), (None, None, None), ("éßçdefg", "p1", "1")], "t string, prompt_version string, taxonomy_version string")
+    assert [r[0] for r in rows.select(text.cut("t", 5)).collect()] == ["abcd…", "abcde", None, "éßçd…"]
+    assert [r["tag_stale"] for r in enrichment.stale_tags(rows, "p1", "2").collect()] == [False, True, False, True]
+    assert [r[0] for r in rows.select(enrichment.elide(F.col("t"), 5)).collect()] == ["a … f", "abcde", None, "é … g"]
