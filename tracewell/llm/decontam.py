@@ -299,7 +299,7 @@ def leaks(
 
     Null and empty texts and items leak nothing; repeated items are each
     reported. An item counts when question and answer overlap reach ``overlap``,
-    or when their words together do. Items travel to the executors in blocks of
+    or when their words together do; one without an id is reported as -1. Items travel to the executors in blocks of
     at most ``max_items``, with one pass over ``docs`` for each block, so that
     no index outgrows a worker; the statistics of BM25 cover all items, so that
     scores do not depend on the blocks. A column that is called ``leaks`` is replaced.

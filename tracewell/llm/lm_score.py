@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +41,13 @@ ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
 BITS = 20
 COLD = 1 << BITS  # codes from here on are hashes
 VOCABULARY = COLD - 1
+TOTAL, UNIT = -1, 2.0**-30
 HOT_GRAMS, SAMPLE_ROWS = 262_143, 8000
 SLICE_ROWS, SLICE_CHARS = 2048, 3_000_000
+#: Words that a task remembers the hashes of, and different words that it counts before it passes them on.
+KEPT, COUNTED = 200_000, 1_000_000
 ROWS_PER_PART = 2_000_000
 
-_LOW48 = np.uint64((1 << 48) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,15 +73,30 @@ def slices(batches, names):
             yield [c[start:] for c in cols]
 
 
-def flat(texts) -> tuple[np.ndarray, np.ndarray]:
+class Hashes(dict):
+    """Hashes of words; the first ``KEPT`` different ones are remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = word_hash(word)
+        if len(self) < KEPT:
+            self[word] = h
+        return h
+
+
+def flat(texts, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, and the number of the text of each."""
     lists = [words(t) for t in texts]
     sizes = [len(x) for x in lists]
-    digest = xxhash.xxh3_64_intdigest
-    h = np.fromiter((digest(w) for x in lists for w in x), np.uint64, sum(sizes)) & _LOW48
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.uint64, sum(sizes))
     return h, np.repeat(np.arange(len(lists)), sizes)
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their counts in all."""
+    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+
+
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of ``keys`` in ``sorted_keys``, and which of them are there."""
     if not len(sorted_keys):
@@ -101,8 +119,9 @@ def _sampled(n: int):
     """The n-grams of a sample's texts as word hashes, counted slice by slice."""
 
     def run(batches):
+        hashes = Hashes()
         for (texts,) in slices(batches, ["text"]):
-            h, doc = flat(texts)
+            h, doc = flat(texts, hashes)
             at = starts(doc, n)
             columns = [h[at + i] for i in range(n)]
             _, first, many = np.unique(gram_hash(columns), return_index=True, return_counts=True) if len(at) else (0, at, at)
@@ -113,26 +132,32 @@ def _sampled(n: int):
 
 
 def _counted(named: dict[int, np.ndarray]):
-    """Counts of all words (level 1) and of the named n-grams, combined slice by slice."""
+    """Counts of all words (level 1) and of the named n-grams, combined as far as ``COUNTED`` allows."""
+
+    def batch_of(level, keys, many):
+        return pa.RecordBatch.from_pydict(
+            {"level": pa.array(np.full(len(keys), level, np.int32)), "h": pa.array(keys.view(np.int64)), "c": pa.array(many.astype(np.int64))}
+        )
 
     def run(batches):
+        hashes, held = Hashes(), {level: [] for level in (1, *named)}
         for (texts,) in slices(batches, ["text"]):
-            h, doc = flat(texts)
-            for level in (1, *named):
+            h, doc = flat(texts, hashes)
+            for level, parts in held.items():
                 if level == 1:
                     keys = h
                 else:
                     at = starts(doc, level)
                     keys = gram_hash([h[at + i] for i in range(level)]) if len(at) else np.empty(0, np.uint64)
                     keys = keys[find(named[level], keys)[1]]
-                keys, many = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "level": pa.array(np.full(len(keys), level, np.int32)),
-                        "h": pa.array(keys.view(np.int64)),
-                        "c": pa.array(many.astype(np.int64)),
-                    }
-                )
+                parts.append(np.unique(keys, return_counts=True))
+                if sum(len(k) for k, _ in parts) > 2 * COUNTED:
+                    parts[:] = [merged(parts)]
+                    if len(parts[0][0]) > COUNTED:
+                        yield batch_of(level, *parts.pop())
+        for level, parts in held.items():
+            if parts:
+                yield batch_of(level, *merged(parts))
 
     return run
 
@@ -167,27 +192,27 @@ def _exploded(known, order: int):
     """Rows of each document: its different n-grams, its first words, and one with its total.
 
     A row of first words, which are scored by a shorter n-gram, has the negative
-    order of that in ``n``. The row with a total holds the number of tokens in
-    ``n`` and, in ``value``, the score of all that is known here.
+    order of that in ``n``. The row with a total has ``TOTAL`` for its first word,
+    the number of tokens in ``n`` and, for its second word, the score of all that
+    is known here in units of ``UNIT``.
     """
-    names = ["doc", "key", "n", *(f"w{i}" for i in range(order)), "value"]
+    names = ["doc", "key", "n", *(f"w{i}" for i in range(order))]
 
-    def rows(doc, key, n, codes, value):
+    def rows(doc, key, n, codes):
         k = len(doc)
         codes = [*codes, *[None] * (order - len(codes))]
         empty = pa.nulls(k, pa.int64())
         return pa.RecordBatch.from_arrays(
             [pa.array(doc), key if key is not None else empty, pa.array(n.astype(np.int64))]
-            + [c if c is not None else empty for c in codes]
-            + [pa.array(value) if value is not None else pa.nulls(k, pa.float64())],
+            + [c if c is not None else empty for c in codes],
             names=names,
         )
 
     def run(batches):
-        w = known()
+        w, hashes = known(), Hashes()
         for texts, ids in slices(batches, ["text", "doc"]):
             ids = np.array(ids, np.int64)
-            h, doc = flat(texts)
+            h, doc = flat(texts, hashes)
             code = w.codes(h)
             local = np.zeros(len(texts))
             position = np.arange(len(h)) - np.searchsorted(doc, doc)
@@ -199,7 +224,7 @@ def _exploded(known, order: int):
                     local[doc[end[here]]] += w.log_counts[code[end[here]]]
                     end = end[~here]
                 columns = [pa.array(code[end - n + 1 + i]) for i in range(n)]
-                yield rows(ids[doc[end]], None, np.full(len(end), -n), columns, None)
+                yield rows(ids[doc[end]], None, np.full(len(end), -n), columns)
             at = starts(doc, order)
             if len(at):
                 gram = gram_hash([h[at + i] for i in range(order)])
@@ -212,8 +237,9 @@ def _exploded(known, order: int):
                 columns = [code[at + i] for i in range(order)]
                 cold = np.any([c >= COLD for c in columns], axis=0)
                 key = pa.array(np.where(cold, 0, packed([np.minimum(c, COLD - 1) for c in columns])), mask=cold)
-                yield rows(ids[doc[at]], key, many, [pa.array(c, mask=~cold) for c in columns], None)
-            yield rows(ids, None, np.bincount(doc, minlength=len(texts)), [], local)
+                yield rows(ids[doc[at]], key, many, [pa.array(c, mask=~cold) for c in columns])
+            total = [pa.array(np.full(len(texts), TOTAL)), pa.array(np.rint(local / UNIT).astype(np.int64))]
+            yield rows(ids, None, np.bincount(doc, minlength=len(texts)), total)
 
     return run
 
@@ -222,9 +248,9 @@ def _combined(known, n: int):
     """All n-grams of a shorter order, counted slice by slice."""
 
     def run(batches):
-        w = known()
+        w, hashes = known(), Hashes()
         for (texts,) in slices(batches, ["text"]):
-            h, doc = flat(texts)
+            h, doc = flat(texts, hashes)
             code, at = w.codes(h), starts(doc, n)
             columns = [code[at + i] for i in range(n)]
             _, first, many = np.unique(gram_hash(columns), return_index=True, return_counts=True) if len(at) else (0, at, at)
@@ -318,6 +344,7 @@ def lm_scores(
         hashes, first = np.unique(gram_hash(columns), return_index=True)
         seen[n], named[n] = [c[first] for c in columns], hashes
 
+    scratch.drop(some)
     sent_names = spark.sparkContext.broadcast(named)
     counted = source.select("text").mapInArrow(lambda b: _counted(sent_names.value)(b), "level int, h long, c long")
     counted = scratch.table(counted.groupBy("level", "h").agg(F.sum("c").alias("c")))
@@ -359,22 +386,22 @@ def lm_scores(
 
     codes = [f"w{i}" for i in range(order)]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_part))
-    fields = ["doc", "key", "n", *codes, "value"]
-    exploded = source.mapInArrow(lambda b: _exploded(known, order)(b), ", ".join(f"{f} {'double' if f == 'value' else 'long'}" for f in fields))
+    exploded = source.mapInArrow(lambda b: _exploded(known, order)(b), ", ".join(f"{f} long" for f in ("doc", "key", "n", *codes)))
     log_alpha, log_total = math.log(alpha), coder.log_total
     alone = F.xxhash64("doc", "n").bitwiseOR(F.lit(-(2**63)))  # a row that is no n-gram of the order
-    hashed = F.coalesce("key", F.when(F.col(codes[-1]).isNull(), alone).otherwise(gram_key([F.col(c) for c in codes])))
+    hashed = F.coalesce("key", F.when(F.col(codes[-1]).isNull() | (F.col("w0") == TOTAL), alone).otherwise(gram_key([F.col(c) for c in codes])))
     spread = exploded.withColumn("key", hashed).repartition(parts, "key")
     # The table takes the greatest of each column that the rows carry, so that one exchange serves both.
-    carried = ["doc", *codes, "value"]
+    carried = ["doc", *codes]
     table = spread.groupBy("key").agg(F.sum("n").alias("c"), *[F.min(x).alias(f"t_{x}") for x in carried])
     joined = spread.join(table.hint("shuffle_hash"), "key").select("key", "n", "c", *[F.greatest(x, f"t_{x}").alias(x) for x in carried])
     ranks = [F.shiftright("key", BITS * i).bitwiseAND(F.lit(COLD - 1)) for i in range(order)]
+    is_total = F.coalesce(F.col("w0") == TOTAL, F.lit(False))
     rows = joined.select(
         "doc",
-        F.when(F.col("value").isNotNull(), F.col("n")).alias("tokens"),
-        F.coalesce("value", F.lit(0.0)).alias("value"),
-        F.when(F.col("value").isNotNull(), 0).when(F.col("n") < 0, -F.col("n")).otherwise(order).cast("int").alias("ask"),
+        F.when(is_total, F.col("n")).alias("tokens"),
+        F.when(is_total, F.col("w1") * UNIT).otherwise(F.lit(0.0)).alias("value"),
+        F.when(is_total, 0).when(F.col("n") < 0, -F.col("n")).otherwise(order).cast("int").alias("ask"),
         *[F.coalesce(c, r).alias(c) for c, r in zip(codes, ranks, strict=True)],
         F.when(F.col("n") < 0, 1).otherwise(F.col("n")).alias("weight"),
         F.lit(False).alias("plain"),
