@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +43,9 @@ VOCABULARY = COLD - 1
 TOTAL, UNIT = -1, 2.0**-30
 HOT_GRAMS, SAMPLE_ROWS = 262_143, 8000
 SLICE_ROWS, SLICE_CHARS = 2048, 3_000_000
-#: Words that a task remembers the hashes of, and different words that it counts before it passes them on.
-KEPT, COUNTED = 200_000, 1_000_000
 ROWS_PER_PART = 2_000_000
 
+_LOW48 = np.uint64((1 << 48) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,30 +71,15 @@ def slices(batches, names):
             yield [c[start:] for c in cols]
 
 
-class Hashes(dict):
-    """Hashes of words; the first ``KEPT`` different ones are remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        if len(self) < KEPT:
-            self[word] = h
-        return h
-
-
-def flat(texts, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+def flat(texts) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, and the number of the text of each."""
     lists = [words(t) for t in texts]
     sizes = [len(x) for x in lists]
-    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.uint64, sum(sizes))
+    digest = xxhash.xxh3_64_intdigest
+    h = np.fromiter((digest(w) for x in lists for w in x), np.uint64, sum(sizes)) & _LOW48
     return h, np.repeat(np.arange(len(lists)), sizes)
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and their counts in all."""
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
-
-
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of ``keys`` in ``sorted_keys``, and which of them are there."""
     if not len(sorted_keys):
@@ -119,9 +102,8 @@ def _sampled(n: int):
     """The n-grams of a sample's texts as word hashes, counted slice by slice."""
 
     def run(batches):
-        hashes = Hashes()
         for (texts,) in slices(batches, ["text"]):
-            h, doc = flat(texts, hashes)
+            h, doc = flat(texts)
             at = starts(doc, n)
             columns = [h[at + i] for i in range(n)]
             _, first, many = np.unique(gram_hash(columns), return_index=True, return_counts=True) if len(at) else (0, at, at)
@@ -132,32 +114,26 @@ def _sampled(n: int):
 
 
 def _counted(named: dict[int, np.ndarray]):
-    """Counts of all words (level 1) and of the named n-grams, combined as far as ``COUNTED`` allows."""
-
-    def batch_of(level, keys, many):
-        return pa.RecordBatch.from_pydict(
-            {"level": pa.array(np.full(len(keys), level, np.int32)), "h": pa.array(keys.view(np.int64)), "c": pa.array(many.astype(np.int64))}
-        )
+    """Counts of all words (level 1) and of the named n-grams, combined slice by slice."""
 
     def run(batches):
-        hashes, held = Hashes(), {level: [] for level in (1, *named)}
         for (texts,) in slices(batches, ["text"]):
-            h, doc = flat(texts, hashes)
-            for level, parts in held.items():
+            h, doc = flat(texts)
+            for level in (1, *named):
                 if level == 1:
                     keys = h
                 else:
                     at = starts(doc, level)
                     keys = gram_hash([h[at + i] for i in range(level)]) if len(at) else np.empty(0, np.uint64)
                     keys = keys[find(named[level], keys)[1]]
-                parts.append(np.unique(keys, return_counts=True))
-                if sum(len(k) for k, _ in parts) > 2 * COUNTED:
-                    parts[:] = [merged(parts)]
-                    if len(parts[0][0]) > COUNTED:
-                        yield batch_of(level, *parts.pop())
-        for level, parts in held.items():
-            if parts:
-                yield batch_of(level, *merged(parts))
+                keys, many = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "level": pa.array(np.full(len(keys), level, np.int32)),
+                        "h": pa.array(keys.view(np.int64)),
+                        "c": pa.array(many.astype(np.int64)),
+                    }
+                )
 
     return run
 
@@ -209,10 +185,10 @@ def _exploded(known, order: int):
         )
 
     def run(batches):
-        w, hashes = known(), Hashes()
+        w = known()
         for texts, ids in slices(batches, ["text", "doc"]):
             ids = np.array(ids, np.int64)
-            h, doc = flat(texts, hashes)
+            h, doc = flat(texts)
             code = w.codes(h)
             local = np.zeros(len(texts))
             position = np.arange(len(h)) - np.searchsorted(doc, doc)
@@ -248,9 +224,9 @@ def _combined(known, n: int):
     """All n-grams of a shorter order, counted slice by slice."""
 
     def run(batches):
-        w, hashes = known(), Hashes()
+        w = known()
         for (texts,) in slices(batches, ["text"]):
-            h, doc = flat(texts, hashes)
+            h, doc = flat(texts)
             code, at = w.codes(h), starts(doc, n)
             columns = [code[at + i] for i in range(n)]
             _, first, many = np.unique(gram_hash(columns), return_index=True, return_counts=True) if len(at) else (0, at, at)
