@@ -11,6 +11,7 @@ from tracewell.llm.media import op9_media_columns
 from tracewell.llm.minhash import OP2_SQL, op2_minhash_dedup
 from tracewell.llm.mixing import op5_mixing
 from tracewell.llm.secrets import op4_secret_scan
+from tracewell.llm.spelling import OP11_SQL, op11_spelling_variants
 from tracewell.llm.url_rules import OP10_SQL, op10_url_rules
 
 
@@ -26,8 +27,9 @@ def queries():
         "op8_lm_score": op8_lm_score,
         "op9_media_columns": op9_media_columns,
         "op10_url_rules": op10_url_rules,
+        "op11_spelling_variants": op11_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": OP2_SQL, "op10_url_rules": OP10_SQL}
+    return {"op2_minhash_dedup": OP2_SQL, "op10_url_rules": OP10_SQL, "op11_spelling_variants": OP11_SQL}
