@@ -49,6 +49,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Scratch:
     """Tables in the shared folder that end a plan's lineage, and go when they are no longer read."""
 
@@ -68,11 +74,9 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables from which nothing that is still to run reads."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for held, path in self.paths:
             if any(held is t for t in tables):
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
+                remove(self.spark, path)
 
 
 def release(spark: SparkSession) -> None:

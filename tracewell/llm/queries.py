@@ -13,6 +13,7 @@ from tracewell.llm.mixing import op5_mixing
 from tracewell.llm.secrets import op4_secret_scan
 from tracewell.llm.spelling import OP11_SQL, op11_spelling_variants
 from tracewell.llm.url_rules import OP10_SQL, op10_url_rules
+from tracewell.llm.warc import OP12_SQL, op12_warc
 
 
 def queries():
@@ -28,8 +29,9 @@ def queries():
         "op9_media_columns": op9_media_columns,
         "op10_url_rules": op10_url_rules,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_warc": op12_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": OP2_SQL, "op10_url_rules": OP10_SQL, "op11_spelling_variants": OP11_SQL}
+    return {"op2_minhash_dedup": OP2_SQL, "op10_url_rules": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_warc": OP12_SQL}
