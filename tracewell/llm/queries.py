@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tracewell.llm.chat_quotes import op1_chat_quotes
 from tracewell.llm.decontam import op3_decontamination
+from tracewell.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from tracewell.llm.html_text import op6_html_text
 from tracewell.llm.language_id import op7_language_id
 from tracewell.llm.lm_score import op8_lm_score
@@ -30,8 +31,15 @@ def queries():
         "op10_url_rules": op10_url_rules,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_warc": op12_warc,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": OP2_SQL, "op10_url_rules": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_warc": OP12_SQL}
+    return {
+        "op2_minhash_dedup": OP2_SQL,
+        "op10_url_rules": OP10_SQL,
+        "op11_spelling_variants": OP11_SQL,
+        "op12_warc": OP12_SQL,
+        "op13_hard_negatives": OP13_SQL,
+    }
