@@ -42,12 +42,12 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from tracewell.plans import ask
     from tracewell.plans.registered import bindings, open_store
-    from tracewell.relations import Store
+    from tracewell.storage import StoredStore, write_store
 
     began = time.perf_counter()
-    open_store(spark, sf_dir).write(f"{folder}/store")
+    write_store(open_store(spark, sf_dir), f"{folder}/store")
     times = {"write_store": round(time.perf_counter() - began, 3)}
-    store = Store.read(spark, f"{folder}/store")
+    store = StoredStore.read(spark, f"{folder}/store")
     for name in HEADLINE:
         given = bindings(name, store)
         for _ in range(2):

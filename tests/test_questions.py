@@ -13,6 +13,7 @@ from tracewell.oracle import questions as oracle
 from tracewell.oracle.store import with_store
 from tracewell.plans import QUESTIONS, ask, citation, operators_registered, registered
 from tracewell.relations import Store
+from tracewell.storage import Folder, StoredStore, write_store
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -20,8 +21,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 @pytest.fixture(scope="module")
 def store(spark, small, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("store"))
-    registered.open_store(spark, small).write(path)
-    return Store.read(spark, path)
+    write_store(registered.open_store(spark, small), path)
+    return StoredStore.read(spark, path)
 
 
 @pytest.fixture(scope="module")
@@ -100,9 +101,11 @@ def test_tables_have_the_schema(spark, small):
 
 
 def test_store_of_another_version_is_refused(spark, tmp_path):
-    spark.createDataFrame([(0,)], "schema_version int").write.parquet(f"{tmp_path}/meta")
+    Folder(spark, str(tmp_path)).claim("versions/000000000001.json", '{"schema": 0, "loads": [], "buckets": 1, "slots": 1}')
     with pytest.raises(ValueError, match="schema version"):
-        Store.read(spark, str(tmp_path))
+        StoredStore.read(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="no store"):
+        StoredStore.read(spark, str(tmp_path / "elsewhere"))
 
 
 def test_parameters_are_checked(store):

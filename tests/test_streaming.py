@@ -7,6 +7,7 @@ import pytest
 from tracewell.plans import QUESTIONS, ask, registered
 from tracewell.relations import Store
 from tracewell.sources import transcripts
+from tracewell.storage import StoredStore, replace_sessions, write_store
 from tracewell.streaming import refresh
 
 
@@ -29,7 +30,7 @@ def call(uuid, message, tool=None):
 
 
 def prompts(spark, path):
-    return sorted(r["prompt"] for r in Store.read(spark, path)["turns"].collect())
+    return sorted(r["prompt"] for r in StoredStore.read(spark, path)["turns"].collect())
 
 
 def test_watch_replaces_only_arriving_sessions(spark, tmp_path):
@@ -53,11 +54,11 @@ def test_a_replaced_session_loses_what_it_lost(spark, tmp_path):
     (root / "a.jsonl").write_text(prompt("p1", "one") + call("c1", "m1", "t1") + mark("k1") + prompt("p2", "two", 40))
     (root / "b.jsonl").write_text(prompt("p3", "other") + mark("k2"))
     assert refresh.refresh(spark, str(root), out) == 2
-    assert {r["id"] for r in Store.read(spark, out)["compactions"].collect()} == {"k1", "k2"}
+    assert {r["id"] for r in StoredStore.read(spark, out)["compactions"].collect()} == {"k1", "k2"}
     (root / "a.jsonl").write_text(prompt("p1", "one"))
     (root / "b.jsonl").unlink()
     assert refresh.refresh(spark, str(root), out) == 1
-    store = Store.read(spark, out)
+    store = StoredStore.read(spark, out)
     assert [r["id"] for r in store["compactions"].collect()] == ["k2"]  # a session whose file is gone keeps its rows
     assert store["api_calls"].count() == store["tool_calls"].count() == 0 and prompts(spark, out) == ["one", "other"]
     assert [r["api_calls"] for r in store.session_rollups.where("session_id = 'a'").collect()] == [0]
@@ -70,24 +71,24 @@ def test_a_broken_load_is_not_seen(spark, tmp_path, monkeypatch):
     (root / "a.jsonl").write_text(prompt("p1", "one"))
     refresh.refresh(spark, str(root), out)
     tables = transcripts.extract(spark, str(root))
-    tables["raw_records"] = tables["raw_records"].selectExpr("*", "raise_error('disk full') AS no")
+    tables["raw_records"] = tables["raw_records"].selectExpr("* EXCEPT (raw)", "raise_error('disk full') AS raw")
     with pytest.raises(Exception, match="disk full"):
-        Store.replace_sessions(spark, out, tables, tables["extract_state"])
-    assert prompts(spark, out) == ["one"] and Store.read(spark, out).duplicate_keys("turns").isEmpty()
+        replace_sessions(spark, out, tables, tables["extract_state"])
+    assert prompts(spark, out) == ["one"] and StoredStore.read(spark, out).duplicate_keys("turns").isEmpty()
 
 
 def test_questions_over_a_refreshed_store_equal_those_over_a_fresh_one(spark, small, tmp_path):
     """Write the store, spoil some sessions, replace them: every question answers as before, from whole relations."""
     whole = registered.open_store(spark, small)
-    whole.write(str(tmp_path / "fresh"))
+    write_store(whole, str(tmp_path / "fresh"))
     spoiled = Store({n: t if n in ("sessions", "extract_state") else t.where("false") if "session_id" not in t.columns else t.where("session_id NOT LIKE 's1%'") for n, t in whole.tables.items()})
     kept = {n: whole.tables[n] for n in whole.tables if n.endswith("enrichments")}
-    Store(spoiled.tables | kept).write(str(tmp_path / "mended"))
+    write_store(Store(spoiled.tables | kept), str(tmp_path / "mended"))
     ids = whole["sessions"].where("id LIKE 's1%'").selectExpr("id AS session_id")
     again = {n: t.where("id LIKE 's1%'" if n == "sessions" else "session_id LIKE 's1%'") for n, t in whole.tables.items()}
-    Store.replace_sessions(spark, str(tmp_path / "mended"), again, ids)
-    fresh, mended = Store.read(spark, str(tmp_path / "fresh")), Store.read(spark, str(tmp_path / "mended"))
-    assert fresh.derived and not mended.derived
+    replace_sessions(spark, str(tmp_path / "mended"), again, ids)
+    fresh, mended = StoredStore.read(spark, str(tmp_path / "fresh")), StoredStore.read(spark, str(tmp_path / "mended"))
+    assert len(fresh.version.loads) == 1 and len(mended.version.loads) == 2
     for name in ("session_counts", "tool_failures", "context_reloads", "sessions", "select_runs", "view_sessions", "session_digest", "view_run_header"):
         asked = registered.bindings(name, fresh)
         assert sorted(map(repr, ask(mended, name, **asked).collect())) == sorted(map(repr, ask(fresh, name, **asked).collect())), name

@@ -74,6 +74,12 @@ ENRICHMENTS: dict[str, T.StructType] = {
     "session_enrichments": schema(f"session_id string, {_TAGS}"),
 }
 
+ROLLUPS = schema(
+    "session_id string, project_dir string, title string, started_at timestamp, ended_at timestamp, wall_ms long, active_ms long, turns long, "
+    "tool_calls long, agent_runs long, compactions long, api_calls long, input_tokens long, output_tokens long, cache_read_tokens long, "
+    "cache_creation_tokens long, cost_usd double, unpriced_api_calls long"
+)
+
 KEYS: dict[str, tuple[str, ...]] = {
     "sessions": ("id",),
     "turns": ("session_id", "source", "id"),

@@ -108,6 +108,8 @@ def ask(store: Store, name: str, /, **given: Any) -> DataFrame:
     question = QUESTIONS[name]
     values = bind(question, given)
     if not question.corpus:
+        if values.get("session_id") is not None:
+            store = store.narrowed(values["session_id"])
         return question.build(store, **values)
     scope = Scope(store, values.pop("project"), values.pop("as_of"), values.pop("window_days"), values.pop("since"))
     return question.build(store, scope, **values)

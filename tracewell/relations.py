@@ -7,35 +7,22 @@ rollup is one aggregation per table, joined on the session.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracewell import model
 from tracewell.functions.text import millis_between
 
-#: Which load a stored row is of, and which load counts for a session.
-LOAD, FIRST_LOAD = "load_name", ""
-LOADS = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("number", T.LongType()), T.StructField(LOAD, T.StringType())])
-
 REPLAYABLE = ("turns", "api_calls", "tool_calls")
 COUNTED = (*REPLAYABLE, "agent_runs", "compactions")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-def check_version(spark: SparkSession, path: str) -> None:
-    held = [r["schema_version"] for r in spark.read.parquet(f"{path}/meta").collect()]
-    if held != [model.SCHEMA_VERSION]:
-        raise ValueError(f"the store at {path} has schema version {held}, this library {model.SCHEMA_VERSION}")
+def live_rows(rows: DataFrame, table: str) -> DataFrame:
+    """Rows that no fork replayed."""
+    return rows.where(~F.col("replayed")) if table in REPLAYABLE else rows
 
 
 class Store:
@@ -60,8 +47,7 @@ class Store:
         raise KeyError(name)
 
     def live(self, table: str) -> DataFrame:
-        rows = self.tables[table]
-        return rows.where(~F.col("replayed")) if table in REPLAYABLE else rows
+        return live_rows(self.tables[table], table)
 
     def corpus(self, table: str) -> DataFrame:
         """Rows of the earliest session that holds their id, by start and then by session."""
@@ -116,72 +102,9 @@ class Store:
         )
         return base.join(told, list(keys.values()), "left")
 
-    def write(self, path: str) -> None:
-        """Write every table as Parquet below ``path``, with the version of the schema.
-
-        The ``corpus_*`` relations and both rollups are written too, from the
-        tables just written: every corpus question would else decide again which
-        session owns a row. They hold until sessions are added or replaced.
-        """
-        for name, rows in self.tables.items():
-            rows.withColumn(LOAD, F.lit(FIRST_LOAD)).write.mode("overwrite").parquet(f"{path}/{name}")
-        held = Store({n: self.spark.read.schema(r.schema).parquet(f"{path}/{n}") for n, r in self.tables.items()})
-        for table in COUNTED:
-            held.corpus(table).write.mode("overwrite").parquet(f"{path}/corpus_{table}")
-            held.derived[f"corpus_{table}"] = self.spark.read.schema(held.tables[table].schema).parquet(f"{path}/corpus_{table}")
-        held.rollups("live").write.mode("overwrite").parquet(f"{path}/session_rollups")
-        held.rollups("corpus").write.mode("overwrite").parquet(f"{path}/corpus_rollups")
-        self.spark.createDataFrame([], LOADS).write.mode("overwrite").parquet(f"{path}/loads")
-        self.spark.createDataFrame([(model.SCHEMA_VERSION,)], "schema_version int").write.mode("overwrite").parquet(f"{path}/meta")
-
-    @staticmethod
-    def replace_sessions(spark: SparkSession, path: str, tables: Mapping[str, DataFrame], sessions: DataFrame) -> None:
-        """Replace all rows of ``sessions`` (``session_id``) in a written store, or begin one.
-
-        Rows are appended under the name of this load; the last write names the
-        load as the one that counts for these sessions. Until then, and if it
-        breaks off, readers see what they saw before; a session that lost rows
-        loses them. What was derived from the old rows is no longer read.
-        """
-        name = uuid.uuid4().hex
-        begun = exists(spark, f"{path}/meta")
-        if begun:
-            check_version(spark, path)
-        else:
-            tables = {**{n: spark.createDataFrame([], t) for n, t in model.ENRICHMENTS.items()}, **tables}
-        for table, rows in tables.items():
-            if table in model.TABLES or not begun:
-                rows.withColumn(LOAD, F.lit(name)).write.mode("append").parquet(f"{path}/{table}")
-        last = spark.read.schema(LOADS).parquet(f"{path}/loads").agg(F.max("number")).first()[0] if begun else None
-        loads = sessions.select("session_id").distinct().withColumns({"number": F.lit((last or 0) + 1).cast("long"), LOAD: F.lit(name)})
-        loads.write.mode("append").parquet(f"{path}/loads")
-        if not begun:
-            spark.createDataFrame([(model.SCHEMA_VERSION,)], "schema_version int").write.parquet(f"{path}/meta")
-
-    @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Store:
-        """Open a written store; one of another schema version is refused.
-
-        Where sessions were replaced since it was written whole, only each
-        session's newest rows are read and relations are derived anew; write the
-        store again, to another place, to have them at hand.
-        """
-        check_version(spark, path)
-        loads = spark.read.schema(LOADS).parquet(f"{path}/loads")
-        fixed = model.TABLES | model.ENRICHMENTS
-        if loads.isEmpty():
-            tables = {n: spark.read.schema(s).parquet(f"{path}/{n}") for n, s in fixed.items()}
-            derived = {f"corpus_{t}": spark.read.schema(model.TABLES[t]).parquet(f"{path}/corpus_{t}") for t in COUNTED}
-            return cls(tables, derived | {n: spark.read.parquet(f"{path}/{n}") for n in ("session_rollups", "corpus_rollups")})
-        newest = loads.groupBy("session_id").agg(F.max_by(LOAD, "number").alias("__newest")).withColumnRenamed("session_id", "__session")
-        tables = {}
-        for n, s in fixed.items():
-            rows = spark.read.schema(T.StructType([*s.fields, T.StructField(LOAD, T.StringType())])).parquet(f"{path}/{n}")
-            if n in model.TABLES:
-                rows = rows.join(newest, rows["id" if n == "sessions" else "session_id"] == newest["__session"], "left")
-                rows = rows.where(F.col(LOAD) == F.coalesce("__newest", F.lit(FIRST_LOAD)))
-            tables[n] = rows.select(*s.names)
-        return cls(tables)
+    def narrowed(self, session_id: str) -> Store:
+        """A store that need hold no other session; a written one reads no other's files."""
+        return self
 
     def duplicate_keys(self, table: str) -> DataFrame:
         """Keys that ``table`` holds more than once: none in a sound store."""

@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewell.functions.lineage import cut
-from tracewell.relations import Store, exists
 from tracewell.sources import transcripts
+from tracewell.storage import Folder, StoredStore, load_version, replace_sessions
 
 _FILES = T.StructType(
     [
@@ -26,14 +26,14 @@ def refresh(spark: SparkSession, root: str, path: str) -> int:
 
     Sessions whose files are gone keep their rows. Returns how many were extracted.
     """
-    if exists(spark, f"{path}/meta"):
-        todo = transcripts.changed(spark, root, Store.read(spark, path)["extract_state"])
+    if load_version(Folder(spark, path)) is not None:
+        todo = transcripts.changed(spark, root, StoredStore.read(spark, path)["extract_state"])
     else:
         todo = transcripts.fingerprints(transcripts.files(spark, root))
     todo = cut(todo.select("session_id"))
     n = todo.count()
     if n:
-        Store.replace_sessions(spark, path, transcripts.extract(spark, root, todo), todo)
+        replace_sessions(spark, path, transcripts.extract(spark, root, todo), todo)
     return n
 
 
@@ -49,7 +49,7 @@ def watch(spark: SparkSession, root: str, path: str, checkpoint: str) -> Streami
         todo = cut(batch.select(session.alias("session_id")).where("session_id <> ''").distinct())
         if not todo.isEmpty():
             here = batch.sparkSession
-            Store.replace_sessions(here, path, transcripts.extract(here, root, todo), todo)
+            replace_sessions(here, path, transcripts.extract(here, root, todo), todo)
 
     return arrived.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
