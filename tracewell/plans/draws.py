@@ -107,27 +107,32 @@ def select_sessions(
     Strata choose in turn from what the ones before left: the costliest, those
     with most failures, with most compactions, the latest of each frequent skill
     (skills by name), and a seeded draw that fills what is left of the budget of
-    all quotas and one session for each skill. Each turn is a top list and an
-    anti join. Skills choose in rounds, as ``one_each`` says.
+    all quotas and one session for each skill. The pool is written once, and so
+    are the offers of skills. What the first strata can choose are the top lists
+    of all their quotas together; skills choose in rounds, as ``one_each`` says.
     """
     failures = tools_by(store["corpus_tool_calls"], "session_id").select("session_id", "tool_errors")
     pool = scope.in_window.join(store.corpus_rollups, "session_id").join(failures, "session_id", "left").fillna(0, ["tool_errors"])
-    pool = pool.where((F.col("turns") > 0) | (F.col("agent_runs") > 0)).where(F.col("api_calls") >= min_api_calls)
-    chosen = None
-    for phase, (stratum, measure, quota) in enumerate((("cost", "cost_usd", cost_quota), ("tool-errors", "tool_errors", error_quota), ("compactions", "compactions", compaction_quota))):
-        left = pool if chosen is None else pool.join(chosen, "session_id", "left_anti")
-        best = left.where(F.col(measure) > 0).orderBy(F.desc(measure), "session_id").limit(quota)
-        best = best.select(F.lit(phase).alias("phase"), F.lit(stratum).alias("stratum"), "session_id", (-F.col(measure)).cast("double").alias("place"), F.lit("").alias("draw"))
-        chosen = cut(best if chosen is None else chosen.unionByName(best))
+    pool = cut(pool.where((F.col("turns") > 0) | (F.col("agent_runs") > 0)).where(F.col("api_calls") >= min_api_calls))
+    strata = (("cost", "cost_usd", cost_quota), ("tool-errors", "tool_errors", error_quota), ("compactions", "compactions", compaction_quota))
+    chosen, within = None, 0
+    for phase, (stratum, measure, quota) in enumerate(strata):
+        within += quota
+        able = pool.where(F.col(measure) > 0).select("session_id", F.col(measure).cast("double").alias("m")).orderBy(F.desc("m"), "session_id").limit(within)
+        left = able if chosen is None else able.join(chosen, "session_id", "left_anti")
+        best = left.orderBy(F.desc("m"), "session_id").limit(quota)
+        best = best.select(F.lit(phase).alias("phase"), F.lit(stratum).alias("stratum"), "session_id", (-F.col("m")).alias("place"), F.lit("").alias("draw"))
+        chosen = best if chosen is None else chosen.unionByName(best)
+    chosen = cut(chosen)
 
     uses = store["corpus_api_calls"].where("attribution_skill IS NOT NULL").select(F.col("attribution_skill").alias("skill"), "session_id").distinct()
-    uses = uses.join(pool.select("session_id", "started_at"), "session_id")
+    uses = cut(uses.join(pool.select("session_id", "started_at"), "session_id"))
     frequent = uses.groupBy("skill").count().where(F.col("count") >= skill_threshold).select("skill")
     offers = uses.join(frequent, "skill").join(chosen, "session_id", "left_anti")
     latest = Window.partitionBy("skill").orderBy(F.desc_nulls_last("started_at"), "session_id")
     picks = one_each(offers.select("skill", "session_id", F.row_number().over(latest).alias("rank")))
     taken = picks.select(F.lit(3).alias("phase"), F.concat(F.lit("skill:"), "skill").alias("stratum"), "session_id", F.lit(0.0).alias("place"), F.col("skill").alias("draw"))
-    chosen = cut(chosen.unionByName(taken))
+    chosen = chosen.unionByName(taken)
 
     room = cost_quota + error_quota + compaction_quota + discovery_quota + frequent.count() - chosen.count()
     rest = pool.where(F.col("api_calls") >= min_discovery_api_calls).join(chosen, "session_id", "left_anti")
@@ -154,13 +159,14 @@ def one_each(offers: DataFrame) -> DataFrame:
     every skill bids for its best session that it was not refused yet, and of
     several bids the first skill's stands. When none is refused, each has what it
     would get in turn: a later skill can never hold what an earlier one wants.
+    A round writes the offers that are still open, so its plan is as large as
+    the first one's.
     """
-    refused = None
+    open_ = cut(offers)
     while True:
-        open_ = offers if refused is None else offers.join(refused, ["skill", "session_id"], "left_anti")
         bids = open_.groupBy("skill").agg(F.min_by("session_id", "rank").alias("session_id"))
         first = bids.groupBy("session_id").agg(F.min("skill").alias("first"))
-        lost = bids.join(first, "session_id").where("skill <> first").select("skill", "session_id")
-        refused, before = cut(lost if refused is None else refused.unionByName(lost)), refused
-        if refused.count() == (0 if before is None else before.count()):
+        lost = cut(bids.join(first, "session_id").where("skill <> first").select("skill", "session_id"))
+        if lost.isEmpty():
             return bids
+        open_ = cut(open_.join(lost, ["skill", "session_id"], "left_anti"))
