@@ -1,7 +1,7 @@
 """Session transcripts (JSON Lines trees) as tables of the trace model.
 
-All sessions are parsed at once; every step is a transform over one DataFrame of
-lines, partitioned by session. The input is closed-world: a record, block, tag
+All sessions are parsed at once, in byte ranges of their files; every step is a
+transform over one DataFrame of lines, partitioned by session. The input is closed-world: a record, block, tag
 or file of an unknown kind raises when it is read, and no message holds content.
 
 Layout of a project folder: ``<session>.jsonl`` is the main thread;
@@ -12,6 +12,8 @@ run, which may sit in ``subagents/workflows/wf_<id>/``; files in
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,9 @@ PRICES = {
 CACHE_READ, CACHE_5M, CACHE_1H = 0.1, 1.25, 2.0
 SYNTHETIC = "<synthetic>"
 UNKNOWN_DEPTH = 1_000_000
+TRANSCRIPTS = "role IN ('main', 'run', 'journal')"
+#: So many files are named to Spark one by one; of more, the folder is read and others' lines are left out.
+NAMED_FILES = 10_000
 
 _USAGE = (
     "struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint,"
@@ -76,15 +81,19 @@ def checked(value: Column, allowed: list[str], what: str) -> Column:
     return F.when(value.isNull() | value.isin(*allowed), value).otherwise(problem(f"unknown {what}"))
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below a project folder with its session and role."""
+def files(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """Every file below a project folder with its session and role; contents are read only where they are used."""
     return classified(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
 
 
 def classified(raw: DataFrame) -> DataFrame:
     """The session and role of each file, by its path; files of no role are left out, one in a wrong place raises."""
     place = F.regexp_extract("path", r"([^/]+(?:/(?:subagents|tool-results|workflows)(?:/.*)?)?/[^/]+|[^/]+)\z", 1)
-    raw = raw.select("path", "content", "length", "modificationTime", place.alias("place"))
+    return placed(raw.select("path", "content", "length", "modificationTime", place.alias("place")))
+
+
+def placed(raw: DataFrame) -> DataFrame:
+    """Add what a ``path`` says: ``session_id, role, source, workflow_id, name``."""
     session = F.coalesce(
         F.nullif(F.regexp_extract("path", r"([^/]+)/(?:subagents|tool-results|workflows)/", 1), F.lit("")),
         F.regexp_extract("path", r"([^/]+)\.jsonl\z", 1),
@@ -113,23 +122,61 @@ def fingerprints(found: DataFrame) -> DataFrame:
     return parts.select("session_id", F.sha2(F.concat_ws("\x00", F.lit(str(model.SCHEMA_VERSION)), "parts"), 256).alias("fingerprint"))
 
 
-def lines(found: DataFrame) -> DataFrame:
-    """The records of all transcripts: split at newlines only, numbered from 1, blanks skipped.
+def content_lines(found: DataFrame) -> DataFrame:
+    """Lines of transcripts whose content is at hand: ``path, split, at, session_id, source, role, raw``."""
+    text = F.decode("content", "UTF-8")
+    split = found.where(TRANSCRIPTS).select("path", F.lit(0).cast("long").alias("split"), "session_id", "source", "role", F.posexplode(F.split(text, "\n")).alias("at", "raw"))
+    return split.withColumn("at", F.col("at").cast("long"))
+
+
+def split_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines of the transcripts below ``paths``, read in byte ranges by as many tasks as the ranges ask for.
+
+    ``split`` is where a range begins and ``at`` rises within it by one a line;
+    ``numbered`` makes line numbers of them.
+    """
+    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(paths)
+    # The metadata's path is a URI, in which a plus sign is itself.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    rows = text.select(
+        path.alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.decode(F.col("value").cast("binary"), "UTF-8").alias("raw")
+    )
+    return placed(rows).where(TRANSCRIPTS).drop("workflow_id", "name")
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """Add what a line holds as a record, line by line: ``blank, good, r, in_blocks, blocks``."""
+    record = F.try_parse_json("raw")
+    content = F.variant_get(record, "$.message.content", "variant")
+    out = rows.withColumns({"blank": F.trim(F.regexp_replace("raw", r"[\t\r]", " ")) == "", "good": record.isNotNull()})
+    out = out.withColumn("r", F.from_json(F.when(F.col("good"), F.col("raw")), _RECORD))
+    out = out.withColumn("in_blocks", F.coalesce(F.schema_of_variant(content).startswith("ARRAY"), F.lit(False)))
+    return out.withColumn("blocks", F.when(F.col("in_blocks"), F.from_json("r.message.content", _BLOCK)))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ``line_no``, from 1 on, and ``last``, that of the transcript's last line that is not blank.
+
+    A range's first number is one more than the lines of the ranges before it:
+    a sum over ranges, of which a file of some GB has some tens.
+    """
+    ranges = rows.groupBy("path", "split").agg(F.count("*").alias("lines"), F.min("at").alias("first"), F.max(F.when(~F.col("blank"), F.col("at"))).alias("end"))
+    before = Window.partitionBy("path").orderBy("split")
+    ranges = ranges.withColumn("base", F.coalesce(F.sum("lines").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    last = F.max(F.col("base") + F.col("end") - F.col("first") + 1).over(Window.partitionBy("path"))
+    ranges = ranges.select("path", "split", "first", "base", last.alias("last"))
+    out = rows.join(ranges, ["path", "split"])
+    return out.withColumn("line_no", (F.col("base") + F.col("at") - F.col("first") + 1).cast("int")).drop("base", "first", "at", "split", "path")
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """The records of all transcripts: blanks skipped, unknown kinds raising.
 
     An unreadable last line is still being written and is left out; an earlier
     one raises.
     """
-    text = F.decode("content", "UTF-8")
-    split = found.where("role IN ('main', 'run', 'journal')").select("session_id", "source", "role", F.posexplode(F.split(text, "\n")).alias("at", "raw"))
-    split = split.withColumn("line_no", F.col("at") + 1).drop("at").where(F.trim(F.regexp_replace("raw", r"[\t\r]", " ")) != "")
-    last = F.max("line_no").over(Window.partitionBy("session_id", "source"))
-    split = split.withColumns({"last": last, "good": F.try_parse_json("raw").isNotNull()})
-    split = split.where(F.col("good") | (F.col("line_no") < F.col("last")))
-    raw = F.when(F.col("good"), F.col("raw")).otherwise(problem("unreadable record"))
-    out = split.withColumn("raw", raw).withColumn("r", F.from_json("raw", _RECORD)).drop("last", "good")
-    content = F.variant_get(F.parse_json("raw"), "$.message.content", "variant")
-    out = out.withColumn("in_blocks", F.coalesce(F.schema_of_variant(content).startswith("ARRAY"), F.lit(False)))
-    out = out.withColumn("blocks", F.when(F.col("in_blocks"), F.from_json("r.message.content", _BLOCK)))
+    out = rows.where(~F.col("blank") & (F.col("good") | (F.col("line_no") < F.col("last")))).drop("blank", "last")
+    out = out.withColumn("raw", F.when(F.col("good"), F.col("raw")).otherwise(problem("unreadable record"))).drop("good")
     kind = F.coalesce(F.col("r.type"), F.lit("?"))
     subtype = F.when(kind == "system", F.coalesce("r.subtype", F.lit("?")))
     strange = F.exists("blocks", lambda b: ~b["type"].isin(*BLOCKS))
@@ -402,19 +449,29 @@ def sessions(records: DataFrame, found: DataFrame) -> DataFrame:
 def extract(spark: SparkSession, root: str, only: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of the trace model from the transcripts below ``root``.
 
-    ``only`` limits the work to its ``session_id`` values. Lines are parsed and
-    put into their turns once, and checkpointed for the tables made of them.
+    ``only`` limits the work to its ``session_id`` values: where these have at
+    most ``NAMED_FILES`` files, only those are opened. Lines are parsed once,
+    in byte ranges, and written for the tables made of them.
     """
-    found = files(spark, root)
+    found, paths = files(spark, root), root
     if only is not None:
-        found = found.join(only.select("session_id").distinct(), "session_id", "left_semi")
-    return extracted(found)
-
-
-def extracted(found: DataFrame) -> dict[str, DataFrame]:
-    """All tables of the trace model from classified files."""
+        wanted = only.select("session_id").distinct()
+        found = found.join(wanted, "session_id", "left_semi")
+        named = [r["path"] for r in found.select("path").limit(NAMED_FILES + 1).collect()]
+        if 0 < len(named) <= NAMED_FILES:
+            # Letters that a path pattern would take for its own.
+            paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in named]
+            found = files(spark, paths)
+        rows = split_lines(spark, paths).join(wanted, "session_id", "left_semi")
+    else:
+        rows = split_lines(spark, paths)
+    return extracted(found, rows)
+
+
+def extracted(found: DataFrame, rows: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of the trace model from classified files; ``rows`` are their transcripts' lines, else read from their contents."""
     spark = found.sparkSession
-    read = cut(lines(found))
+    read = judged(numbered(cut(parsed(content_lines(found) if rows is None else rows))))
     told = metas(found)
     records = cut(with_turns(prompts(with_replays(kept(read.where("role <> 'journal'")), told))))
     marks = records.where("subtype = 'compact_boundary'").select(
