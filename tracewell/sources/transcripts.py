@@ -470,8 +470,13 @@ def extract(spark: SparkSession, root: str, only: DataFrame | None = None) -> di
 
 def extracted(found: DataFrame, rows: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of the trace model from classified files; ``rows`` are their transcripts' lines, else read from their contents."""
+    return tables_of(found, cut(parsed(content_lines(found) if rows is None else rows)))
+
+
+def tables_of(found: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
+    """All tables of the trace model from classified files and the parsed lines of their transcripts, at hand in a table."""
     spark = found.sparkSession
-    read = judged(numbered(cut(parsed(content_lines(found) if rows is None else rows))))
+    read = judged(numbered(lines))
     told = metas(found)
     records = cut(with_turns(prompts(with_replays(kept(read.where("role <> 'journal'")), told))))
     marks = records.where("subtype = 'compact_boundary'").select(
