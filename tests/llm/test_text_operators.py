@@ -486,3 +486,57 @@ def test_long_reply_chains(spark):
     rows = [(1, 0, "u", "message number 0")] + [(1, i, "u", f"> message number {i - 1}\nmessage number {i}") for i in range(1, 600)]
     out = chat_quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert all(r["depth"] == r["turn"] == r["position"] and r["thread"] == 0 for r in out)
+
+
+# --- boxes within a region
+
+
+def article(*parts):
+    text = "".join(f"<p>{p} {i}</p>" for i, p in enumerate(PARAGRAPHS * 2))
+    return f"<body><nav><a href=/>Home</a></nav><article><h1>A head</h1>{text}{''.join(parts)}</article></body>"
+
+
+TWO = "<p>Somebody wrote that this is a long story about nothing much at all.</p><p>And others said that they had liked the head of it the most.</p>"
+
+
+@pytest.mark.parametrize("name", ["reader-comments", "comment-section", "related-posts", "subscribe", "social-share", "q7", None])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_boxes_within_an_article_go_whatever_their_names(name, tag):
+    mark = f" class='{name}'" if name else ""
+    want = html_text.main_text(article())
+    assert html_text.main_text(article(f"<{tag}{mark}>{TWO}</{tag}>")) == want
+    assert html_text.main_text(article(f"<{tag}{mark}><h3>What others said</h3><{tag}>{TWO}</{tag}><{tag}>{TWO}</{tag}></{tag}>")) == want
+    assert html_text.main_text(article(f"<{tag}{mark}><p><a href=/a>Another page that is about this</a></p></{tag}>")) == want
+
+
+def test_parts_of_the_text_stay():
+    chapter = "<section><h2>A part</h2>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</section>"
+    for kept in (chapter, "<ul><li>One item of it</li><li>Two items of it</li></ul>", "<blockquote><p>Words of another</p><p>and more of them</p></blockquote>", "<div><p>One paragraph in a division.</p></div>"):
+        words = html_text.main_text(f"<article>{kept}</article>")
+        assert html_text.main_text(article(kept)) == html_text.main_text(article()) + " " + words
+    parts = "".join(f"<div class=part><p>{p}</p><p>{p} {i}</p></div>" for i, p in enumerate(PARAGRAPHS))
+    assert html_text.main_text(f"<article>{parts}</article>").count("Ok.") == 2  # divisions of one make are one text
+    nested = f"<main><h1>A head</h1><div class=body>{''.join(f'<p>{p}</p>' for p in PARAGRAPHS * 3)}</div><div>{TWO}</div></main>"
+    assert html_text.main_text(nested) == " ".join(["A head", *PARAGRAPHS * 3])
+
+
+def test_time_is_linear_in_depth():
+    import time
+
+    began = time.perf_counter()
+    assert html_text.main_text("<div>x " * 200_000).count("x") == 200_000
+    html_text.main_text("<b><p>" + "<i>" * 30_000 + "</b>" * 30_000 + "<span>" * 30_000 + "<h2>x</h2>" * 30_000)
+    assert time.perf_counter() - began < 60
+
+
+def test_renamed_classes_change_nothing(spark, small):
+    import random
+    import re
+
+    rng, names = random.Random(4), {}
+    exact = total = 0
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        page = re.sub(r"""(class|id)="([^"]*)\"""", lambda m: f'{m[1]}="{names.setdefault(m[2], f"n{rng.random()}")}"', r["html"] or "")
+        exact += html_text.main_text(page) == html_text.main_text(r["html"])
+        total += 1
+    assert exact >= 0.99 * total
