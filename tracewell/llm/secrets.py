@@ -88,9 +88,13 @@ _HINT_IDS = np.sort(np.array([word_id(w) for w in HINTS], np.uint64))
 
 
 class Tokens:
-    """All tokens of some texts: where they stand, their lines, and an index of weights for each feature."""
+    """All tokens of some texts: where they stand, their lines, and an index of weights for each feature.
 
-    def __init__(self, texts: list[str]):
+    ``files`` has what the features say of whole files, where ``texts`` are
+    parts of such: for each text a row of ``facts``.
+    """
+
+    def __init__(self, texts: list[str], files: np.ndarray | None = None):
         raw = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         ascii_ = np.minimum(raw, 127)
         kind = np.where(raw < 128, _CLASS[ascii_], OTHER).astype(np.uint8)
@@ -106,6 +110,8 @@ class Tokens:
         self.doc = np.searchsorted(begins, self.start, "right") - 1
         self.start_in, self.end_in = self.start - begins[self.doc], self.end - begins[self.doc]
         self.line = np.cumsum(raw == 10)[self.start]
+        #: Of each text: tokens, those with a digit, and those that announce a secret.
+        self.facts = np.zeros((len(texts), 3), np.int64)
         if not n:
             self.indices = []
             return
@@ -147,9 +153,11 @@ class Tokens:
             hinted |= near(hint.astype(np.uint64), -k, np.uint64(0))
         before, after = near(seen, -1), near(seen, 1)
         marks = near(np.where(is_mark, ids, np.uint64(3)), -1) ^ near(np.where(is_mark, ids, np.uint64(5)), -2) * np.uint64(3)
-        per_doc = np.bincount(self.doc, minlength=len(texts))
-        doc_hint = np.bincount(self.doc, hint, len(texts)) > 0
-        doc_digit = np.searchsorted([0.01, 0.05, 0.2, 0.5], np.bincount(self.doc, digit > 0, len(texts)) / np.maximum(per_doc, 1))
+        for k, x in enumerate((None, digit > 0, hint)):
+            self.facts[:, k] = np.bincount(self.doc, x, len(texts))
+        per_doc, digits, hints = (self.facts if files is None else files).T
+        doc_hint = hints > 0
+        doc_digit = np.searchsorted([0.01, 0.05, 0.2, 0.5], digits / np.maximum(per_doc, 1))
         doc_size = np.minimum(np.frexp(np.maximum(per_doc, 1))[1] // 3, 5)
         share = (digit * 5 // size).astype(np.uint64)
         vowel_share = (vowels * 6 // size).astype(np.uint64)
@@ -367,6 +375,41 @@ def learn(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_rows:
     return train(chains)
 
 
+def parts_of(text: str) -> list[str]:
+    """A text in parts of at most ``SLICE_CHARS`` code points that end where a line does; only a longer line makes a longer one."""
+    out, at = [], 0
+    while len(text) - at > SLICE_CHARS:
+        end = text.rfind("\n", at, at + SLICE_CHARS) + 1 or text.find("\n", at) + 1 or len(text)
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def crf_spans(texts: list[str], crf: Crf, files: np.ndarray | None = None) -> list[list[tuple[str, int, int]]]:
+    """The spans that the CRF tags in each text."""
+    tokens = Tokens(texts, files)
+    tags = crf.tag(tokens)
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    begin = np.flatnonzero(tags == BEGIN)
+    stop = np.flatnonzero((tags == INSIDE) & np.append(tags[1:] != INSIDE, True)) if len(tags) else begin
+    for i in begin:
+        k = np.searchsorted(stop, i)
+        j = int(stop[k]) if i + 1 < len(tags) and tags[i + 1] == INSIDE else int(i)
+        out[int(tokens.doc[i])].append(("crf", int(tokens.start_in[i]), int(tokens.end_in[j])))
+    return out
+
+
+def long_text_spans(text: str, crf: Crf) -> list[tuple[str, int, int]]:
+    """``crf_spans`` of one text, some lines at a time: lines are chains of their own, and what is said of the file is summed first."""
+    parts = parts_of(text)
+    files = sum(Tokens([p]).facts for p in parts)
+    out, at = [], 0
+    for part in parts:
+        out += [(k, s + at, e + at) for k, s, e in crf_spans([part], crf, files)[0]]
+        at += len(part)
+    return out
+
+
 def find_all(texts: list[str], crf: Crf) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """(spans of the fixed patterns, all spans) of each text: the CRF adds those of ``MIN_VALUE`` characters that overlap none of the former."""
     out, at = [], 0
@@ -376,18 +419,10 @@ def find_all(texts: list[str], crf: Crf) -> list[tuple[list[tuple[str, int, int]
             size += len(texts[to])
             to += 1
         some = texts[at:to]
-        tokens = Tokens(some)
-        tags = crf.tag(tokens)
-        added: dict[int, list[tuple[str, int, int]]] = {}
-        begin = np.flatnonzero(tags == BEGIN)
-        stop = np.flatnonzero((tags == INSIDE) & np.append(tags[1:] != INSIDE, True)) if len(tags) else begin
-        for i in begin:
-            k = np.searchsorted(stop, i)
-            j = int(stop[k]) if i + 1 < len(tags) and tags[i + 1] == INSIDE else int(i)
-            added.setdefault(int(tokens.doc[i]), []).append(("crf", int(tokens.start_in[i]), int(tokens.end_in[j])))
-        for d, text in enumerate(some):
+        added = crf_spans(some, crf) if size <= SLICE_CHARS else [long_text_spans(some[0], crf)]
+        for text, tagged in zip(some, added, strict=True):
             base = base_spans(text)
-            more = [c for c in added.get(d, ()) if c[2] - c[1] >= MIN_VALUE]
+            more = [c for c in tagged if c[2] - c[1] >= MIN_VALUE]
             if more and base:
                 ends = np.maximum.accumulate([e for _, _, e in base])
                 starts = np.array([s for _, s, _ in base])
