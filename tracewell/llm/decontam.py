@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,7 +37,7 @@ SEGMENT = 48
 WINDOW, STRIDE = 128, 64
 BLOCK = 16
 THRESHOLD = 0.5
-OVERLAP = 0.8
+OVERLAP, PARTLY = 0.8, 0.5
 K1, B = 1.2, 0.75
 MAX_ITEMS = 20_000  # items of one index; more are indexed in further blocks
 
@@ -251,10 +251,20 @@ class Index:
                 q, a = self.verify(k, hit)
             else:
                 q, a = self.verify(k, shingles)
-            if q >= overlap and a >= overlap or (q * item.n_question + a * (len(item.tokens) - item.n_question)) / len(item.tokens) >= overlap:
+            if leaked(item, q, a, overlap):
                 out[where].append({"item_id": item.item_id, "score": score, "question_overlap": q, "answer_overlap": a})
 
 
+def leaked(item: Item, q: float, a: float, overlap: float) -> bool:
+    """Whether question and answer are both in a text, by their overlaps.
+
+    Both reach ``overlap``; or their words together do, and each ``PARTLY``: a
+    word changed within a short answer takes the shingles of several others.
+    """
+    both = (q * item.n_question + a * (len(item.tokens) - item.n_question)) / len(item.tokens)
+    return min(q, a) >= overlap or both >= overlap and min(q, a) >= PARTLY
+
+
 @lru_cache(maxsize=2)
 def index(rows: tuple[tuple[int, str], ...], threshold: float, stats: tuple[int, float, tuple] | None = None) -> Index:
     return Index(rows, threshold, stats)
@@ -298,38 +308,38 @@ def leaks(
     """Add ``leaks``: the test items that a text holds, as an array of structs.
 
     Null and empty texts and items leak nothing; repeated items are each
-    reported. An item counts when question and answer overlap reach ``overlap``,
-    or when their words together do; one without an id is reported as -1. Items travel to the executors in blocks of
-    at most ``max_items``, with one pass over ``docs`` for each block, so that
-    no index outgrows a worker; the statistics of BM25 cover all items, so that
+    reported. An item counts when both its question and its answer are in the
+    text, as ``leaked`` says; one without an id is reported as -1. Items travel
+    to the executors in blocks of at most ``max_items``; with several, each is a
+    job of its own that appends what it found to a table, so that driver and
+    workers hold one block at a time. The statistics of BM25 cover all items, so
     scores do not depend on the blocks. A column that is called ``leaks`` is replaced.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     blocks = max(1, -(-items.count() // max_items))
-    out, scratch = None, Scratch(docs.sparkSession)
-    if blocks > 1:
-        cut = scratch.table(segment_terms(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))))
-        lengths = cut.select(F.explode("lengths").alias("n")).agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
-        held = scratch.table(cut.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")))
+    if blocks == 1:
+        return annotate(docs, [text], [T.StructField("leaks", LEAK)], _screener(_rows(items), threshold, overlap, None), keep)
+    scratch = Scratch(docs.sparkSession)
+    cut = scratch.table(segment_terms(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))))
+    lengths = cut.select(F.explode("lengths").alias("n")).agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
+    held = scratch.table(cut.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")))
+    kept = [c for c in (docs.columns if keep is None else keep) if c != "leaks"]
+    # A row's number stands for it, whatever its id; its own columns come back at the end.
+    rows = scratch.table(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__own"), F.col(f"`{text}`").alias("__text")))
+    found = []
     for k in range(blocks):
-        part, stats = items, None
-        if blocks > 1:
-            part = cut.where(F.col("block") == k)
-            own = held.join(part.select(F.explode("terms").alias("t")).distinct(), "t", "left_semi")
-            stats = (lengths["n"], lengths["mean"] or 0.0, tuple(sorted((r["t"], r["n"]) for r in own.collect())))
-        rows = tuple(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.select("item_id", "text").collect()))
-        make = _screener(rows, threshold, overlap, stats)
-        if blocks == 1:
-            out = annotate(docs, [text], [T.StructField("leaks", LEAK)], make, keep)
-        elif k == 0:
-            out = annotate(docs.withColumn("__text", F.col(text)), ["__text"], [T.StructField("leaks", LEAK)], make, [*(docs.columns if keep is None else keep), "__text"])
-        else:
-            out = annotate(out, ["__text"], [T.StructField("__more", LEAK)], make)
-            out = out.withColumn("leaks", F.concat("leaks", "__more")).drop("__more")
-    if blocks > 1:
-        scratch.drop(cut, held)
-        out = out.drop("__text").withColumn("leaks", F.array_sort("leaks"))
-    return out
+        part = cut.where(F.col("block") == k)
+        own = held.join(part.select(F.explode("terms").alias("t")).distinct(), "t", "left_semi")
+        stats = (lengths["n"], lengths["mean"] or 0.0, tuple(sorted((r["t"], r["n"]) for r in own.collect())))
+        screened = annotate(rows, ["__text"], [T.StructField("leaks", LEAK)], _screener(_rows(part), threshold, overlap, stats), ["__row"])
+        found.append(scratch.table(screened.where(F.size("leaks") > 0)))
+    every = reduce(DataFrame.unionByName, found).groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    out = rows.join(every, "__row", "left").withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAK)))
+    return out.select("__own.*", "leaks")
+
+
+def _rows(items: DataFrame) -> tuple:
+    return tuple(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in items.select("item_id", "text").collect()))
 
 
 def _screener(rows, threshold, overlap, stats):
@@ -341,7 +351,7 @@ def _screener(rows, threshold, overlap, stats):
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
-    """One row for each verified (document, test item) leak."""
+    """One row for each verified (document, test item) leak; nulls, empty and repeated rows and ties as in ``leaks``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = leaks(docs, benchmark, keep=["doc_id"]).select("doc_id", F.explode("leaks").alias("leak"))
