@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import enrichment, listing, spans, tree
+from tracewell.operators import enrichment, listing, rendering, spans, tree
+from tracewell.oracle import rendering as oracle_rendering
 from tracewell.oracle.questions import SESSION, USED_TURN
 from tracewell.oracle.store import with_store
 from tracewell.plans.registered import flat, open_store, used_turn
@@ -89,6 +90,10 @@ def _runs_to_describe(store):
     return enrichment.planned(missing, tree.parents(store))
 
 
+#: Budgets that the test tables' short texts overrun.
+TIGHT = rendering.Budgets(total=220, prompt=30, text=24, input_head=20, error_tail=25, command_result=18)
+
+
 def _walked(store):
     """Runs in reading order, each with its neighbours."""
     runs = tree.parents(store).select("session_id", F.col("run_id").alias("item_id"), "parent_id", F.lit(1).alias("place"))
@@ -117,6 +122,9 @@ def queries():
         "run_items": _on_store(lambda s: enrichment.run_items(s).select("session_id", "run_id", "input_hash")),
         "run_sections": _on_store(enrichment.run_sections),
         "enrichment_plan": _on_store(_runs_to_describe),
+        "rendered_turns": _on_store(lambda s: rendering.rendered_turns(s, TIGHT)),
+        "rendered_runs": _on_store(lambda s: rendering.rendered_runs(s, TIGHT)),
+        "rendered_sessions": _on_store(lambda s: rendering.rendered_sessions(s, TIGHT)),
         "thread_level": _on_store(lambda s: tree.thread_level(s, SESSION, "main")),
         "turn_calls_level": _on_store(lambda s: tree.calls_level(s, SESSION, "main", None)),
         "turn_tools_level": _on_store(lambda s: tree.tools_level(s, SESSION, "main", used_turn(s))),
@@ -171,6 +179,9 @@ _LOOSE = f"""FROM live_api_calls c WHERE c.session_id = '{SESSION}' AND c.source
 def oracle_sql():
     spells = with_store("SELECT 1 FROM live_api_calls")
     return {
+        "rendered_turns": oracle_rendering.rendered_turns(TIGHT),
+        "rendered_runs": oracle_rendering.rendered_runs(TIGHT),
+        "rendered_sessions": oracle_rendering.rendered_sessions(TIGHT),
         "live_relations": _counted_sql("live"),
         "corpus_relations": _counted_sql("corpus"),
         "session_rollups": with_store("SELECT * FROM session_rollups"),
