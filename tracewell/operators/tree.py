@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.lineage import cut
+from tracewell.operators import climbing
 from tracewell.plans.digests import thread
 from tracewell.plans.drill import spawned
 
-MAX_DEPTH = 16
-
-
 def thread_outline(store, session_id: str, source: str) -> DataFrame:
     """Turns and compactions of a thread in one line.
 
@@ -97,19 +94,9 @@ CHILDREN = {
 }
 
 
-def reading_order(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def reading_order(edges: DataFrame) -> DataFrame:
     """Add ``path`` to nodes (``session_id, item_id, parent_id, place``): a key that sorts a session's nodes in preorder."""
-    step = F.lpad(F.col("place").cast("string"), 12, "0")
-    level = edges.where("parent_id IS NULL").select("session_id", "item_id", step.alias("path"))
-    out = level
-    for _ in range(max_depth):
-        children = edges.select("session_id", "item_id", F.col("parent_id").alias("above"), step.alias("step"))
-        above = level.select("session_id", F.col("item_id").alias("above"), "path")
-        level = cut(children.join(above, ["session_id", "above"]).select("session_id", "item_id", F.concat_ws("/", "path", "step").alias("path")))
-        if level.isEmpty():
-            return edges.join(out, ["session_id", "item_id"])
-        out = out.unionByName(level)
-    raise ValueError(f"nodes form a cycle, or go deeper than {max_depth}")
+    return climbing.paths(edges.withColumn("step", F.lpad(F.col("place").cast("string"), 12, "0"))).drop("step")
 
 
 def parents(store, session_id: str | None = None) -> DataFrame:
@@ -124,36 +111,21 @@ def parents(store, session_id: str | None = None) -> DataFrame:
     return rows.select("session_id", F.col("id").alias("run_id"), F.coalesce("parent_agent_id", outside).alias("parent_id"))
 
 
-def heights(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def heights(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Round in which each run can be described: leaves in round 0, a parent after all its children.
 
-    One pass for each level of the forest; a cycle, or a forest deeper than
-    ``max_depth``, raises.
+    A cycle and a missing parent raise, and so does a forest deeper than
+    ``max_depth``, where that is given.
     """
-    heights_ = edges.select("session_id", "run_id", "parent_id", F.lit(0).alias("height"))
-    for _ in range(max_depth + 1):
-        raised = heights_.where("parent_id IS NOT NULL").groupBy("session_id", F.col("parent_id").alias("run_id")).agg((F.max("height") + 1).alias("over"))
-        step = heights_.join(raised, ["session_id", "run_id"], "left")
-        step = step.select("session_id", "run_id", "parent_id", "height", F.greatest("height", F.coalesce("over", F.lit(0))).alias("new"))
-        moved = step.where("new <> height").limit(1).count()
-        heights_ = step.select("session_id", "run_id", "parent_id", F.col("new").alias("height"))
-        if not moved:
-            return heights_
-        heights_ = cut(heights_)
-    raise ValueError(f"spawn links form a cycle, or go deeper than {max_depth}")
-
-
-def ancestry(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    out = climbing.heights(edges.select("session_id", "run_id", "parent_id"))
+    if max_depth is not None and not out.where(F.col("height") > max_depth).isEmpty():
+        raise ValueError(f"spawn links go deeper than {max_depth}")
+    return out
+
+
+def ancestry(edges: DataFrame) -> DataFrame:
     """(session, run, ancestor, distance) for every run and all above it."""
-    up = edges.where("parent_id IS NOT NULL").select("session_id", "run_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"))
-    step = edges.where("parent_id IS NOT NULL").select("session_id", F.col("run_id").alias("ancestor"), F.col("parent_id").alias("next"))
-    out = level = up
-    for _ in range(max_depth):
-        level = level.join(step, ["session_id", "ancestor"]).select("session_id", "run_id", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"spawn links form a cycle, or go deeper than {max_depth}")
+    return climbing.ancestry(edges.select("session_id", "run_id", "parent_id"))
 
 
 def walk(nodes: DataFrame) -> DataFrame:

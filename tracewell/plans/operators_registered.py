@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import enrichment, listing, rendering, spans, tree
+from tracewell.operators import enrichment, forest, listing, rendering, spans, tree
+from tracewell.oracle import forest as oracle_forest
 from tracewell.oracle import rendering as oracle_rendering
 from tracewell.oracle.questions import SESSION, USED_TURN
 from tracewell.oracle.store import with_store
@@ -122,6 +123,8 @@ def queries():
         "run_items": _on_store(lambda s: enrichment.run_items(s).select("session_id", "run_id", "input_hash")),
         "run_sections": _on_store(enrichment.run_sections),
         "enrichment_plan": _on_store(_runs_to_describe),
+        **{f"tree_{p}": _on_store(lambda s, p=p: forest.children(s, p)) for p in forest.PRESETS},
+        **{f"tree_walk_{p}": _on_store(lambda s, p=p: forest.steps(s, p)) for p in ("full", "noapi")},
         "rendered_turns": _on_store(lambda s: rendering.rendered_turns(s, TIGHT)),
         "rendered_runs": _on_store(lambda s: rendering.rendered_runs(s, TIGHT)),
         "rendered_sessions": _on_store(lambda s: rendering.rendered_sessions(s, TIGHT)),
@@ -179,6 +182,8 @@ _LOOSE = f"""FROM live_api_calls c WHERE c.session_id = '{SESSION}' AND c.source
 def oracle_sql():
     spells = with_store("SELECT 1 FROM live_api_calls")
     return {
+        **{f"tree_{p}": oracle_forest.children(p) for p in forest.PRESETS},
+        **{f"tree_walk_{p}": oracle_forest.steps(p) for p in ("full", "noapi")},
         "rendered_turns": oracle_rendering.rendered_turns(TIGHT),
         "rendered_runs": oracle_rendering.rendered_runs(TIGHT),
         "rendered_sessions": oracle_rendering.rendered_sessions(TIGHT),
