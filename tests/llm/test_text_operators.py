@@ -567,3 +567,51 @@ def test_memory_of_long_texts_is_bounded(crf):
     finally:
         tracemalloc.stop()
     assert len(found[0]) == 120_000 and peak < 300e6
+
+
+# --- the memory of language tables
+
+
+def test_tables_of_many_languages_are_bounded(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        alphabet = [chr(0x4E00 + rng.randrange(20_000)) for _ in range(900)] if k % 2 else [chr(c) for c in rng.sample(range(0x61, 0x7B), 12)]
+        rows += [(1000 * k + i, "".join(rng.choices(alphabet, k=9_000)), f"l{k:02d}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    assert len(model) == 60 and max(len(t) for _, t in model) < 9_500
+    built = language_id.Parser(model)
+    assert sum(t.size for t in built.tables) < 1.1 * language_id.TABLES
+    assert all(t.dtype == language_id.np.int32 for t in built.tables)
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0][:40]
+    assert sum(lang == r[2] for lang, r in zip(built.judge([r[1] for r in held])[0], held, strict=True)) >= 0.95 * len(held)
+
+
+def test_shared_symbols_change_few_labels(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    model = language_id.learn(docs)
+    texts = [r["text"] for r in docs.select("text").collect()]
+    whole = language_id.Parser(model).judge(texts)[0]
+    monkeypatch.setattr(language_id, "TABLE", 1)
+    monkeypatch.setattr(language_id, "SHARED", 16)  # 16 letters of their own, all others in 16 shared symbols
+    shared = language_id.Parser(model)
+    assert max(len(set(to.tolist())) for to in shared.symbols) <= 2 + 16 + 16 + 1
+    assert sum(a == b for a, b in zip(whole, shared.judge(texts)[0], strict=True)) >= 0.98 * len(texts)
+
+
+def test_a_worker_remembers_one_value():
+    from tracewell.llm.common import remembered
+
+    made = []
+
+    class Made:
+        def __init__(self, *args):
+            made.append(args)
+
+    first = remembered(Made, 1, "a")
+    assert remembered(Made, 1, "a") is first and made == [(1, "a")]
+    remembered(Made, 2)
+    assert remembered(Made, 1, "a") is not first and len(made) == 3

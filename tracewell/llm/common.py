@@ -15,21 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tracewell.functions.lineage import shared_folder
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh path below the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
-    temporary folder stands in for it on one machine, as in tests; on a cluster
-    that would be a folder of each machine's own, and raises.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh path below the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
 
 
 _shipped: set[str] = set()
@@ -136,6 +127,18 @@ def annotate(
     return source.mapInArrow(run, schema)
 
 
+_remembered: dict = {}
+
+
+def remembered(build: Callable, *args):
+    """``build(*args)``, kept for the worker's next tasks until any other such value is asked for: a worker holds one."""
+    if _remembered.get("of") != (build, args):
+        _remembered.clear()
+        value = build(*args)
+        _remembered.update(of=(build, args), value=value)
+    return _remembered["value"]
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 

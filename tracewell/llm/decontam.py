@@ -23,14 +23,14 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import Scratch, annotate
+from tracewell.llm.common import Scratch, annotate, remembered
 
 SHINGLE = 5
 SEGMENT = 48
@@ -216,7 +216,7 @@ class Index:
         at = 0
         while at < len(texts):  # windows of bounded many words at a time
             part, size = [], 0
-            while at < len(texts) and (not part or size + len(texts[at] or "") < 2_000_000):
+            while at < len(texts) and (not part or size + len(texts[at] or "") < 1_000_000):
                 part.append((at, words(texts[at])))
                 size += len(texts[at] or "")
                 at += 1
@@ -265,11 +265,6 @@ def leaked(item: Item, q: float, a: float, overlap: float) -> bool:
     return min(q, a) >= overlap or both >= overlap and min(q, a) >= PARTLY
 
 
-@lru_cache(maxsize=2)
-def index(rows: tuple[tuple[int, str], ...], threshold: float, stats: tuple[int, float, tuple] | None = None) -> Index:
-    return Index(rows, threshold, stats)
-
-
 def segment_terms(items: DataFrame) -> DataFrame:
     """``terms``, one entry for each segment that holds a term, and ``lengths`` of the segments of each item."""
     fields = [T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("lengths", T.ArrayType(T.LongType()))]
@@ -344,7 +339,7 @@ def _rows(items: DataFrame) -> tuple:
 
 def _screener(rows, threshold, overlap, stats):
     def make():
-        built = index(rows, threshold, stats)
+        built = remembered(Index, rows, threshold, stats)
         return lambda texts: (built.screen(texts, threshold, overlap),)
 
     return make

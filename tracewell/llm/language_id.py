@@ -16,20 +16,21 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import annotate
+from tracewell.llm.common import annotate, remembered
 
 UNDETERMINED = "und"
 BLOCK = 512
 PIECE, LANGUAGES = 250, 200
 #: Entries of a language's transition table at most; letters too rare for it share the symbol of their code points' block.
 TABLE, SHARED = 1 << 24, 64
+#: Entries of all tables together, about: many languages have smaller tables of less text.
+TABLES = 1 << 27
 #: How sharply the score falls off as another language's cost nears the winner's.
 SHARPNESS = 25
 PAD, GAP, FIRST = 0, 1, 2  # symbols: filler, any run of non-letters, first letter
@@ -52,14 +53,18 @@ def learn(
     labelled documents outside the held-out fifth are drawn for each, in the
     order of a hash of their id. They are cut into pieces of ``PIECE``
     characters from beginning to end, and pieces from anywhere in them are drawn
-    by hash, ``chars_per_language`` characters at most.
+    by hash, ``chars_per_language`` characters at most, and less of more
+    than 17 languages, so that all tables together have about ``TABLES`` entries.
     """
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    names = [r["lang"] for r in common.collect()]
+    # A text's automaton has at most two states a character, and a state one entry for each symbol.
+    chars_per_language = min(chars_per_language, TABLES // (2 * (2 * SHARED + FIRST + 1) * max(len(names), 1)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # Of each language only so many ids leave a task as the draw needs, whatever it holds.
-    drawn = known.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_language)
-    drawn = drawn.join(F.broadcast(common), "lang", "left_semi").select("lang", "doc_id").distinct()
+    drawn = known.where(F.col("lang").isin(names)).select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_language)
+    drawn = drawn.select("lang", "doc_id").distinct()
     texts = known.join(F.broadcast(drawn), ["lang", "doc_id"], "left_semi")
     starts = F.sequence(F.lit(1), F.length("text"), F.lit(PIECE))
     cut = F.transform(starts, lambda at: F.struct(at.alias("at"), F.substr("text", at, F.lit(PIECE)).alias("piece")))
@@ -134,7 +139,8 @@ class Parser:
         self.tables, self.bits, self.symbols = [], [], []
         for (_, text), own in zip(model, counts, strict=True):
             symbols = self.encode(text)
-            room = max(SHARED, TABLE // (2 * len(symbols) + 2) - FIRST - SHARED - 1)
+            most = min(TABLE, TABLES // len(model))
+            room = max(SHARED, most // (2 * len(symbols) + 2) - FIRST - SHARED - 1)
             kept = sorted(own, key=lambda c: (-own[c], c))[:room]
             # Codes to this language's symbols: its letters, shared symbols of its rare ones, one for all others.
             shared = SHARED if len(kept) < len(own) else 0
@@ -203,11 +209,6 @@ class Parser:
             rate[i] = float(low[k] / self.bits[best[k]])
 
 
-@lru_cache(maxsize=2)
-def parser(model: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(model)
-
-
 def identify(
     docs: DataFrame,
     model: tuple[tuple[str, str], ...],
@@ -227,7 +228,7 @@ def identify(
         T.StructField("score", T.DoubleType()),
         T.StructField("phrase_rate", T.DoubleType()),
     ]
-    return annotate(docs, [text], fields, lambda: parser(model).judge, keep)
+    return annotate(docs, [text], fields, lambda: remembered(Parser, model).judge, keep)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
