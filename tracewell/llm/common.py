@@ -104,12 +104,11 @@ def annotate(
     new = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     arrow = [pa.field(f.name, to_arrow_type(f.dataType)) for f in fields]
-    source = df.select(
-        *[F.col(f"`{c}`") for c in kept],
-        *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)],
-    )
+    # An input that passes through anyway is sent once.
+    apart = [c for c in dict.fromkeys(inputs) if c not in kept]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(apart)])
     schema = T.StructType([source.schema[c] for c in kept] + list(fields))
-    n_in = len(inputs)
+    place = [kept.index(c) if c in kept else len(kept) + apart.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -117,12 +116,15 @@ def annotate(
             for at in range(0, whole.num_rows, slice_rows):
                 batch = whole.slice(at, slice_rows)
                 columns = [batch.column(i) for i in range(len(kept))]
-                taken = [batch.column(len(kept) + i).to_pylist() for i in range(n_in)]
+                taken = [batch.column(i).to_pylist() for i in place]
                 made = [
                     x if isinstance(x, pa.Array) else pa.array(x, a.type)
                     for x, a in zip(f(*taken), arrow, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(columns + made, names=[*kept, *(a.name for a in arrow)])
+                del taken, made, columns, batch
+            del whole
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 
