@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewell import model
 from tracewell.operators import enrichment, forest, listing, rendering, spans, tree
 from tracewell.oracle import forest as oracle_forest
 from tracewell.oracle import rendering as oracle_rendering
 from tracewell.oracle.questions import SESSION, USED_TURN
 from tracewell.oracle.store import with_store
 from tracewell.plans.registered import flat, open_store, used_turn
+from tracewell.relations import Store
+from tracewell.sources import store as source
 from tracewell.streaming.refresh import busy_spells
 
 _LIST = """SELECT session_id, started_at, turns, round(cost_usd, 4) AS cost_usd, coalesce(n, 0) AS tool_errors FROM session_rollups
@@ -91,6 +94,34 @@ def _runs_to_describe(store):
     return enrichment.planned(missing, tree.parents(store))
 
 
+#: Rows that a damaged store lacks, by table, and sessions in it without any time: conditions of both engines.
+LACKS = {
+    "sessions": "{0}id LIKE 's1%-4'",
+    "turns": "{0}id LIKE '%7'",
+    "api_calls": "{0}id LIKE '%13'",
+    "tool_calls": "{0}id LIKE '%9'",
+    "agent_runs": "({0}id LIKE 'run-s2%' OR {0}id LIKE 'sub-s1%')",
+    "offload_files": "{0}name LIKE '%3'",
+    "extract_state": "{0}session_id LIKE 's3%'",
+}
+TIMELESS = "{} LIKE 's5%'"
+
+
+def _damaged(store):
+    """The store without the rows of ``LACKS``."""
+    return Store({n: t.where(f"NOT {LACKS[n].format('')}") if n in LACKS else t for n, t in store.tables.items()})
+
+
+def _timeless(store):
+    """The store with sessions that no row has a time of."""
+    out = {}
+    for name, rows in store.tables.items():
+        times = [c for c in ("started_at", "ended_at", "timestamp") if c in rows.columns]
+        late = F.expr(TIMELESS.format("id" if name == "sessions" else "session_id"))
+        out[name] = rows.withColumns({c: F.when(~late, F.col(c)) for c in times})
+    return Store(out)
+
+
 #: Budgets that the test tables' short texts overrun.
 TIGHT = rendering.Budgets(total=220, prompt=30, text=24, input_head=20, error_tail=25, command_result=18)
 
@@ -125,6 +156,8 @@ def queries():
         "enrichment_plan": _on_store(_runs_to_describe),
         **{f"tree_{p}": _on_store(lambda s, p=p: forest.children(s, p)) for p in forest.PRESETS},
         **{f"tree_walk_{p}": _on_store(lambda s, p=p: forest.steps(s, p)) for p in ("full", "noapi")},
+        "store_orphans": _on_store(lambda s: source.orphans(_damaged(s))),
+        "store_refusals": _on_store(lambda s: source.refusals(_timeless(s))),
         "rendered_turns": _on_store(lambda s: rendering.rendered_turns(s, TIGHT)),
         "rendered_runs": _on_store(lambda s: rendering.rendered_runs(s, TIGHT)),
         "rendered_sessions": _on_store(lambda s: rendering.rendered_sessions(s, TIGHT)),
@@ -179,11 +212,43 @@ _OUTLINE = f"""SELECT kind, item_id, row_number() OVER (ORDER BY started_at, kin
 _LOOSE = f"""FROM live_api_calls c WHERE c.session_id = '{SESSION}' AND c.source = 'main' AND NOT EXISTS (FROM live_turns t WHERE t.session_id = c.session_id AND t.source = 'main' AND t.id = c.turn_id)"""
 
 
+def _orphans_sql() -> str:
+    """Each reference on its own, by an anti join."""
+    arms = []
+    for child, columns, parent in source.REFERENCES:
+        table, key = {"threads": ("agent_runs", ("session_id", "id")), "tools": ("tool_calls", ("session_id", "id"))}.get(parent, (parent, model.KEYS.get(parent)))
+        named = "to_json([" + ", ".join(f"c.{c}" for c in columns[1:]) + "])::VARCHAR" if columns[1:] else "''"
+        same = " AND ".join(f"p.{k} = c.{c}" for k, c in zip(key, columns, strict=True))
+        there = " AND ".join([*(f"c.{c} IS NOT NULL" for c in columns), *(["c.source <> 'main'"] if parent == "threads" else [])])
+        lacking = [f"NOT {LACKS[child].format('c.')}"] if child in LACKS else []
+        gone = f" AND NOT {LACKS[table].format('p.')}" if table in LACKS else ""
+        arms.append(
+            f"SELECT c.{columns[0]} AS session_id, '{child}' AS child, '{parent}' AS parent, {named} AS key, count(*) AS rows FROM {child} c WHERE {' AND '.join([there, *lacking])}"
+            f" AND NOT EXISTS (FROM {table} p WHERE {same}{gone}) GROUP BY ALL"
+        )
+    return with_store(" UNION ALL ".join(arms))
+
+
+def _refusals_sql() -> str:
+    late = TIMELESS.format("session_id")
+    parts = " UNION ALL ".join(
+        f"SELECT session_id, '{t}' AS tab, {f'CASE WHEN NOT ({late}) THEN {source.WORK[t]} END' if t in source.WORK and t != 'pr_links' else 'NULL'} AS moment FROM {t}" for t in (*source.WORK, *source.BESIDE)
+    )
+    return with_store(
+        f"""SELECT s.id AS session_id, CASE WHEN project_dir IS NULL THEN 'placeless' ELSE 'timeless' END AS reason,
+            (SELECT string_agg(tab || ' ' || n, ', ' ORDER BY tab) FROM (SELECT tab, count(*) AS n FROM ({parts}) x WHERE x.session_id = s.id GROUP BY tab)) AS held
+        FROM sessions s WHERE EXISTS (FROM ({parts}) x WHERE x.session_id = s.id AND tab NOT IN ('offload_files', 'raw_records'))
+            AND (project_dir IS NULL OR s.id LIKE 's5%' AND NOT EXISTS (FROM ({parts}) x WHERE x.session_id = s.id AND moment IS NOT NULL))"""
+    )
+
+
 def oracle_sql():
     spells = with_store("SELECT 1 FROM live_api_calls")
     return {
         **{f"tree_{p}": oracle_forest.children(p) for p in forest.PRESETS},
         **{f"tree_walk_{p}": oracle_forest.steps(p) for p in ("full", "noapi")},
+        "store_orphans": _orphans_sql(),
+        "store_refusals": _refusals_sql(),
         "rendered_turns": oracle_rendering.rendered_turns(TIGHT),
         "rendered_runs": oracle_rendering.rendered_runs(TIGHT),
         "rendered_sessions": oracle_rendering.rendered_sessions(TIGHT),
