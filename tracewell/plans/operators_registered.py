@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell import model
 from tracewell.operators import enrichment, forest, listing, rendering, spans, tree
+from tracewell.operators.quantiles import exact_quantiles
 from tracewell.oracle import forest as oracle_forest
 from tracewell.oracle import rendering as oracle_rendering
 from tracewell.oracle.questions import SESSION, USED_TURN
@@ -122,6 +123,7 @@ def _timeless(store):
     return Store(out)
 
 
+QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
 #: Budgets that the test tables' short texts overrun.
 TIGHT = rendering.Budgets(total=220, prompt=30, text=24, input_head=20, error_tail=25, command_result=18)
 
@@ -158,6 +160,7 @@ def queries():
         **{f"tree_walk_{p}": _on_store(lambda s, p=p: forest.steps(s, p)) for p in ("full", "noapi")},
         "store_orphans": _on_store(lambda s: source.orphans(_damaged(s))),
         "store_refusals": _on_store(lambda s: source.refusals(_timeless(s))),
+        "call_cost_quantiles": _on_store(lambda s: exact_quantiles(s["live_api_calls"].where("cost_usd IS NOT NULL"), "model", "cost_usd", QUANTILES).select("model", *[F.round(c, 6).alias(c) for c in QUANTILES])),
         "rendered_turns": _on_store(lambda s: rendering.rendered_turns(s, TIGHT)),
         "rendered_runs": _on_store(lambda s: rendering.rendered_runs(s, TIGHT)),
         "rendered_sessions": _on_store(lambda s: rendering.rendered_sessions(s, TIGHT)),
@@ -249,6 +252,9 @@ def oracle_sql():
         **{f"tree_walk_{p}": oracle_forest.steps(p) for p in ("full", "noapi")},
         "store_orphans": _orphans_sql(),
         "store_refusals": _refusals_sql(),
+        "call_cost_quantiles": with_store(
+            f"SELECT model, {', '.join(f'round(quantile_cont(cost_usd, {q}), 6) AS {n}' for n, q in QUANTILES.items())} FROM live_api_calls WHERE cost_usd IS NOT NULL GROUP BY model"
+        ),
         "rendered_turns": oracle_rendering.rendered_turns(TIGHT),
         "rendered_runs": oracle_rendering.rendered_runs(TIGHT),
         "rendered_sessions": oracle_rendering.rendered_sessions(TIGHT),

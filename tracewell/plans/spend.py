@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import iso_week, json_field
+from tracewell.operators.quantiles import exact_quantiles
 from tracewell.plans.manifest import corpus, integer
 
 MAIN_THREAD = "(main thread)"
+#: Sessions whose costs one task may hold.
+IN_ONE_BUFFER = 1_000_000
 COUNTS = ("turns", "api_calls", "tool_calls", "agent_runs", "compactions")
 
 
@@ -78,11 +81,17 @@ def cost_distribution(store, scope) -> DataFrame:
         F.count("*").alias("sessions"),
         F.sum("cost_usd").alias("spent"),
         F.avg("cost_usd").alias("mean_cost_usd"),
-        *[F.percentile("cost_usd", q / 100).alias(f"p{q}_cost_usd") for q in (50, 90, 99)],
         F.max("cost_usd").alias("max_cost_usd"),
         F.sum("tokens").alias("tokens"),
         F.sum("unpriced_api_calls").alias("unpriced_api_calls"),
     )
+    shares = {f"p{q}_cost_usd": q / 100 for q in (50, 90, 99)}
+    # So few costs are sorted in one buffer in one pass; more are found by ranks within ranges.
+    if store["sessions"].count() <= IN_ONE_BUFFER:
+        quantiles = rows.groupBy("period").agg(*[F.percentile("cost_usd", q).alias(n) for n, q in shares.items()])
+    else:
+        quantiles = exact_quantiles(rows, "period", "cost_usd", shares)
+    held = held.join(quantiles, "period", "left")
     # A session is of the costliest tenth if at least nine in ten of the others cost less: a second pass sums what
     # lies above the 0.9 percentile, and what lies on it where enough lies below. No sort of all sessions in one task.
     cost, edge = F.col("cost_usd"), F.col("edge")
