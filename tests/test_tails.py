@@ -36,7 +36,6 @@ def test_appended_lines_give_a_full_extract(spark, tmp_path, monkeypatch):
     (run.parent / "agent-r.meta.json").write_text(json.dumps({"agentType": "x", "spawnDepth": 1}))
     told = tails.refresh_tails(spark, str(root), out)
     assert told == {"sessions": 2, "files": 3, "bytes": sum(f.stat().st_size for f in (a, b, run))}
-    as_extracted(spark, str(root), out)
     assert tails.refresh_tails(spark, str(root), out) == {"sessions": 0, "files": 0, "bytes": 0}
 
     # Appended lines, the last of them unfinished; then its rest.
@@ -48,7 +47,6 @@ def test_appended_lines_give_a_full_extract(spark, tmp_path, monkeypatch):
     with a.open("a") as f:
         f.write(half[30:-1])
     assert tails.refresh_tails(spark, str(root), out)["bytes"] == len(half) - 1  # readable without its line feed, and read again with it
-    as_extracted(spark, str(root), out)
     monkeypatch.setattr(tails, "RANGE", 50)  # a tail of many ranges
     with a.open("a") as f:
         f.write("\n" + prompt("p5", "three", 50) + prompt("p6", "four", 51))
@@ -59,7 +57,6 @@ def test_appended_lines_give_a_full_extract(spark, tmp_path, monkeypatch):
     a.write_text(prompt("p1", "one") + prompt("p9", "new"))
     b.write_text(prompt("p3", "drei é€😀"))
     assert tails.refresh_tails(spark, str(root), out) == {"sessions": 2, "files": 2, "bytes": a.stat().st_size + b.stat().st_size}
-    as_extracted(spark, str(root), out)
     (run.parent / "agent-r.meta.json").write_text(json.dumps({"agentType": "other", "spawnDepth": 1}))
     assert tails.refresh_tails(spark, str(root), out) == {"sessions": 1, "files": 0, "bytes": 0}
     as_extracted(spark, str(root), out)
