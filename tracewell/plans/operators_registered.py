@@ -128,6 +128,16 @@ QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
 TIGHT = rendering.Budgets(total=220, prompt=30, text=24, input_head=20, error_tail=25, command_result=18)
 
 
+def _changed_items(store):
+    """Turns to describe again, by the hashes of what they render to: since described, some prompts have changed, and some are new."""
+    turns = store.tables["turns"]
+    before = F.when(F.col("id").endswith("3"), F.regexp_replace("prompt", "^Please look", "Look")).otherwise(F.col("prompt"))
+    old = Store({**store.tables, "turns": turns.withColumn("prompt", before)})
+    stamp = {"prompt_version": F.lit("p1"), "taxonomy_version": F.lit(model.TAXONOMY_VERSION), "model": F.lit("tagger")}
+    held = rendering.rendered_turns(old, TIGHT).where("turn_id NOT LIKE '%5'").withColumns(stamp)
+    return enrichment.stale(rendering.rendered_turns(store, TIGHT), held, ["session_id", "turn_id"], "p1", "tagger").select("session_id", "turn_id", "input_hash")
+
+
 def _walked(store):
     """Runs in reading order, each with its neighbours."""
     runs = tree.parents(store).select("session_id", F.col("run_id").alias("item_id"), "parent_id", F.lit(1).alias("place"))
@@ -161,6 +171,7 @@ def queries():
         "store_orphans": _on_store(lambda s: source.orphans(_damaged(s))),
         "store_refusals": _on_store(lambda s: source.refusals(_timeless(s))),
         "call_cost_quantiles": _on_store(lambda s: exact_quantiles(s["live_api_calls"].where("cost_usd IS NOT NULL"), "model", "cost_usd", QUANTILES).select("model", *[F.round(c, 6).alias(c) for c in QUANTILES])),
+        "enrichment_changed": _on_store(_changed_items),
         "rendered_turns": _on_store(lambda s: rendering.rendered_turns(s, TIGHT)),
         "rendered_runs": _on_store(lambda s: rendering.rendered_runs(s, TIGHT)),
         "rendered_sessions": _on_store(lambda s: rendering.rendered_sessions(s, TIGHT)),
@@ -215,6 +226,12 @@ _OUTLINE = f"""SELECT kind, item_id, row_number() OVER (ORDER BY started_at, kin
 _LOOSE = f"""FROM live_api_calls c WHERE c.session_id = '{SESSION}' AND c.source = 'main' AND NOT EXISTS (FROM live_turns t WHERE t.session_id = c.session_id AND t.source = 'main' AND t.id = c.turn_id)"""
 
 
+def _changed_sql() -> str:
+    new = oracle_rendering.rendered_turns(TIGHT)
+    old = new.replace("'Please look at ' || props", "CASE WHEN event_id % 10 = 3 THEN 'Look at ' ELSE 'Please look at ' END || props")
+    return f"SELECT n.session_id, n.turn_id, n.input_hash FROM ({new}) n LEFT JOIN ({old}) o ON o.session_id = n.session_id AND o.turn_id = n.turn_id AND o.turn_id NOT LIKE '%5' WHERE o.input_hash IS DISTINCT FROM n.input_hash"
+
+
 def _orphans_sql() -> str:
     """Each reference on its own, by an anti join."""
     arms = []
@@ -255,6 +272,7 @@ def oracle_sql():
         "call_cost_quantiles": with_store(
             f"SELECT model, {', '.join(f'round(quantile_cont(cost_usd, {q}), 6) AS {n}' for n, q in QUANTILES.items())} FROM live_api_calls WHERE cost_usd IS NOT NULL GROUP BY model"
         ),
+        "enrichment_changed": _changed_sql(),
         "rendered_turns": oracle_rendering.rendered_turns(TIGHT),
         "rendered_runs": oracle_rendering.rendered_runs(TIGHT),
         "rendered_sessions": oracle_rendering.rendered_sessions(TIGHT),
