@@ -154,13 +154,21 @@ def test_rates_match_a_plain_solution(spark):
     assert (got == 0).any() and (got > 1).any()
 
 
-def test_registered_rates_meet_the_targets(spark, small):
-    out = mixing.op5_mixing(spark, small)
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_registered_rates_meet_the_targets(spark, small, size):
+    where = small.replace("sf0.001", size)
+    out = mixing.op5_mixing(spark, where).persist()
     total = out.agg(F.sum("tokens")).first()[0]
-    got = out.agg(*[(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{d}")) / total).alias(d) for d in mixing.DOMAINS]).first()
-    assert out.count() == spark.read.parquet(f"{small}/documents.parquet").count() and out.where("rate < 0").isEmpty()
+    rated = out.agg(*[(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{d}")) / total).alias(d) for d in mixing.DOMAINS]).first()
+    share = out.agg(*[(F.sum(F.col("tokens") * F.col(f"p_{d}")) / total).alias(d) for d in mixing.DOMAINS]).first()
+    assert out.count() == spark.read.parquet(f"{where}/documents.parquet").count() and out.where("rate < 0").isEmpty()
+    missed = out.first()["targets_missed"]
     for d, goal in mixing.TARGETS.items():
-        assert got[d] == pytest.approx(goal, abs=0.003) or out.first()["targets_missed"]
+        within = abs(rated[d] - goal) <= 1.001 * mixing.TOLERANCE * (goal or share[d]) + 1e-9
+        assert within != (d in missed)
+    if size == "sf0.01":
+        assert missed == ""
+    out.unpersist()
 
 
 # --- media

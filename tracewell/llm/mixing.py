@@ -8,11 +8,14 @@ document's share of all tokens: minimise
 
     sum_k (sum_d r_d w_d p_dk - target_k)^2 + ridge * sum_d w_d (r_d - 1)^2
 
-over ``r >= 0``. The minimum has rates ``max(0, 1 + sum_k pull_k p_k)``, so only
-``k`` pulls are unknown. They are found by Newton's method on the dual, a convex
-piecewise quadratic function of the pulls: a step is one aggregation of the
-``k`` sums and the ``k x k`` matrix of ``sum w p_k p_l`` over documents of positive
-rate, and the driver holds no document.
+over ``r >= 0``, by projected gradient. The gradient of a document's rate is a
+sum of the domains' residuals weighted by its posteriors, so that all rates are
+``max(0, 1 + sum_k pull_k p_k)``: a step moves the ``k`` pulls against the
+residuals and projects the rates to what is not negative. Steps are
+preconditioned by the ``k x k`` matrix of ``sum w p_k p_l`` over the documents of
+positive rate, and halved until they gain enough (so conditioned, they are those
+of Newton's method on the dual, a convex piecewise quadratic function of the
+pulls). A step is one aggregation, and the driver holds no document.
 
 The fit ends when each domain's residual is within its tolerance, ``TOLERANCE``
 times the target (times the domain's share of the tokens where the target is 0).
@@ -223,7 +226,8 @@ def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
     ``targets`` are shares of the corpus's token total and sum to 1. Null and
     empty texts have no tokens: their posteriors are the priors, and their rates
-    follow from those. Without labelled rows all posteriors are equal. Rows of a
+    follow from those. Without labelled rows all posteriors are equal. Of labels
+    of one document that clash, the last by name counts: toxic, then poor. Rows of a
     repeated id are rated each by its text. Columns named like new ones are
     replaced.
     """
