@@ -183,6 +183,7 @@ def queries():
         "span_refusals": _on_store(spans.refused),
         "session_spans": _on_store(_span_rows),
         "span_census": _on_store(lambda s: spans.census(spans.session_spans(s)).groupBy("kind").agg(F.sum("spans").alias("spans"))),
+        "span_batches": _on_store(lambda s: spans.batches(_span_rows(s), 20).select("session_id", "span_id", "batch")),
         "busy_spells": _on_store(lambda s: busy_spells(s["live_api_calls"])),
     }
 
@@ -357,6 +358,9 @@ def oracle_sql():
             """SELECT category, count(*) AS gone FROM turn_enrichments e WHERE NOT EXISTS (FROM corpus_turns t WHERE t.session_id = e.session_id AND t.source = e.source AND t.id = e.turn_id) GROUP BY 1"""
         ),
         "session_spans": with_store(_ALL_SPANS),
+        "span_batches": with_store(
+            f"""SELECT session_id, span_id, (row_number() OVER (PARTITION BY session_id ORDER BY (parent_span_id IS NOT NULL)::INT, started_at NULLS FIRST, span_id) - 1) // 20 AS batch FROM ({_ALL_SPANS})"""
+        ),
         "span_census": with_store(f"SELECT kind, count(*) AS spans FROM ({_SPANS}) GROUP BY 1 UNION ALL SELECT 'session', count(*) FROM sessions"),
         "busy_spells": spells[: spells.index("SELECT 1 FROM")].rstrip() + "\n" + _SPELLS,
     }
