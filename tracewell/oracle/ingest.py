@@ -65,6 +65,9 @@ _BODIES = {
         UNION ALL SELECT 'fork-context-ref', 'w' || u, source, 1, NULL, NULL, 1 FROM placed WHERE source[1] = 'f' GROUP BY u, source
         UNION ALL SELECT x.type, 'w' || u, 'main', (n + x.line)::INT, NULL, NULL, 1
             FROM (SELECT u, max(line) AS n, unnest([{'type': 'ai-title', 'line': 2}, {'type': 'custom-title', 'line': 3}]) AS x FROM placed WHERE source = 'main' GROUP BY u) WHERE x.line = 2 OR u % 2 = 0""",
+    "ingest_offload_files": """SELECT 'w' || (doc_id % 15) AS session_id, 'out-' || doc_id || '.txt' AS name, coalesce(text, '') AS content, false AS lossy_decode,
+            octet_length(encode(coalesce(text, '')))::BIGINT AS size_bytes FROM documents""",
+    "ingest_extract_state": """SELECT DISTINCT 'w' || u AS session_id, '/logs/w' || u || '.jsonl' AS transcript_path, '1' AS extractor_version FROM placed WHERE source = 'main'""",
 }
 
 

@@ -53,6 +53,8 @@ def queries():
         "ingest_agent_runs": _columns("agent_runs", *"session_id id parent_agent_id tool_use_id agent_type description workflow_id spawn_depth is_fork fork_context_uuid started_at ended_at".split()),
         "ingest_sessions": _columns("sessions", *"id project_dir git_branch started_at ended_at active_ms title".split()),
         "ingest_marks": _marks,
+        "ingest_offload_files": _columns("offload_files", *"session_id name content lossy_decode size_bytes".split()),
+        "ingest_extract_state": _columns("extract_state", *"session_id transcript_path extractor_version".split()),
     }
 
 

@@ -130,7 +130,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'toolUseId', IF(source LIKE 'r%' AND u % 2 = 1, concat('t', first), NULL), 'isFork', IF(source LIKE 'f%', true, NULL), 'parentAgentId', IF(source LIKE 'f%', concat('r', u), NULL)",
     )
     metas = runs.selectExpr("u", f"replace({path}, '.jsonl', '.meta.json') AS path", f"{meta} AS text")
-    moved = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 50 = 0")
+    moved = spark.read.parquet(f"{sf_dir}/documents.parquet")
     moved = moved.selectExpr("0 AS u", "concat('/logs/w', doc_id % 15, '/tool-results/out-', doc_id, '.txt') AS path", "coalesce(text, '') AS text")
     out = texts.unionByName(metas).unionByName(moved)
     return out.selectExpr("path", "CAST(text AS BINARY) AS content", "CAST(octet_length(text) AS BIGINT) AS length", "TIMESTAMP '2024-02-01 00:00:00' AS modificationTime")
