@@ -7,6 +7,7 @@ import pytest
 
 from tracewell import model
 from tracewell.plans import ingest_registered
+from tracewell.relations import Store
 from tracewell.sources import transcripts
 
 
@@ -107,7 +108,8 @@ def test_sample_transcripts_match_their_events(spark, small, name):
     """Tables read from JSON against what DuckDB derives from the events behind it."""
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    con.execute(f"CREATE VIEW events AS SELECT * FROM '{small}/events.parquet'")
+    for table in ("events", "documents"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     found = con.execute(ingest_registered.oracle_sql()[name])
     names = [d[0] for d in found.description]
     plain = lambda row: repr([v.replace(tzinfo=None) if hasattr(v, "tzinfo") else v for v in row])
@@ -115,6 +117,28 @@ def test_sample_transcripts_match_their_events(spark, small, name):
     assert sorted(map(plain, got.select(*names).collect())) == sorted(map(plain, found.fetchall())) and sorted(names) == sorted(got.columns)
 
 
+def test_shapes_of_sessions(spark, tree):
+    """A resumed pair, another agent's message, turns without calls, older records, and records that open no turn."""
+    shared = [user("p1", 0, "Begin"), assistant("a1", 5, "m1", [{"type": "text", "text": "Yes"}], parent="p1")]
+    tree("first.jsonl", shared)
+    tree("resumed.jsonl", [*shared, user("p2", 60, "Go on"), assistant("a2", 65, "m2", [{"type": "text", "text": "On"}], parent="p2")])
+    tree("mate.jsonl", [user("p3", 0, '<teammate-message from="other">Do this</teammate-message>')])
+    tree("silent.jsonl", [user("p4", 0, "One"), user("p5", 9, "Two")])
+    tree("old.jsonl", [{"type": "user", "uuid": "p6", "timestamp": at(0), "message": {"content": "Old"}}])
+    root = tree("inner.jsonl", [user("p7", 0, "Summary of before", isCompactSummary=True), user("p8", 1, "Aside", isSidechain=True), user("p9", 2, "Meta", isMeta=True), user("p10", 3, "Real")])
+    store = Store(transcripts.extract(spark, root))
+    owned = {(r["session_id"], r["id"]) for r in store["corpus_turns"].collect()}
+    assert {("first", "p1"), ("resumed", "p2")} <= owned and ("resumed", "p1") not in owned
+    assert store["live_turns"].where("id = 'p1'").count() == 2 and store["corpus_api_calls"].where("id = 'm1'").count() == 1
+    rolled = {r["session_id"]: r for r in store.corpus_rollups.collect()}
+    assert (rolled["first"]["api_calls"], rolled["resumed"]["api_calls"], rolled["resumed"]["turns"]) == (1, 1, 1)
+    assert (rolled["silent"]["turns"], rolled["silent"]["api_calls"], rolled["silent"]["cost_usd"]) == (2, 0, 0.0)
+    assert [r["prompt"] for r in store["turns"].where("session_id = 'mate'").collect()] == ['<teammate-message from="other">Do this</teammate-message>']
+    old = store["sessions"].where("id = 'old'").first()
+    assert [old[c] for c in ("project_dir", "git_branch", "version", "entrypoint", "title")] == [None] * 5
+    assert [r["id"] for r in store["turns"].where("session_id = 'inner'").collect()] == ["p10"]
+
+
 def test_last_copy_of_a_record_counts(spark, tree):
     root = tree("s2.jsonl", [user("p1", 0, "a"), user("p1", 9, "a"), user("p2", 10, "b")])
     got = [(r["id"], r["started_at"].second) for r in transcripts.extract(spark, root)["turns"].orderBy("index").collect()]
