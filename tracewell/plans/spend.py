@@ -77,21 +77,20 @@ def cost_distribution(store, scope) -> DataFrame:
     """Percentiles of session cost, and the share that the costliest tenth spent."""
     tokens = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_read_tokens") + F.col("cache_creation_tokens")
     rows = scope.periods.join(store.corpus_rollups, "session_id").select("period", "cost_usd", tokens.alias("tokens"), "unpriced_api_calls")
+    shares = {f"p{q}_cost_usd": q / 100 for q in (50, 90, 99)}
+    # So few costs are sorted in one buffer of the same pass; more are found by ranks within ranges.
+    few = store["sessions"].count() <= IN_ONE_BUFFER
     held = rows.groupBy("period").agg(
         F.count("*").alias("sessions"),
         F.sum("cost_usd").alias("spent"),
         F.avg("cost_usd").alias("mean_cost_usd"),
+        *[F.percentile("cost_usd", q).alias(n) for n, q in shares.items() if few],
         F.max("cost_usd").alias("max_cost_usd"),
         F.sum("tokens").alias("tokens"),
         F.sum("unpriced_api_calls").alias("unpriced_api_calls"),
     )
-    shares = {f"p{q}_cost_usd": q / 100 for q in (50, 90, 99)}
-    # So few costs are sorted in one buffer in one pass; more are found by ranks within ranges.
-    if store["sessions"].count() <= IN_ONE_BUFFER:
-        quantiles = rows.groupBy("period").agg(*[F.percentile("cost_usd", q).alias(n) for n, q in shares.items()])
-    else:
-        quantiles = exact_quantiles(rows, "period", "cost_usd", shares)
-    held = held.join(quantiles, "period", "left")
+    if not few:
+        held = held.join(exact_quantiles(rows, "period", "cost_usd", shares), "period", "left")
     # A session is of the costliest tenth if at least nine in ten of the others cost less: a second pass sums what
     # lies above the 0.9 percentile, and what lies on it where enough lies below. No sort of all sessions in one task.
     cost, edge = F.col("cost_usd"), F.col("edge")
