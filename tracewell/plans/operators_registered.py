@@ -138,6 +138,12 @@ def _changed_items(store):
     return enrichment.stale(rendering.rendered_turns(store, TIGHT), held, ["session_id", "turn_id"], "p1", "tagger").select("session_id", "turn_id", "input_hash")
 
 
+def _used_turn_tools(store):
+    """Tools of the turn that the query is bound to: none where no turn of the thread has a call, not those of the bucket without a turn."""
+    turn = used_turn(store)
+    return tree.tools_level(store, SESSION, "main", turn).where(F.lit(turn is not None))
+
+
 def _walked(store):
     """Runs in reading order, each with its neighbours."""
     runs = tree.parents(store).select("session_id", F.col("run_id").alias("item_id"), "parent_id", F.lit(1).alias("place"))
@@ -177,7 +183,7 @@ def queries():
         "rendered_sessions": _on_store(lambda s: rendering.rendered_sessions(s, TIGHT)),
         "thread_level": _on_store(lambda s: tree.thread_level(s, SESSION, "main")),
         "turn_calls_level": _on_store(lambda s: tree.calls_level(s, SESSION, "main", None)),
-        "turn_tools_level": _on_store(lambda s: tree.tools_level(s, SESSION, "main", used_turn(s))),
+        "turn_tools_level": _on_store(_used_turn_tools),
         "run_walk": _on_store(_walked),
         "span_texts": _on_store(lambda s: spans.span_texts(s, 20)),
         "span_refusals": _on_store(spans.refused),
