@@ -9,19 +9,19 @@ from tracewell.oracle import ingest
 from tracewell.sources import sample_transcripts, transcripts
 
 
-def _tables(spark, sf_dir: str) -> dict[str, DataFrame]:
-    return transcripts.extracted(transcripts.classified(sample_transcripts.files(spark, sf_dir)))
+def _tables(spark, sf_dir: str, *wanted: str) -> dict[str, DataFrame]:
+    return transcripts.extracted(transcripts.classified(sample_transcripts.files(spark, sf_dir)), wanted=wanted)
 
 
 def _columns(table: str, *names: str, **renamed: str):
     def run(spark, sf_dir: str) -> DataFrame:
-        return _tables(spark, sf_dir)[table].select(*names, *[F.col(old).cast("long").alias(new) for new, old in renamed.items()])
+        return _tables(spark, sf_dir, table)[table].select(*names, *[F.col(old).cast("long").alias(new) for new, old in renamed.items()])
 
     return run
 
 
 def _calls(spark, sf_dir: str) -> DataFrame:
-    rows = _tables(spark, sf_dir)["api_calls"]
+    rows = _tables(spark, sf_dir, "api_calls")["api_calls"]
     return rows.select(
         *"session_id source id turn_id model fallback_from effort attribution_skill request_id started_at ended_at input_tokens output_tokens".split(),
         *"cache_5m_tokens cache_1h_tokens text thinking synthetic".split(),
@@ -32,11 +32,11 @@ def _calls(spark, sf_dir: str) -> DataFrame:
 
 def _marks(spark, sf_dir: str) -> DataFrame:
     """Compactions, links to pull requests, and archived lines counted by type."""
-    tables = _tables(spark, sf_dir)
+    tables = _tables(spark, sf_dir, "compactions", "pr_links", "record_types")
     none = F.lit(None)
     marks = tables["compactions"].select(F.lit("compaction").alias("what"), "session_id", "source", none.cast("int").alias("line_no"), "id", F.col("timestamp").alias("happened_at"), F.col("pre_tokens").alias("size"))
     links = tables["pr_links"].select(F.lit("pr-link").alias("what"), "session_id", F.lit("main").alias("source"), "line_no", F.col("pr_url").alias("id"), F.col("timestamp").alias("happened_at"), F.col("pr_number").cast("long").alias("size"))
-    raw = tables["raw_records"].groupBy(F.col("type").alias("what"), "session_id", "source").agg(F.max("line_no").alias("line_no"), F.count("*").alias("size"))
+    raw = tables["record_types"].groupBy(F.col("type").alias("what"), "session_id", "source").agg(F.max("line_no").alias("line_no"), F.count("*").alias("size"))
     raw = raw.withColumns({"id": none.cast("string"), "happened_at": none.cast("timestamp")})
     return marks.unionByName(links).unionByName(raw)
 

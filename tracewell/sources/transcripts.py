@@ -13,6 +13,7 @@ run, which may sit in ``subagents/workflows/wf_<id>/``; files in
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,6 +69,25 @@ _BLOCK = (
     "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string,"
     "is_error:boolean,`from`:struct<model:string>>>"
 )
+#: Of a message, what tables are made of beside its content.
+MESSAGE = "id model stop_reason usage".split()
+#: Of a record and of its blocks, what each table is made of.
+NEEDS = {
+    "sessions": ("cwd gitBranch version entrypoint durationMs customTitle aiTitle agentName", ""),
+    "turns": ("", ""),
+    "api_calls": ("parentUuid effort attributionSkill requestId message", "type text thinking from"),
+    "tool_calls": ("toolUseResult message", "type id name input tool_use_id content is_error"),
+    "agent_runs": ("parentLastUuid toolUseResult", "type tool_use_id"),
+    "compactions": ("compactMetadata", ""),
+    "pr_links": ("prNumber prUrl prRepository", ""),
+    "raw_records": ("", ""),
+    "record_types": ("", ""),
+}
+#: Tables made of lines as they stand, replaced and journals' ones included; ``record_types`` is raw_records without the text.
+OF_LINES = {"raw_records", "record_types"}
+#: Tables that join records to records.
+READ_TWICE = {"api_calls", "agent_runs"}
+PROMPTED = ("prompt", "command_name", "command_args", "odd")
 _META = "agentType string, description string, toolUseId string, spawnDepth int, model string, parentAgentId string, isFork boolean"
 
 
@@ -123,9 +143,15 @@ def fingerprints(found: DataFrame) -> DataFrame:
 
 
 def content_lines(found: DataFrame) -> DataFrame:
-    """Lines of transcripts whose content is at hand: ``path, split, at, session_id, source, role, raw``."""
+    """Lines of transcripts whose content is at hand: ``path, split, at, session_id, source, role, last, raw``.
+
+    A whole file is one range, so ``at`` and ``last`` are known without sums.
+    """
     text = F.decode("content", "UTF-8")
-    split = found.where(TRANSCRIPTS).select("path", F.lit(0).cast("long").alias("split"), "session_id", "source", "role", F.posexplode(F.split(text, "\n")).alias("at", "raw"))
+    last = F.size(F.split(F.rtrim(text, F.lit(" \t\r\n")), "\n"))
+    split = found.where(TRANSCRIPTS).select(
+        "path", F.lit(0).cast("long").alias("split"), "session_id", "source", "role", last.cast("long").alias("last"), F.posexplode(F.split(text, "\n")).alias("at", "raw")
+    )
     return split.withColumn("at", F.col("at").cast("long"))
 
 
@@ -158,8 +184,11 @@ def numbered(rows: DataFrame) -> DataFrame:
     """Add ``line_no``, from 1 on, and ``last``, that of the transcript's last line that is not blank.
 
     A range's first number is one more than the lines of the ranges before it:
-    a sum over ranges, of which a file of some GB has some tens.
+    a sum over ranges, of which a file of some GB has some tens. Rows of whole
+    files have ``last`` already.
     """
+    if "last" in rows.columns:
+        return rows.withColumn("line_no", (F.col("at") + 1).cast("int")).drop("at", "split", "path")
     ranges = rows.groupBy("path", "split").agg(F.count("*").alias("lines"), F.min("at").alias("first"), F.max(F.when(~F.col("blank"), F.col("at"))).alias("end"))
     before = Window.partitionBy("path").orderBy("split")
     ranges = ranges.withColumn("base", F.coalesce(F.sum("lines").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -176,7 +205,7 @@ def judged(rows: DataFrame) -> DataFrame:
     one raises.
     """
     out = rows.where(~F.col("blank") & (F.col("good") | (F.col("line_no") < F.col("last")))).drop("blank", "last")
-    out = out.withColumn("raw", F.when(F.col("good"), F.col("raw")).otherwise(problem("unreadable record"))).drop("good")
+    out = out.withColumn("raw", F.when(F.col("good"), F.col("raw")).otherwise(problem("unreadable record")))
     kind = F.coalesce(F.col("r.type"), F.lit("?"))
     subtype = F.when(kind == "system", F.coalesce("r.subtype", F.lit("?")))
     strange = F.exists("blocks", lambda b: ~b["type"].isin(*BLOCKS))
@@ -184,18 +213,36 @@ def judged(rows: DataFrame) -> DataFrame:
     kind = checked(kind, READ_TYPES + ARCHIVED_TYPES, "record type")
     kind = F.when(~F.coalesce(subtype.isin(*SUBTYPES), F.lit(True)), problem("unknown system subtype")).otherwise(kind)
     kind = F.when(strange, problem("unknown content block")).otherwise(kind)
-    return out.withColumns({"type": kind, "subtype": subtype})
+    kind = F.when(~F.col("good"), problem("unreadable record")).otherwise(kind)
+    return out.withColumns({"type": kind, "subtype": subtype}).drop("good")
+
+
+def narrowed(read: DataFrame, wanted: Collection[str]) -> DataFrame:
+    """Records with what the ``wanted`` tables are made of; of a message's content, what ``prompts`` found and a digest."""
+    fields = {"uuid", "timestamp"}.union(*[NEEDS[t][0].split() for t in wanted])
+    parts = set().union(*[NEEDS[t][1].split() for t in wanted])
+    message = F.struct(*[F.col(f"r.message.{f}").alias(f) for f in MESSAGE]).alias("message")
+    r = F.struct(*[message if f == "message" else F.col(f"r.{f}").alias(f) for f in sorted(fields)]).alias("r")
+    blocks = F.transform("blocks", lambda b: F.struct(*[b[f].alias(f) for f in sorted(parts)])) if parts else F.lit(None)
+    digest = F.unhex(F.md5(F.coalesce(F.col("r.message.content"), F.lit("")))).alias("digest")
+    raw = ["raw"] if "raw_records" in wanted else []
+    return read.select("session_id", "source", "role", "line_no", "type", "subtype", "in_blocks", *PROMPTED, digest, r, blocks.alias("blocks"), *raw)
+
+
+def gathered(records: DataFrame, told: DataFrame) -> DataFrame:
+    """Each session's records and what is told of its runs (``depth, fork``, without a line) in one place, so that what follows moves no row."""
+    told = told.select("session_id", "source", F.col("m.spawnDepth").alias("depth"), F.coalesce("m.isFork", F.lit(False)).alias("fork"))
+    return records.unionByName(told, allowMissingColumns=True).repartition("session_id")
 
 
 def kept(read: DataFrame) -> DataFrame:
     """The last line of each uuid in a transcript; lines without a uuid all stay. A changed copy raises."""
     at = Window.partitionBy("session_id", "source", F.col("r.uuid"))
-    content = F.coalesce(F.col("r.message.content"), F.lit(""))
-    out = read.withColumns({"newest": F.max("line_no").over(at), "lowest": F.min(content).over(at), "highest": F.max(content).over(at)})
+    out = read.withColumns({"newest": F.max("line_no").over(at), "lowest": F.min("digest").over(at), "highest": F.max("digest").over(at)})
     named = F.col("r.uuid").isNotNull()
     changed = named & (F.col("lowest") != F.col("highest"))
     out = out.withColumn("newest", F.when(changed, F.raise_error(F.lit("a repeated record differs")).cast("int")).otherwise(F.col("newest")))
-    return out.where(~named | (F.col("line_no") == F.col("newest"))).drop("newest", "lowest", "highest")
+    return out.where(~named | (F.col("line_no") == F.col("newest"))).drop("newest", "lowest", "highest", "digest")
 
 
 def metas(found: DataFrame) -> DataFrame:
@@ -208,14 +255,14 @@ def metas(found: DataFrame) -> DataFrame:
     return both.withColumn("source", F.when(odd, alone).otherwise(F.col("source"))).drop("has_transcript")
 
 
-def with_replays(records: DataFrame, told: DataFrame) -> DataFrame:
-    """Add ``replayed``: whether an earlier transcript of the session holds the record.
+def with_replays(records: DataFrame) -> DataFrame:
+    """Add ``replayed``: whether an earlier transcript of the session holds the record; leave out what is told of runs.
 
     Transcripts are ordered by spawn depth, first time and name, the main one
     first. Only a fork may repeat records of another.
     """
-    facts = records.groupBy("session_id", "source").agg(F.min("r.timestamp").alias("first"))
-    facts = facts.join(told.select("session_id", "source", F.col("m.spawnDepth").alias("depth"), F.coalesce("m.isFork", F.lit(False)).alias("fork")), ["session_id", "source"], "left")
+    thread = Window.partitionBy("session_id", "source")
+    out = records.withColumns({"first": F.min("r.timestamp").over(thread), "depth": F.max("depth").over(thread), "fork": F.max("fork").over(thread)})
     order = F.struct(
         (F.col("source") != model.MAIN).alias("other"),
         F.coalesce("depth", F.lit(UNKNOWN_DEPTH)).alias("depth"),
@@ -223,12 +270,12 @@ def with_replays(records: DataFrame, told: DataFrame) -> DataFrame:
         F.col("first").alias("first"),
         F.col("source").alias("source"),
     )
-    ranked = records.join(facts.select("session_id", "source", order.alias("rank"), "fork"), ["session_id", "source"])
+    out = out.where("line_no IS NOT NULL").withColumn("rank", order)
     owner = F.min("rank").over(Window.partitionBy("session_id", F.col("r.uuid")))
-    ranked = ranked.withColumn("replayed", F.col("r.uuid").isNotNull() & (F.col("rank") != owner))
+    out = out.withColumn("replayed", F.col("r.uuid").isNotNull() & (F.col("rank") != owner))
     wrong = F.col("replayed") & ~F.coalesce("fork", F.lit(False))
-    copied = F.when(wrong, problem("records of another transcript, without being a fork,")).otherwise("").isNull()
-    return ranked.withColumn("replayed", F.col("replayed") & ~copied).drop("rank", "fork")
+    kind = F.when(wrong, problem("records of another transcript, without being a fork,")).when(F.col("odd"), problem("unknown leading tag")).otherwise(F.col("type"))
+    return out.withColumn("type", kind).where("type IS NOT NULL").drop("rank", "first", "depth", "fork", "odd")
 
 
 def texts_of(blocks: Column, kind: str, part: str) -> Column:
@@ -237,18 +284,19 @@ def texts_of(blocks: Column, kind: str, part: str) -> Column:
 
 
 def prompts(records: DataFrame) -> DataFrame:
-    """Add ``prompt``, ``command_name`` and ``command_args``; null where a record opens no turn."""
+    """Add ``prompt``, ``command_name`` and ``command_args``, null where a record opens no turn, and whether its leading tag is ``odd``."""
     text = F.col("r.message.content")
     bare = F.regexp_replace(text, r"\A\s+|\s+\z", "")
     tag = F.regexp_extract(bare, r"\A<([A-Za-z0-9_-]+)(?=[\s>])", 1)
-    strange = problem("unknown leading tag")
-    plain = F.when(bare == "", None).when(~bare.startswith("<"), text).when(tag.isin(*MACHINE_TAGS), None).when(tag.isin(*TURN_TAGS), text).otherwise(strange)
+    plain = F.when((bare != "") & (~bare.startswith("<") | tag.isin(*TURN_TAGS)), text)
     has = lambda *kinds: F.exists("blocks", lambda b: b["type"].isin(*kinds))
     blocky = F.when(~has("tool_result") & has("text", "image"), texts_of(F.col("blocks"), "text", "text"))
     flag = lambda name: F.coalesce(F.col(f"r.{name}"), F.lit(False))
     opens = (F.col("type") == "user") & ~flag("isMeta") & ~flag("isCompactSummary") & ~((F.col("source") == model.MAIN) & flag("isSidechain"))
     prompt = F.when(opens, F.when(F.col("in_blocks"), blocky).otherwise(plain))
-    out = records.withColumn("prompt", prompt)
+    # A copy that a later one replaces may be odd, so the check waits.
+    odd = opens & ~F.col("in_blocks") & bare.startswith("<") & ~tag.isin(*MACHINE_TAGS, *TURN_TAGS)
+    out = records.withColumns({"prompt": prompt, "odd": F.coalesce(odd, F.lit(False))})
 
     def inside(name: str) -> Column:
         found = F.regexp_extract("prompt", f"(?s)<{name}>(.*?)</{name}>", 1)
@@ -281,11 +329,10 @@ def conform(rows: DataFrame, table: str) -> DataFrame:
 
 
 def turns(records: DataFrame) -> DataFrame:
-    spans = records.where("turn_id IS NOT NULL").groupBy("session_id", "source", "turn_id").agg(F.max("r.timestamp").alias("ended_at"))
-    heads = records.where("prompt IS NOT NULL").withColumn("id", F.col("r.uuid"))
+    span = Window.partitionBy("session_id", "source", "turn_id")
+    heads = records.where("turn_id IS NOT NULL").withColumn("ended_at", F.max("r.timestamp").over(span)).where("prompt IS NOT NULL")
     place = Window.partitionBy("session_id", "source").orderBy("line_no")
-    heads = heads.withColumns({"index": F.row_number().over(place) - 1, "started_at": F.col("r.timestamp")})
-    return conform(heads.join(spans, ["session_id", "source", "turn_id"]), "turns")
+    return conform(heads.withColumns({"id": F.col("r.uuid"), "index": F.row_number().over(place) - 1, "started_at": F.col("r.timestamp")}), "turns")
 
 
 def api_calls(records: DataFrame) -> DataFrame:
@@ -295,7 +342,7 @@ def api_calls(records: DataFrame) -> DataFrame:
     calls = said.groupBy("session_id", "source", "message_id").agg(
         F.min_by(F.struct("line_no", "turn_id", "replayed", F.col("r.parentUuid").alias("parent"), F.col("r.timestamp").alias("at")), "line_no").alias("head"),
         F.max_by("r", "line_no").alias("tail"),
-        F.flatten(F.transform(parts, lambda p: F.coalesce(p["blocks"], F.array().cast(_BLOCK)))).alias("all_blocks"),
+        F.flatten(F.filter(F.transform(parts, lambda p: p["blocks"]), lambda b: b.isNotNull())).alias("all_blocks"),
     )
     asked = records.where("r.uuid IS NOT NULL").select("session_id", "source", F.col("r.uuid").alias("parent"), F.col("r.timestamp").alias("asked_at"))
     calls = calls.withColumn("parent", F.col("head.parent")).join(asked, ["session_id", "source", "parent"], "left")
@@ -347,40 +394,30 @@ def result_text(content: Column) -> Column:
 def tool_calls(records: DataFrame) -> DataFrame:
     """Every tool asked for, with the last record that answered it."""
     exploded = records.where("in_blocks").select("session_id", "source", "line_no", "type", "replayed", F.col("r.timestamp").alias("at"), F.col("r.message.id").alias("api_call_id"), F.col("r.toolUseResult").alias("details"), F.posexplode("blocks").alias("pos", "b"))
-    issued = exploded.where("type = 'assistant' AND b.type IN ('tool_use', 'server_tool_use')")
+    asks = F.expr("type = 'assistant' AND b.type IN ('tool_use', 'server_tool_use')")
+    answers = F.expr("(type = 'user' AND b.type = 'tool_result') OR (type = 'assistant' AND b.type = 'advisor_tool_result')")
     batch = Window.partitionBy("session_id", "source", "api_call_id", F.col("b.type"))
     place = Window.partitionBy("session_id", "source").orderBy("line_no", "pos")
     server = F.col("b.type") == "server_tool_use"
-    issued = issued.withColumns(
-        {
-            "index": F.row_number().over(place) - 1,
-            "batch_start": F.min("at").over(batch),
-            "batch_size": F.size(F.collect_set("line_no").over(batch)),
-            "id": F.col("b.id"),
-        }
-    )
-    answered = exploded.where("(type = 'user' AND b.type = 'tool_result') OR (type = 'assistant' AND b.type = 'advisor_tool_result')")
     advisor = F.col("b.type") == "advisor_tool_result"
     advice = F.get_json_object("b.content", "$.type")
     known = F.when(~advisor | advice.isin("advisor_tool_result_error", "advisor_redacted_result"), advice).otherwise(F.raise_error(F.lit("unknown advisor result")).cast("string"))
     failed = known == "advisor_tool_result_error"
     path = F.get_json_object("details", "$.persistedOutputPath")
-    answered = answered.select(
-        "session_id",
-        "source",
-        F.col("b.tool_use_id").alias("id"),
-        F.struct(
-            advisor.alias("advisor"),
-            "line_no",
-            "pos",
-            F.when(advisor, F.when(failed, F.get_json_object("b.content", "$.error_code"))).otherwise(result_text(F.col("b.content"))).alias("result"),
-            F.when(advisor, failed).otherwise(F.coalesce("b.is_error", F.lit(False))).alias("is_error"),
-            F.when(~advisor & path.isNotNull(), F.regexp_extract(path, r"[^/]+\z", 0)).alias("offload_file"),
-            F.col("at").alias("ended_at"),
-        ).alias("answer"),
+    answer = F.struct(
+        advisor.alias("advisor"),
+        "line_no",
+        "pos",
+        F.when(advisor, F.when(failed, F.get_json_object("b.content", "$.error_code"))).otherwise(result_text(F.col("b.content"))).alias("result"),
+        F.when(advisor, failed).otherwise(F.coalesce("b.is_error", F.lit(False))).alias("is_error"),
+        F.when(~advisor & path.isNotNull(), F.regexp_extract(path, r"[^/]+\z", 0)).alias("offload_file"),
+        F.col("at").alias("ended_at"),
     )
-    answered = answered.groupBy("session_id", "source", "id").agg(F.max("answer").alias("answer"))
-    out = issued.join(answered, ["session_id", "source", "id"], "left").select(
+    both = exploded.where(asks | answers).withColumns({"asks": asks, "id": F.when(asks, F.col("b.id")).otherwise(F.col("b.tool_use_id")), "answer": F.when(~asks, answer)})
+    last = F.max("answer").over(Window.partitionBy("session_id", "source", "id"))
+    issued = both.drop("details").withColumn("answer", F.when(F.col("id").isNotNull(), last)).where("asks")
+    issued = issued.withColumns({"index": F.row_number().over(place) - 1, "batch_start": F.min("at").over(batch), "batch_size": F.size(F.collect_set("line_no").over(batch))})
+    out = issued.select(
         "session_id",
         "source",
         "id",
@@ -446,6 +483,47 @@ def sessions(records: DataFrame, found: DataFrame) -> DataFrame:
     return conform(paths.join(rows, "session_id", "left").withColumn("id", F.col("session_id")).fillna(0, ["active_ms"]), "sessions")
 
 
+def compactions(records: DataFrame) -> DataFrame:
+    marks = records.where("subtype = 'compact_boundary'").select(
+        "session_id",
+        "source",
+        F.col("r.uuid").alias("id"),
+        F.col("r.timestamp").alias("timestamp"),
+        F.col("r.compactMetadata.trigger").alias("trigger"),
+        F.col("r.compactMetadata.preTokens").alias("pre_tokens"),
+        F.col("r.compactMetadata.postTokens").alias("post_tokens"),
+        F.col("r.compactMetadata.durationMs").alias("duration_ms"),
+    )
+    return conform(marks, "compactions")
+
+
+def pr_links(records: DataFrame) -> DataFrame:
+    links = records.where((F.col("type") == "pr-link") & (F.col("source") == model.MAIN)).select(
+        "session_id", "line_no", F.col("r.prNumber").alias("pr_number"), F.col("r.prUrl").alias("pr_url"), F.col("r.prRepository").alias("pr_repository"), F.col("r.timestamp").alias("timestamp")
+    )
+    return conform(links, "pr_links")
+
+
+def offload_files(found: DataFrame) -> DataFrame:
+    """Texts that results were moved to; made of files alone."""
+    good = F.is_valid_utf8("content")
+    moved = found.where("role = 'offload'").select(
+        "session_id", "name", F.make_valid_utf8("content").alias("content"), (~good).alias("lossy_decode"), F.col("length").alias("size_bytes")
+    )
+    return conform(moved, "offload_files")
+
+
+def raw_records(read: DataFrame) -> DataFrame:
+    return conform(read.select("session_id", "source", "line_no", F.col("r.uuid").alias("uuid"), F.col("r.timestamp").alias("timestamp"), "type", "raw"), "raw_records")
+
+
+def extract_state(found: DataFrame) -> DataFrame:
+    """What was extracted from which files; made of files alone."""
+    state = fingerprints(found).join(found.where("role = 'main'").select("session_id", F.col("path").alias("transcript_path")), "session_id")
+    state = state.withColumns({"extracted_at": F.current_timestamp(), "extractor": F.lit("transcripts"), "extractor_version": F.lit(str(model.SCHEMA_VERSION))})
+    return conform(state, "extract_state")
+
+
 def extract(spark: SparkSession, root: str, only: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of the trace model from the transcripts below ``root``.
 
@@ -468,50 +546,52 @@ def extract(spark: SparkSession, root: str, only: DataFrame | None = None) -> di
     return extracted(found, rows)
 
 
-def extracted(found: DataFrame, rows: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables of the trace model from classified files; ``rows`` are their transcripts' lines, else read from their contents."""
-    return tables_of(found, cut(parsed(content_lines(found) if rows is None else rows)))
+def extracted(found: DataFrame, rows: DataFrame | None = None, wanted: Collection[str] | None = None) -> dict[str, DataFrame]:
+    """Tables of the trace model from classified files; ``rows`` are their transcripts' lines, else read from their contents.
+
+    With ``wanted``, only these tables, of narrower records and with no more of
+    them written than the tables read again. Every check of a record holds for
+    each table that is made of records.
+    """
+    lines = parsed(content_lines(found) if rows is None else rows)
+    return tables_of(found, cut(lines) if wanted is None else lines, wanted)
 
 
-def tables_of(found: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
-    """All tables of the trace model from classified files and the parsed lines of their transcripts, at hand in a table."""
+def tables_of(found: DataFrame, lines: DataFrame, wanted: Collection[str] | None = None) -> dict[str, DataFrame]:
+    """Tables of the trace model, all or those ``wanted``, from classified files and the parsed lines of their transcripts.
+
+    Where all are made, the lines should be at hand in a table.
+    """
     spark = found.sparkSession
-    read = judged(numbered(lines))
+    read = prompts(judged(numbered(lines)))
     told = metas(found)
-    records = cut(with_turns(prompts(with_replays(kept(read.where("role <> 'journal'")), told))))
-    marks = records.where("subtype = 'compact_boundary'").select(
-        "session_id",
-        "source",
-        F.col("r.uuid").alias("id"),
-        F.col("r.timestamp").alias("timestamp"),
-        F.col("r.compactMetadata.trigger").alias("trigger"),
-        F.col("r.compactMetadata.preTokens").alias("pre_tokens"),
-        F.col("r.compactMetadata.postTokens").alias("post_tokens"),
-        F.col("r.compactMetadata.durationMs").alias("duration_ms"),
-    )
-    links = records.where((F.col("type") == "pr-link") & (F.col("source") == model.MAIN)).select(
-        "session_id", "line_no", F.col("r.prNumber").alias("pr_number"), F.col("r.prUrl").alias("pr_url"), F.col("r.prRepository").alias("pr_repository"), F.col("r.timestamp").alias("timestamp")
-    )
-    good = F.is_valid_utf8("content")
-    moved = found.where("role = 'offload'").select(
-        "session_id", "name", F.make_valid_utf8("content").alias("content"), (~good).alias("lossy_decode"), F.col("length").alias("size_bytes")
-    )
-    raw = read.select("session_id", "source", "line_no", F.col("r.uuid").alias("uuid"), F.col("r.timestamp").alias("timestamp"), "type", "raw")
-    state = fingerprints(found).join(found.where("role = 'main'").select("session_id", F.col("path").alias("transcript_path")), "session_id")
-    state = state.withColumns({"extracted_at": F.current_timestamp(), "extractor": F.lit("transcripts"), "extractor_version": F.lit(str(model.SCHEMA_VERSION))})
-    tables = {
-        "sessions": sessions(records, found),
-        "turns": turns(records),
-        "api_calls": api_calls(records),
-        "tool_calls": tool_calls(records),
-        "agent_runs": agent_runs(records, told),
-        "compactions": conform(marks, "compactions"),
-        "pr_links": conform(links, "pr_links"),
-        "offload_files": conform(moved, "offload_files"),
-        "raw_records": conform(raw, "raw_records"),
-        "extract_state": conform(state, "extract_state"),
+    names = [t for t in NEEDS if t in (model.TABLES if wanted is None else wanted)]
+    made = [t for t in names if t not in OF_LINES]
+    some = narrowed(read, made)
+    if wanted is not None and made and len(made) < len(names):
+        read = cut(narrowed(read, names))
+        some = read.drop("raw") if "raw" in read.columns else read
+    records = with_turns(with_replays(kept(gathered(some.where("role <> 'journal'").drop("role"), told))))
+    again = len(made) > 1 or bool(READ_TWICE.intersection(made))
+    records = cut(records) if again else records
+    # Windows of one session need no more than one exchange.
+    placed = records.repartition("session_id") if again else records
+    make = {
+        "sessions": lambda: sessions(records, found),
+        "turns": lambda: turns(placed),
+        "api_calls": lambda: api_calls(records),
+        "tool_calls": lambda: tool_calls(placed),
+        "agent_runs": lambda: agent_runs(records, told),
+        "compactions": lambda: compactions(records),
+        "pr_links": lambda: pr_links(records),
+        "offload_files": lambda: offload_files(found),
+        "raw_records": lambda: raw_records(read),
+        "record_types": lambda: read.select("session_id", "source", "line_no", "type"),
+        "extract_state": lambda: extract_state(found),
     }
-    return tables | {n: spark.createDataFrame([], s) for n, s in model.ENRICHMENTS.items()}
+    if wanted is not None:
+        return {n: make[n]() for n in wanted}
+    return {n: make[n]() for n in model.TABLES} | {n: spark.createDataFrame([], s) for n, s in model.ENRICHMENTS.items()}
 
 
 def changed(spark: SparkSession, root: str, state: DataFrame) -> DataFrame:
